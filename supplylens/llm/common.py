@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Words are runs of anything but ASCII white space.
@@ -61,3 +61,21 @@ def let(value: Column, body) -> Column:
 def words(text: Column) -> Column:
     """Words of a text (null: none) as an array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Add the 0-based place of each row among the rows of equal keys.
+
+    Rows are dealt to salts by a hash of their order columns, numbered within (keys, salt) and
+    moved by the sizes of the salts before; a key that holds most rows is numbered by many tasks.
+    The frame is read twice, so it should be stored. Places follow the salts, then the order.
+    """
+    salts = max(16, shuffle_width(df.sparkSession))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = salted.groupBy(*keys, "_salt").agg(F.count("*").alias("_n"))
+    sizes = sizes.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_salt").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order)) - 1
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    joined = salted.withColumn("_at", at).join(sizes, [*same, F.col("_salt") == F.col("_of")])
+    return joined.withColumn(name, F.col("_at") + F.col("_before")).drop("_salt", "_of", "_before", "_at", *(f"_{k}" for k in keys))
