@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from supplylens.llm import secrets, wavelet
+from supplylens.llm import packing, secrets, trie, wavelet
 
-MODULES = (secrets, wavelet)
+MODULES = (secrets, packing, trie, wavelet)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
