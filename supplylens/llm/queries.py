@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from supplylens.llm import packing, quality, secrets, sharding, trie, wavelet
+from supplylens.llm import html, jaccard, neighbours, packing, pii, quality, secrets, sharding, trie, wavelet
 
-MODULES = (secrets, packing, trie, wavelet, sharding, quality)
+MODULES = (secrets, packing, trie, html, wavelet, pii, neighbours, sharding, jaccard, quality)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
