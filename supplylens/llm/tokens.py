@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: Words kept by each worker, and the longest word worth keeping.
-KEPT_WORDS, KEPT_CHARS = 400_000, 48
+KEPT_WORDS, KEPT_CHARS = 600_000, 48
 ODD_SPACE = re.compile(r"[^\S \n]")
-RUN_OF_SPACE = re.compile(r"[ \n]{2}|^[ \n]|[ \n]\Z")
+ASCII_ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+RUNS = ("  ", "\n\n", " \n", "\n ")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -28,14 +28,20 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class _Words(dict):
-    """Word -> its ids as little-endian 32-bit integers."""
+    """Word -> its ids as little-endian 32-bit integers. A word that starts a line has the line's end before it."""
 
-    def __init__(self, encode, prefix: str):
+    def __init__(self, encode):
         super().__init__()
-        self.encode, self.prefix = encode, prefix
+        self.encode = encode
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(self.prefix + word)
+        # A stem of letters and a last sign are two pre-tokens, so many words share a stem.
+        if word[-1] in ",.!?;:)" and word[:-1].isalpha() and len(word) <= KEPT_CHARS:
+            ids = self[word[:-1]] + self.encode(word[-1])
+        elif word[0] == "\n":
+            ids = self.encode("\n") + self.encode(word[1:])
+        else:
+            ids = self.encode(" " + word)
         if len(word) <= KEPT_CHARS:
             if len(self) >= KEPT_WORDS:
                 self.clear()
@@ -54,33 +60,29 @@ class Encoder:
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.ranked = _ranked(spec)
-        self.after_space, self.after_line = _Words(self._word, " "), _Words(self._word, "")
-        self.line_end = self._whole("\n")
+        self.words = _Words(self._word)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, text: str) -> bytes:
         if self.ranked is None or (not text.isascii() and max(text) > "ɏ"):
             return self._whole(text)
-        return np.array(self.ranked.encode_ordinary(text), dtype="<u4").tobytes()
+        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):  # one pre-token
+            return array("I", self.ranked._encode_single_piece(text)).tobytes()
+        return array("I", self.ranked.encode_ordinary(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if ODD_SPACE.search(text) or any(x in text for x in self.special):
+        odd = any(c in text for c in ASCII_ODD) if text.isascii() else ODD_SPACE.search(text)
+        if odd or any(x in text for x in self.special):
             return self._whole(text)
-        if RUN_OF_SPACE.search(text):
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in RUNS):
             return self._word(text)
-        parts: list[bytes] = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            parts.append(self.after_line[first])
-            parts += map(self.after_space.__getitem__, rest)
-            parts.append(self.line_end)
-        parts.pop()
-        return b"".join(parts)
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return self.words["\n" + first][4:] + b"".join(map(self.words.__getitem__, rest))
 
 
 def _ranked(spec: dict):
