@@ -79,3 +79,27 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str) -> Da
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     joined = salted.withColumn("_at", at).join(sizes, [*same, F.col("_salt") == F.col("_of")])
     return joined.withColumn(name, F.col("_at") + F.col("_before")).drop("_salt", "_of", "_before", "_at", *(f"_{k}" for k in keys))
+
+
+#: Numbers in the bitmap of wanted rows: a bound on what split_by_keys() broadcasts.
+MARKS = 1 << 20
+
+
+def split_by_keys(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs whose (id, text) is and isn't among the stored keys (id, th).
+
+    Keys are first hashed to at most MARKS numbers, which are broadcast, so that only rows that may
+    be among them are shuffled; the exact join follows.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    columns = docs.columns
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("th"))
+    rows = rows.withColumn("mark", F.pmod(F.xxhash64("id", "th"), F.lit(MARKS)))
+    keys = keys.select("id", "th").distinct()
+    marks = F.broadcast(keys.select(F.pmod(F.xxhash64("id", "th"), F.lit(MARKS)).alias("mark")).distinct())
+    maybe, never = rows.join(marks, "mark", "left_semi"), rows.join(marks, "mark", "left_anti")
+    a, b = maybe.alias("a"), keys.alias("b")
+    same = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.th") == F.col("b.th"))
+    whole = [F.col("row").getField(c).alias(c) for c in columns]
+    among, others = a.join(b, same, "left_semi"), a.join(b, same, "left_anti")
+    return among.select("row").select(*whole), others.select("row").unionByName(never.select("row")).select(*whole)

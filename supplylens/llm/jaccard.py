@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplylens.llm.common import bounded_batches, durable, read
+from supplylens.llm.common import bounded_batches, durable, read, split_by_keys
 
 WORDS, PERCENT = 3, 90
 #: Entries of the table of counts, and of the bitmap that spares reading texts that aren't compared.
@@ -263,21 +263,40 @@ class Join:
         return self.labels(links.unionByName(self.verify(self.remaining(label))))
 
 
-def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, th (a hash of the text), n_shingles and component_id of every row."""
+def _join(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[Join, DataFrame]:
+    """The join, and (c, id, th, root) of every class."""
     join = Join(docs, words, percent, id_col, text_col)
     label = join.run()
-    named = join.classes.select("c", "id").join(label, "c", "left").select("c", "id", F.coalesce("root", "c").alias("root"))
-    least = named.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("k")).where("k > 1").select("root", "component_id")
-    # Only classes with a partner or a copy need more than their own id.
-    linked = named.join(least, "root").select("c", "component_id")
-    own = named.join(least.select("root"), "root", "left_anti").select("c", F.col("id").alias("component_id"))
-    by_class = linked.unionByName(own)
+    return join, join.classes.select("c", "id", "th").join(label, "c", "left").withColumn("root", F.coalesce("root", "c"))
+
+
+def similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, th (a hash of the text), n_shingles and component_id of every row."""
+    join, named = _join(docs, words, percent, id_col, text_col)
+    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    by_class = named.join(least, "root").select("c", "component_id")
     full = join.rows.where("c is not null").select("id", "th", "n", "c").join(by_class, "c").select("id", "th", "n", "component_id")
     empty = join.rows.where("c is null").select("id", "th", "n", F.col("id").alias("component_id"))
     return full.unionByName(empty).select(F.col("id").alias(id_col), "th", F.col("n").alias("n_shingles"), "component_id")
 
 
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component as it is, that of the smallest id; rows without words all stay."""
+    join, named = _join(docs, words, percent, id_col, text_col)
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("th"))
+    best = named.groupBy("root").agg(F.min_by(F.struct("c", "id", "th"), order).alias("best"))
+    kept = named.join(best, "root").select("c", "best").alias("k")
+    rows = join.rows.where("c is not null").select("id", "th", "c").alias("r")
+    other = ~(F.col("r.id").eqNullSafe(F.col("k.best.id")) & (F.col("r.th") == F.col("k.best.th")))
+    joined = rows.join(kept, F.col("r.c") == F.col("k.c"))
+    dropped = durable(joined.where(other).select("r.id", "r.th").distinct(), "dropped")
+    left = split_by_keys(docs, dropped, id_col, text_col)[1]
+    # The same row twice is a group as well.
+    twice = durable(joined.where(~other).groupBy("r.id", "r.th").agg(F.count("*").alias("k")).where("k > 1").select("id", "th"), "twice")
+    again, single = split_by_keys(left, twice, id_col, text_col)
+    return single.unionByName(again.dropDuplicates([id_col, text_col]))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(read(spark, sf_dir, "documents")).drop("th")
 

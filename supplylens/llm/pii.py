@@ -119,13 +119,17 @@ def _matches(kind: str) -> str:
     return f"if({SIGNS[kind]}, {found}, {none})"
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, found): every candidate of every row; th is a hash of the text."""
+def _searched(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("t"), *(carry or []))
     titled = " or ".join(f"contains(t, '{x}')" for x in ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor"))
     rows = rows.withColumns({"digits": F.expr("t rlike '[0-9]'"), "titled": F.expr(titled)})
-    return rows.select("id", "th", F.expr(f"concat({', '.join(map(_matches, KINDS))})").alias("found"))
+    return rows.withColumn("found", F.expr(f"concat({', '.join(map(_matches, KINDS))})")).drop("digits", "titled")
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, th, found): every candidate of every row; th is a hash of the text."""
+    return _searched(docs, id_col, text_col).drop("t")
 
 
 def _by_kind(k: str, cases: dict[str, str], otherwise: str) -> str:
@@ -218,17 +222,36 @@ def accepted(weights: dict[tuple[int, str, int], float], s: str) -> str:
     return f"({' + '.join(terms)}) > 0D" if terms else "false"
 
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, spans): array<struct<kind, start, end, base>> of every row, by start and then by kind."""
-    stored = durable(candidates(docs, id_col, text_col), "candidates")
-    weights = train(stored)
-    base = stored.withColumn("base", F.expr(f"filter(found, s -> s.ok and s.k < {len(BASE)})"))
+def _reported(found: DataFrame, weights: dict[tuple[int, str, int], float]) -> DataFrame:
+    """Add spans, array<struct<kind, start, end, base>> by start and then by kind, to rows with candidates."""
+    base = found.withColumn("base", F.expr(f"filter(found, s -> s.ok and s.k < {len(BASE)})"))
     free = "not exists(base, b -> b.start < s.start + length(s.m) and s.start < b.start + length(b.m))"
     spans = f"concat(base, filter(found, s -> s.k >= {len(BASE)} and {accepted(weights, 's')} and {free}))"
     ordered = f"sort_array(transform({spans}, s -> struct(s.start as start, s.k as k, s.start + length(s.m) as end)))"
     names = f"array({', '.join(repr(k) for k in KINDS)})"
     out = f"transform({ordered}, s -> named_struct('kind', {names}[s.k], 'start', s.start, 'end', s.end, 'base', s.k < {len(BASE)}))"
-    return base.select(F.col("id").alias(id_col), "th", F.expr(out).alias("spans"))
+    return base.withColumn("spans", F.expr(out)).drop("base", "found")
+
+
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, th and spans of every row."""
+    stored = durable(candidates(docs, id_col, text_col), "candidates")
+    return _reported(stored, train(stored)).withColumnRenamed("id", id_col)
+
+
+def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The rows of docs with personal data masked in the text, and its length renewed where it changed."""
+    weights = train(durable(candidates(docs, id_col, text_col), "candidates"))
+    rows = _searched(docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", ["row"])
+    rows = _reported(rows, weights)
+    hit = F.size("spans") > 0
+    done = rows.select("row", hit.alias("hit"), F.when(hit, masked(F.col("t"), F.col("spans"))).alias("clean"))
+    columns = {c: F.col("row").getField(c) for c in docs.columns}
+    columns[text_col] = F.when(F.col("hit"), F.col("clean")).otherwise(columns[text_col])
+    if length_col:
+        kind = docs.schema[length_col].dataType
+        columns[length_col] = F.when(F.col("hit"), F.length("clean").cast(kind)).otherwise(columns[length_col])
+    return done.select(*(c.alias(name) for name, c in columns.items()))
 
 
 def masked(text: Column, spans: Column) -> Column:

@@ -17,10 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplylens.llm.common import WORD_GAP, read, shuffle_width
+from supplylens.llm.common import WORD_GAP, durable, let, read, shuffle_width, split_by_keys
 
 LIMIT, LEAST_SHARE, LEAST_COPIES_SHARE = 10, 0.2, 0.5
 SYMBOLS = "#*$%&|<>"
+WORD_GAP_SQL = "'" + WORD_GAP.replace("\\", "\\\\") + "'"
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -29,33 +30,35 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), F.col(host_col).cast("string").alias("host"))
 
 
+def _bound(value: str, name: str, body: str) -> str:
+    """SQL: body with a name for a value that is computed once. Columns in a chain of projections would
+    be put into one another, lambdas included, as soon as a filter is pushed through them."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _repeats() -> str:
+    """SQL over the words w and a text t: n_words, n_repeat_words and whether the base rules fail."""
+    windows = "if(size(w) < 3, cast(array() as array<bigint>), transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])))"
+    sorted_ = "sort_array(transform(h, (x, i) -> struct(x, i)))"
+    places = "sort_array(transform(filter(s, (e, k) -> get(s, k - 1).x <=> e.x or get(s, k + 1).x <=> e.x), e -> e.i))"
+    covered = "aggregate(transform(p, (x, k) -> least(3, coalesce(get(p, k + 1) - x, 3))), 0L, (a, x) -> a + x)"
+    found = _bound(sorted_, "s", _bound(places, "p", covered))
+    count = _bound(windows, "h", f"if(size(array_distinct(h)) = size(h), 0L, {found})")
+    both = _bound(count, "r", "named_struct('n_words', cast(size(w) as bigint), 'n_repeat_words', r, 'failed', size(w) < 50 or 100 * r > 50 * size(w))")
+    return _bound(f"filter(split(t, {WORD_GAP_SQL}), x -> x <> '')", "w", both)
+
+
 def base_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The base counts of each row, with `th`, a hash of its text."""
-    texts = _texts(docs, id_col, text_col, host_col)
-    words = F.filter(F.split("t", WORD_GAP), lambda w: w != "")
     lines = F.filter(F.split("t", "\n"), lambda x: F.translate(x, SPACES, "") != "")
-    a = texts.select(
+    return _texts(docs, id_col, text_col, host_col).select(
         "doc_id",
         F.xxhash64("t").alias("th"),
-        words.alias("w"),
+        F.expr(_repeats()).alias("m"),
         F.length(F.translate("t", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        lines.alias("l"),
-    )
-    # Each step is referred to more than once, so it stays a column of its own and is computed once.
-    windows = "if(size(w) < 3, array(), transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])))"
-    b = a.select("*", F.expr(f"cast({windows} as array<bigint>)").alias("h"))
-    c = b.select("*", F.expr("if(size(array_distinct(h)) = size(h), filter(transform(h, (x, i) -> struct(x, i)), e -> false), sort_array(transform(h, (x, i) -> struct(x, i))))").alias("s"))
-    d = c.select("*", F.expr("sort_array(transform(filter(s, (e, k) -> get(s, k - 1).x <=> e.x or get(s, k + 1).x <=> e.x), e -> e.i))").alias("p"))
-    return d.select(
-        "doc_id",
-        "th",
-        F.size("w").cast("long").alias("n_words"),
-        "word_chars",
-        "n_symbols",
-        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
-        F.expr("aggregate(transform(p, (x, k) -> least(3, coalesce(get(p, k + 1) - x, 3))), 0L, (a, x) -> a + x)").alias("n_repeat_words"),
-    ).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+        let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
+    ).select("doc_id", "th", "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", F.col("m.failed").alias("base_failed"))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
@@ -79,30 +82,41 @@ def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT) -> DataFrame:
-    """(doc_id, th, removed): words in boilerplate lines, for documents that have any."""
+    """(doc_id, th, removed, n_words): words in boilerplate lines and in all, for documents that have any."""
     salts = min(32, max(8, shuffle_width(docs.sparkSession) // 4))
     bad = boilerplate(docs, id_col, text_col, host_col, limit)
     bad = bad.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     pieces = F.transform("lines", lambda x, i: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words"), i.alias("pos")))
-    rows = _lines(docs, id_col, text_col, host_col).select("doc_id", "th", "host", F.pmod("th", F.lit(salts)).cast("int").alias("salt"), F.explode(pieces).alias("l"))
-    rows = rows.select("doc_id", "th", "host", "salt", "l.*").alias("a")
+    total = F.aggregate(pieces, F.lit(0), lambda a, p: a + p["words"])
+    rows = _lines(docs, id_col, text_col, host_col).select("doc_id", "th", "host", total.alias("n_words"), F.pmod("th", F.lit(salts)).cast("int").alias("salt"), F.explode(pieces).alias("l"))
+    rows = rows.select("doc_id", "th", "host", "n_words", "salt", "l.*").alias("a")
     same = F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.line") == F.col("b.line")) & (F.col("a.salt") == F.col("b.salt"))
     hit = rows.join(bad.alias("b"), same, "left_semi")
     # Repeated rows have the same lines at the same places.
-    once = hit.groupBy("doc_id", "th", "pos").agg(F.max("words").alias("words"))
-    return once.groupBy("doc_id", "th").agg(F.sum("words").alias("removed"))
+    once = hit.groupBy("doc_id", "th", "pos").agg(F.max("words").alias("words"), F.max("n_words").alias("n_words"))
+    return once.groupBy("doc_id", "th").agg(F.sum("words").alias("removed"), F.max("n_words").alias("n_words"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT, least_share: float = LEAST_SHARE) -> DataFrame:
     """The base counts and the verdict of every row, with th, a hash of its text."""
     base = base_metrics(docs, id_col, text_col, host_col).alias("a")
-    lost = removed_words(docs, id_col, text_col, host_col, limit).alias("b")
+    lost = removed_words(docs, id_col, text_col, host_col, limit).drop("n_words").alias("b")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th"))
     left = F.col("n_words") - F.coalesce(F.col("b.removed"), F.lit(0))
     kept = ~F.col("base_failed") & (left >= least_share * F.col("n_words"))
     return base.join(lost, same, "left").select("a.*", F.coalesce(F.col("b.removed"), F.lit(0)).cast("long").alias("n_boilerplate_words"), kept.alias("kept"))
 
 
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT, least_share: float = LEAST_SHARE) -> DataFrame:
+    """The rows of docs that pass, as they are. Only rows that hold boilerplate may be shuffled."""
+    lost = removed_words(docs, id_col, text_col, host_col, limit)
+    depleted = lost.where(F.col("n_words") - F.col("removed") < least_share * F.col("n_words"))
+    depleted = durable(depleted.select(F.col("doc_id").alias("id"), "th"), "depleted")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    passed = rows.where(~F.expr(_repeats() + ".failed")).select("row.*")
+    return split_by_keys(passed, depleted, id_col, text_col)[1]
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents")).drop("th")
 
