@@ -70,15 +70,18 @@ def run_sql(core: Core, text: str, most: int = MOST_ROWS, seconds: float = SECON
         # A view of its own for each call: no state is left in the catalog's schemas.
         frames(core)[name].createOrReplaceTempView(f"core_{name}")
         plain = re.sub(rf"\bcore\s*\.\s*{name}\b", f"core_{name}", plain, flags=re.I)
-    tag, late = f"run-sql-{uuid.uuid4().hex}", threading.Event()
+    tag, late, done = f"run-sql-{uuid.uuid4().hex}", threading.Event(), threading.Event()
 
     def stop() -> None:
-        late.set()
-        spark.interruptTag(tag)
-
-    timer = threading.Timer(seconds, stop)
-    spark.addTag(tag)
-    timer.start()
+        # Again and again: jobs that start between planning steps are not yet there to be cancelled.
+        if not done.wait(seconds):
+            late.set()
+            while not done.wait(0.2):
+                context.cancelJobsWithTag(tag)
+
+    context = spark.sparkContext
+    context.addJobTag(tag)
+    threading.Thread(target=stop, daemon=True).start()
     try:
         rows = spark.sql(plain).limit(most + 1).collect()
     except Exception:
@@ -86,8 +89,10 @@ def run_sql(core: Core, text: str, most: int = MOST_ROWS, seconds: float = SECON
             raise Timeout(f"the query took more than {seconds:g} s") from None
         raise
     finally:
-        timer.cancel()
-        spark.removeTag(tag)
+        done.set()
+        context.removeJobTag(tag)
+    if late.is_set():
+        raise Timeout(f"the query took more than {seconds:g} s")
     caveats = [f"Only the first {most} rows are shown."] if len(rows) > most else []
     if used & set(SALES):
         caveats.append("Store-days with status missing_data have no sales rows; a sum over them is a part, not a zero.")
