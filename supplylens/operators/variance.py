@@ -28,6 +28,11 @@ def by_sku(core: Core, group: str, a: tuple[str, str] = A, b: tuple[str, str] =
     return x.fillna(0, ["q_a", "q_b"]).fillna(0.0, ["r_a", "r_b"])
 
 
+def even(x):
+    """Rounded to cents, half cents up whatever the order of the sum has left in the last bits."""
+    return rounded(x + F.lit(1e-8))
+
+
 def explain(x: DataFrame, keys: list[str]) -> DataFrame:
     g = x.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("q_a", "q_b", "r_a", "r_b")), F.sum(F.col("q_b") * F.col("p_a")).alias("s"))
     had = F.col("q_a") > 0
@@ -36,7 +41,7 @@ def explain(x: DataFrame, keys: list[str]) -> DataFrame:
     mix = F.when(had, F.col("s") - F.col("q_b") * avg).otherwise(F.lit(0.0))
     return g.select(
         *keys, F.col("q_a").cast("long").alias("units_a"), F.col("q_b").cast("long").alias("units_b"), rounded(F.col("r_a")).alias("revenue_a"), rounded(F.col("r_b")).alias("revenue_b"),
-        rounded(volume).alias("volume"), rounded(mix).alias("mix"), rounded(F.col("r_b") - F.col("s")).alias("price"), rounded(F.col("r_b") - F.col("r_a")).alias("change"),
+        even(volume).alias("volume"), even(mix).alias("mix"), even(F.col("r_b") - F.col("s")).alias("price"), even(F.col("r_b") - F.col("r_a")).alias("change"),
     )
 
 

@@ -98,9 +98,9 @@ QUERIES = {
     "draft_state_fold": lambda s, d: reorder.fold(*reorder.stand_in_decisions(Raw(s, d))),
 }
 EFFECTS = """CAST(sum(q_a) AS BIGINT) AS units_a, CAST(sum(q_b) AS BIGINT) AS units_b, floor(sum(r_a) * 100 + 0.5) / 100 AS revenue_a, floor(sum(r_b) * 100 + 0.5) / 100 AS revenue_b,
- floor(CASE WHEN sum(q_a) > 0 THEN (sum(q_b) - sum(q_a)) * (sum(r_a) / nullif(CAST(sum(q_a) AS DOUBLE), 0)) ELSE sum(q_b * p_a) END * 100 + 0.5) / 100 AS volume,
- floor(CASE WHEN sum(q_a) > 0 THEN sum(q_b * p_a) - sum(q_b) * (sum(r_a) / nullif(CAST(sum(q_a) AS DOUBLE), 0)) ELSE 0.0 END * 100 + 0.5) / 100 AS mix,
- floor((sum(r_b) - sum(q_b * p_a)) * 100 + 0.5) / 100 AS price, floor((sum(r_b) - sum(r_a)) * 100 + 0.5) / 100 AS change"""
+ floor(CASE WHEN sum(q_a) > 0 THEN (sum(q_b) - sum(q_a)) * (sum(r_a) / nullif(CAST(sum(q_a) AS DOUBLE), 0)) ELSE sum(q_b * p_a) END * 100 + 0.500001) / 100 AS volume,
+ floor(CASE WHEN sum(q_a) > 0 THEN sum(q_b * p_a) - sum(q_b) * (sum(r_a) / nullif(CAST(sum(q_a) AS DOUBLE), 0)) ELSE 0.0 END * 100 + 0.500001) / 100 AS mix,
+ floor((sum(r_b) - sum(q_b * p_a)) * 100 + 0.500001) / 100 AS price, floor((sum(r_b) - sum(r_a)) * 100 + 0.500001) / 100 AS change"""
 BY_DEPT = f"SELECT dept AS grp, {EFFECTS} FROM sku_prices GROUP BY dept"
 SALES = "store, subject, level, anomaly, this_week, base_mean, pct_change, z"
 YEAR_SQL, LAST = "date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'", f"date > DATE '{AS_OF}' - 365 AND date <= DATE '{AS_OF}'"
