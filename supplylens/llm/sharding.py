@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from supplylens.llm.common import durable, ranked, read, shuffle_width
 
-SHARDS, ROUNDS = 8, 5
+SHARDS, ROUNDS = 8, 12
 
 
 def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -42,6 +42,8 @@ def propagate(state: DataFrame, total: int, shards: int = SHARDS, rounds: int =
         # As many rows as there are shards come to the driver.
         load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         room = [max(0, capacity - load.get(s, 0)) for s in range(shards)]
+        # A shard that is all but full is no goal, or large groups would wait for it for ever.
+        room = [r if r > capacity // 16 else 0 for r in room]
         votes = state.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct(F.col("n"), (-F.col("shard")).alias("less"))), asc=False).alias("votes"))
         wanted = state.join(votes, "grp").withColumn(
             "goal",
@@ -50,18 +52,25 @@ def propagate(state: DataFrame, total: int, shards: int = SHARDS, rounds: int =
             ),
         )
         wanted = durable(wanted.select("grp", "shard", "n", "goal"), f"votes{turn}")
+        # Large parts come first, in part if need be; small ones are whole and have more shards to go to.
+        most = _numbers([max(8, room[s] // 16) for s in range(shards)])
+        small = F.col("n") <= most[F.col("goal")]
         # As many rows as there are shards.
-        demand = {r["goal"]: r["n"] for r in wanted.where("goal is not null").groupBy("goal").agg(F.sum("n").alias("n")).collect()}
-        if not demand:
+        tally = wanted.where("goal is not null").groupBy("goal").agg(F.sum(F.when(small, F.col("n")).otherwise(0)).alias("small"), F.sum("n").alias("n")).collect()
+        if not tally:
             return state
-        share = F.array(*(F.lit(min(1.0, 0.98 * room[s] / demand[s]) if demand.get(s) else 0.0) for s in range(shards)))
-        most = _numbers([max(1, room[s] // 16) for s in range(shards)])
+        demand = {r["goal"]: (r["small"], r["n"] - r["small"]) for r in tally}
+        few, many = [], []
+        for s in range(shards):
+            little, large = demand.get(s, (0, 0))
+            many.append(F.lit(min(1.0, 0.95 * room[s] / large) if large else 0.0))
+            few.append(F.lit(max(0.0, min(1.0, 0.95 * (room[s] - min(large, room[s])) / little)) if little else 0.0))
         odds = F.pmod(F.xxhash64("grp", "shard", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        own, top = share[F.col("goal")], most[F.col("goal")]
+        own = F.array(*few)[F.col("goal")]
         moved = (
             F.when(F.col("goal").isNull(), 0)
-            .when(F.col("n") > top, F.floor(F.col("n") * own))  # a large part moves in part
-            .when(odds < own, F.col("n"))
+            .when(~small, F.floor(F.col("n") * F.array(*many)[F.col("goal")]))
+            .when((own >= 1.0) | (odds < own), F.col("n"))
             .otherwise(0)
             .cast("long")
         )
