@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplylens.llm.common import WORD_GAP, durable, let, read, shuffle_width, split_by_keys
+from supplylens.llm.common import WORD_GAP, durable, let, read, shuffle_width
 
 LIMIT, LEAST_SHARE, LEAST_COPIES_SHARE = 10, 0.2, 0.5
 SYMBOLS = "#*$%&|<>"
@@ -108,13 +108,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT, least_share: float = LEAST_SHARE) -> DataFrame:
-    """The rows of docs that pass, as they are. Only rows that hold boilerplate may be shuffled."""
+    """The rows of docs that pass, as they are.
+
+    Depleted documents are few as a rule: the planner broadcasts them if their stored size allows it
+    and shuffles both sides if not.
+    """
     lost = removed_words(docs, id_col, text_col, host_col, limit)
     depleted = lost.where(F.col("n_words") - F.col("removed") < least_share * F.col("n_words"))
-    depleted = durable(depleted.select(F.col("doc_id").alias("id"), "th"), "depleted")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    passed = rows.where(~F.expr(_repeats() + ".failed")).select("row.*")
-    return split_by_keys(passed, depleted, id_col, text_col)[1]
+    depleted = durable(depleted.select("doc_id", "th"), "depleted").alias("b")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    passed = rows.where(~F.expr(_repeats() + ".failed")).select("row", "doc_id", F.xxhash64("t").alias("th")).alias("a")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th"))
+    return passed.join(depleted, same, "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
