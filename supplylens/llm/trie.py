@@ -3,8 +3,8 @@
 In BPE the encoding of a word is fixed by the last token of each of its prefixes: the encoding of
 a prefix ends in token t exactly if t encodes to itself and the encoding of what precedes t ends in
 a token that stays apart from t, that is, the two side by side encode to just the two. Distinct
-words are inserted in a trie; a depth-first walk gives each node the last token of its prefix, so a
-prefix that many words share is encoded once. A word's last symbol carries the end-of-word mark,
+words form a trie, held as their sorted list; a depth-first walk gives each node the last token of
+its prefix, so a prefix that many words share is encoded once. A word's last symbol carries the end-of-word mark,
 so its last token is found at the word's end and the rest is read back along the path.
 
 Cases: null and empty texts have no ids and decode to ""; one result per input row, whatever its
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from supplylens.llm.common import bounded_batches, read
 from supplylens.llm.tokens import byte_alphabet, default_path
 
-KEPT_PIECES, KEPT_CHARS, KEPT_PAIRS = 300_000, 48, 1_000_000
+KEPT_PIECES, KEPT_WORDS, KEPT_PAIRS = 400_000, 300_000, 500_000
 SEPARATOR = re.compile(r"[\x1c-\x1f]")
 
 
@@ -52,8 +53,10 @@ class TrieEncoder:
         self.longest_end = max(len(t) - len(self.mark) for t in self.vocab if t.endswith(self.mark))
         self.names = {k: t for t, k in self.vocab.items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
         self.apart: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        # Tokens that encode to themselves; others never end a prefix.
+        self.whole = {t for t in self.vocab if self.merge(self.symbols(t)) == [t]}
         self.pieces: dict[str, tuple[bytes, str]] = {}
+        self.coded: dict[str, tuple[bytes, str]] = {}
 
     def symbols(self, token: str) -> list[str]:
         if token.endswith(self.mark) and len(token) > len(self.mark):
@@ -70,11 +73,6 @@ class TrieEncoder:
             parts = [*parts[:at], parts[at] + parts[at + 1], *parts[at + 2 :]]
         return parts
 
-    def is_whole(self, token: str) -> bool:
-        if (known := self.whole.get(token)) is None:
-            known = self.whole[token] = self.merge(self.symbols(token)) == [token]
-        return known
-
     def stay_apart(self, left: str, right: str) -> bool:
         pair = (left, right)
         if (known := self.apart.get(pair)) is None:
@@ -83,70 +81,91 @@ class TrieEncoder:
             known = self.apart[pair] = self.merge(self.symbols(left) + self.symbols(right)) == [left, right]
         return known
 
-    def _last(self, tail: str, at: int, state: list[str], end: bool) -> str:
+    def _last(self, tail: str, at: int, state: list[str], mark: str, longest: int) -> str:
         """The last token of the prefix of `at` symbols that ends in `tail`; state: those of shorter prefixes."""
-        n, vocab = len(tail), self.vocab
-        for size in range(min(n, self.longest_end if end else self.longest), 0, -1):
-            token = tail[n - size :] + self.mark if end else tail[n - size :]
-            if token in vocab and (size == 1 or self.is_whole(token)) and (size == at or self.stay_apart(state[at - size], token)):
-                return token
+        whole, apart, n = self.whole, self.apart, len(tail)
+        for size in range(min(n, longest), 0, -1):
+            token = tail[n - size :] + mark
+            if token in whole:
+                if size == at:
+                    return token
+                left = state[at - size]
+                known = apart.get((left, token))
+                if known or known is None and self.stay_apart(left, token):
+                    return token
         raise ValueError(f"no token ends {tail!r}")
 
     def encode_words(self, words: list[str]) -> dict[str, list[str]]:
-        """The tokens of distinct words, in the vocabulary's alphabet."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for c in word:
-                node = node.setdefault(c, {})
-            node[""] = True
+        """The tokens of distinct words, in the vocabulary's alphabet.
+
+        In sorted order the words are the trie's leaves as a depth-first walk meets them: `state` is
+        the path to the current leaf, and each word goes back to where it leaves the one before.
+        """
         found: dict[str, list[str]] = {}
-        path: list[str] = []
         state: list[str] = [""]  # state[i]: the last token of the first i symbols
-        todo = [iter(root.items())]
-        while todo:
-            item = next(todo[-1], None)
-            if item is None:
-                todo.pop()
-                if path:
-                    path.pop()
-                    state.pop()
-                continue
-            c, node = item
-            if c == "":
-                word = "".join(path)
-                tokens = [self._last(word[-self.longest_end :], len(word), state, True)]
-                n = len(word) - (len(tokens[0]) - len(self.mark))
-                while n:
-                    tokens.append(state[n])
-                    n -= len(state[n])
-                found[word] = tokens[::-1]
-                continue
-            path.append(c)
-            # The state of a leaf is never read: its word ends here.
-            state.append(self._last("".join(path[-self.longest :]), len(path), state, False) if len(node) > ("" in node) else "")
-            todo.append(iter(node.items()))
+        last, longest, before, mark = self._last, self.longest, "", self.mark
+        for word in sorted(words):
+            n = len(word)
+            shared, most = 0, min(len(state) - 1, n, len(before))
+            while shared < most and before[shared] == word[shared]:
+                shared += 1
+            del state[shared + 1 :]
+            for at in range(shared + 1, n):
+                state.append(last(word[max(0, at - longest) : at], at, state, "", longest))
+            token = last(word[-self.longest_end :], n, state, mark, self.longest_end)
+            tokens, at = [token], n - (len(token) - len(mark))
+            while at:
+                token = state[at]
+                tokens.append(token)
+                at -= len(token)
+            tokens.reverse()
+            found[word] = tokens
+            before = word
         return found
 
     def split(self, piece: str) -> list[str]:
         """The words of a text without white space, in the vocabulary's alphabet."""
         if piece.isascii():
             plain = piece.lower()
-        else:
+            if plain.isalpha():
+                # Only a whole contraction could be more than one word; it would need an apostrophe.
+                return [plain]
+            if plain[:-1].isalpha() and plain[-1] in ",.;:!?":
+                return [plain[:-1], plain[-1]]
+            return ["".join(map(self.bytes.__getitem__, w.encode())) for w in self.words.findall(plain)]
+        if max(piece) > "ɏ":
             plain = self.library.normalizer.normalize_str(piece)
-            if max(plain) > "ɏ":
-                return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
-        return ["".join(map(self.bytes.__getitem__, w.encode())) for w in self.words.findall(plain)]
+            return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
+        # Below combining marks every string is in normal form, and lower case goes by single characters.
+        plain = piece.lower()
+        if max(plain) > "ɏ":
+            plain = self.library.normalizer.normalize_str(piece)
+            return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
+        if plain.isalpha():
+            found = [plain]
+        elif plain[:-1].isalpha() and plain[-1] in ",.;:!?":
+            found = [plain[:-1], plain[-1]]
+        else:
+            found = self.words.findall(plain)
+        return [w if w.isascii() else "".join(map(self.bytes.__getitem__, w.encode())) for w in found]
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode pieces that the worker doesn't know."""
+        """Encode pieces that the worker doesn't know; their new words go through one trie."""
         if len(self.pieces) + len(pieces) > KEPT_PIECES:
             self.pieces.clear()
         split = {p: self.split(p) for p in pieces}
-        known = self.encode_words(list({w for ws in split.values() for w in ws}))
+        distinct = {w for ws in split.values() for w in ws}
+        if len(self.coded) + len(distinct) > KEPT_WORDS:
+            self.coded.clear()
+        known, vocab = self.coded, self.vocab
+        for word, tokens in self.encode_words([w for w in distinct if w not in known]).items():
+            known[word] = array("I", [vocab[t] for t in tokens]).tobytes(), " ".join(tokens)
         for piece, ws in split.items():
-            tokens = [t for w in ws for t in known[w]]
-            self.pieces[piece] = np.array([self.vocab[t] for t in tokens], "<u4").tobytes(), " ".join(tokens)
+            if len(ws) == 1:
+                self.pieces[piece] = known[ws[0]]
+            else:
+                got = [known[w] for w in ws]
+                self.pieces[piece] = b"".join([x[0] for x in got]), " ".join([x[1] for x in got])
 
     def cut(self, text: str) -> list[str]:
         """The runs between white space. Python also takes four separators for white space; the library doesn't."""
