@@ -7,7 +7,9 @@
    for every document; any order gives the same links.
 3. Classes with the same size and prefix form one group. Groups meet on the members of their
    prefixes; pairs are filtered by size and by what is left after the place of the meeting.
-4. Pairs of groups expand to their classes, whose whole sets decide.
+4. Pairs of groups expand to their classes. A bitmap of each set (the parity of the members in each
+   of its places) bounds from above what two sets share; pairs that can still be similar enough
+   are decided by their whole sets.
 
 The links' components are wanted, not all links: a group is first compared with one leader for each
 band of sizes it meets, and what that joins need not be compared again. All pairs that still lie in
@@ -17,7 +19,8 @@ copies thus takes about as many comparisons as it has members.
 Cases: texts that are null, empty or without words have empty sets and are linked with nothing;
 repeated rows have the same class; rows with null ids are members but name no component (it stays
 null if all are null); other columns are ignored; texts are read whole; an empty table gives no
-rows.
+rows. Shingles, classes and groups are told apart by 64-bit hashes: among n classes about n^2 / 2^65
+pairs share one by chance.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from supplylens.llm.common import bounded_batches, durable, read, split_by_keys
@@ -38,7 +41,7 @@ WORDS, PERCENT = 3, 90
 COUNTED, MARKED = 1 << 17, 1 << 20
 KEPT_WORDS = 400_000
 LEADER_ROUNDS = 3
-BLOCK = 1000  # comparisons of a set by one task
+PLACES = 1024  # of a set's bitmap
 
 
 class _Hashes(dict):
@@ -90,26 +93,36 @@ def _counter(words: int):
     return run
 
 
+def _digest(data: bytes) -> int:
+    return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def _bitmap(x: np.ndarray) -> np.ndarray:
+    odd = np.bincount(((x >> np.uint64(32)) & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _sketcher(words: int, percent: int, counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, classes, groups, prefixes = [], [], [], []
+            sizes, classes, groups, prefixes, bitmaps = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 x = shingles(text, words)
                 n = len(x)
                 sizes.append(n)
                 if not n:
-                    classes.append(None)
-                    groups.append(None)
-                    prefixes.append(None)
+                    for column in (classes, groups, prefixes, bitmaps):
+                        column.append(None)
                     continue
-                classes.append(blake2b(x.tobytes(), digest_size=16).digest())
+                classes.append(_digest(x.tobytes()))
                 prefix = x[np.lexsort((x, counts[_bins(x)]))[: n - (percent * n + 99) // 100 + 1]].view(np.int64)
-                groups.append(blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest())
+                groups.append(_digest(prefix.tobytes() + n.to_bytes(8, "little")))
                 prefixes.append(prefix)
+                bitmaps.append(_bitmap(x))
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(groups, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["id", "th", "n", "c", "g", "prefix"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(groups, pa.int64()), pa.array(prefixes, longs), pa.array(bitmaps, longs)],
+                ["id", "th", "n", "c", "g", "prefix", "bits"],
             )
 
     return run
@@ -119,7 +132,7 @@ def _set_maker(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = pa.array([shingles(t, words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sets], ["c", "salts", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["c", "x"])
 
     return run
 
@@ -176,59 +189,79 @@ class Join:
         binned = self.docs.select("text").mapInArrow(_counter(words), "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n"))
         table = binned.toArrow()  # never more than COUNTED rows
         counts[table["bin"].to_numpy()] = table["n"].to_numpy()
-        spec = "id bigint, th bigint, n bigint, c binary, g binary, prefix array<bigint>"
-        self.rows = durable(self.docs.mapInArrow(_sketcher(words, percent, counts), spec), "sketches")
+        spec = "id bigint, th bigint, n bigint, c bigint, g bigint, prefix array<bigint>, bits array<bigint>"
+        sketches = durable(self.docs.mapInArrow(_sketcher(words, percent, counts), spec), "sketches")
+        self.rows = sketches.select("id", "th", "n", "c")
         first = F.min_by(F.struct("id", "th"), F.struct(F.col("id").isNull(), "id", "th"))
-        classes = self.rows.where("c is not null").groupBy("c").agg(F.first("n").alias("n"), F.first("g").alias("g"), first.alias("d"), F.first("prefix").alias("prefix"))
-        stored = durable(classes.select("c", "n", "g", F.col("d.id").alias("id"), F.col("d.th").alias("th"), "prefix"), "classes")
+        one = lambda name: F.first(name).alias(name)
+        # Copies meet as one row from each task.
+        classes = sketches.where("c is not null").groupBy("c").agg(one("n"), one("g"), first.alias("d"), one("prefix"), one("bits"))
+        stored = durable(classes.select("c", "n", "g", F.col("d.id").alias("id"), F.col("d.th").alias("th"), "prefix", "bits"), "classes")
         self.classes = stored.drop("prefix")
-        groups = stored.groupBy("g").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("c").alias("c"), F.count("*").alias("held"))
-        postings = groups.select("g", "n", "c", "held", F.posexplode("prefix").alias("pos", "token"))
-        shared = postings.groupBy("token").agg(F.sum("held").alias("k")).where("k > 1").select("token")
-        self.postings = durable(postings.join(shared, "token"), "postings")
+        # A group of several classes is posted by its smallest.
+        self.several = durable(stored.groupBy("g").agg(F.min("c").alias("least"), F.count("*").alias("held")).where("held > 1"), "several")
+        posted = stored.select("c", "n", "g", "prefix").join(self.several, "g", "left").where("least is null or c = least")
+        postings = posted.select("c", "n", F.coalesce("held", F.lit(1)).alias("held"), F.posexplode("prefix").alias("pos", "token"))
+        met = F.sum("held").over(Window.partitionBy("token"))
+        self.postings = durable(postings.withColumn("met", met).where("met > 1").select("token", "c", "n", "pos"), "postings")
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose bitmaps allow enough common members: every odd place tells of one that isn't."""
+        a = self.classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+        b = self.classes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+        apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        common = F.floor((F.col("na") + F.col("nb") - apart) / 2)
+        enough = 100 * common >= self.percent * (F.col("na") + F.col("nb") - common)
+        return pairs.join(a, "a").join(b, "b").where(enough).select("a", "b")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that are similar enough."""
-        pairs = durable(pairs, "pairs")
-        load = pairs.groupBy(F.col("b").alias("c")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
-        wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(load, "c", "left")
-        wanted = durable(wanted.select("c", F.coalesce("salts", F.lit(1)).alias("salts")).join(self.classes, "c").select("c", "salts", "id", "th"), "wanted")
-        mark = F.pmod(F.col("th"), F.lit(MARKED)).alias("mark")
-        # At most MARKED distinct numbers; the exact join follows.
+        pairs = durable(self.possible(pairs), "pairs")
+        key = F.xxhash64("id", "th")
+        wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+        wanted = durable(wanted.join(self.classes, "c").select("c", "id", "th", key.alias("key")), "wanted")
+        mark = F.pmod(F.col("key"), F.lit(MARKED)).alias("mark")
+        # At most MARKED distinct numbers; the exact join follows. Rows that are there twice count once.
         marks = F.broadcast(wanted.select(mark).distinct())
-        near = self.docs.withColumn("mark", mark).join(marks, "mark", "left_semi").select("id", "text", "th").alias("d")
-        same = F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.th") == F.col("w.th"))
-        texts = near.join(wanted.alias("w"), same).select("w.c", "d.text", "w.salts").mapInArrow(_set_maker(self.words), "c binary, salts int, x binary")
-        sets = durable(texts.dropDuplicates(["c"]), "sets")
-        left = sets.select(F.col("c").alias("a"), F.col("x").alias("xa"))
-        right = sets.select(F.col("c").alias("b"), "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("x").alias("xb")).drop("salts")
-        dealt = pairs.join(load.withColumnRenamed("c", "b"), "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
-        both = dealt.join(left, "a").join(right, ["b", "salt"]).select("a", "b", "xa", "xb")
-        return durable(both.mapInArrow(_comparer(self.percent), "a binary, b binary"), "links")
+        near = self.docs.withColumn("key", key).withColumn("mark", mark).join(marks, "mark", "left_semi")
+        near = near.groupBy("key").agg(F.first(F.struct("id", "th", "text")).alias("d"))
+        x, y = near.alias("x"), wanted.alias("y")
+        same = (F.col("x.key") == F.col("y.key")) & F.col("x.d.id").eqNullSafe(F.col("y.id")) & (F.col("x.d.th") == F.col("y.th"))
+        sets = durable(x.join(y, same).select("y.c", "x.d.text").mapInArrow(_set_maker(self.words), "c bigint, x binary"), "sets")
+        # The sets are shuffled once for both sides.
+        both = pairs.join(sets.select(F.col("c").alias("a"), F.col("x").alias("xa")), "a").join(sets.select(F.col("c").alias("b"), F.col("x").alias("xb")), "b")
+        return durable(both.select("a", "b", "xa", "xb").mapInArrow(_comparer(self.percent), "a bigint, b bigint"), "links")
 
     def fits(self, n1: Column, n2: Column) -> Column:
         return 100 * F.least(n1, n2) >= self.percent * F.greatest(n1, n2)
 
+    def close(self, n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
+        """Whether sets of these sizes that meet at these places of their prefixes can be similar enough."""
+        need = F.ceil(F.lit(self.percent) * (n1 + n2) / (100 + self.percent))
+        return self.fits(n1, n2) & (F.least(n1 - p1, n2 - p2) >= need)
+
     def leaders(self, turn: int, label: DataFrame | None) -> DataFrame:
-        """For each group, the leader it meets most often in its band of sizes; label: (c, root) so far."""
-        posts = self.postings.select("token", "g", "n", "c")
+        """For each posted class, the leader it meets most often in its band of sizes; label: (c, root) so far."""
+        posts = self.postings
         if label is not None:
             posts = posts.join(label, "c", "left").withColumn("root", F.coalesce("root", "c"))
         else:
             posts = posts.withColumn("root", F.col("c"))
         band = F.log(F.col("n").cast("double")) / -F.log(F.lit(self.percent / 100)) + F.lit(turn % 2 * 0.5)
         posts = posts.withColumn("band", F.floor(band))
-        order = F.struct(F.xxhash64("c", F.lit(turn)), F.col("c"), F.col("root"))
+        order = F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c", "root", "n", "pos")
         led = posts.groupBy("token", "band").agg(F.min(order).alias("lead"), F.min("root").alias("low"), F.max("root").alias("high"))
         met = posts.join(led.where("low <> high"), ["token", "band"]).where(F.col("root") != F.col("lead.root"))
+        met = met.where(self.close(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
         met = met.groupBy("c", F.col("lead.c").alias("lead")).agg(F.count("*").alias("k"))
         return met.groupBy("c").agg(F.max_by("lead", F.struct("k", "lead")).alias("lead")).select(F.col("c").alias("a"), F.col("lead").alias("b"))
 
     def remaining(self, label: DataFrame) -> DataFrame:
         """All pairs of classes in different components that pass the filters."""
         # Groups expand to their classes, whose components may differ.
-        member = self.classes.select("c", "g").join(label, "c", "left").select("g", "c", F.coalesce("root", "c").alias("root"))
-        posts = self.postings.select("token", "g", "n", "pos").join(member, "g")
+        others = self.classes.join(self.several, "g").where("c <> least").select(F.col("least").alias("c"), F.col("c").alias("other"))
+        posts = self.postings.unionByName(self.postings.join(others, "c").select("token", F.col("other").alias("c"), "n", "pos"))
+        posts = posts.join(label, "c", "left").withColumn("root", F.coalesce("root", "c"))
         ends = posts.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
         posts = durable(posts.join(ends, "token"), "mixed")
         # Components meet before their members do, so a component's own pairs are never made.
@@ -239,8 +272,7 @@ class Join:
         meet = meet.select(F.col("x.token").alias("token"), F.col("x.root").alias("r1"), F.col("y.root").alias("r2"))
         one = posts.select("token", F.col("root").alias("r1"), F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
         two = posts.select("token", F.col("root").alias("r2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
-        need = F.ceil(F.lit(self.percent) * (F.col("n1") + F.col("n2")) / (100 + self.percent))
-        close = self.fits(F.col("n1"), F.col("n2")) & (F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")) >= need)
+        close = self.close(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"))
         return meet.join(one, ["token", "r1"]).join(two, ["token", "r2"]).where(close).select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct()
 
     def labels(self, links: DataFrame) -> DataFrame:
@@ -249,8 +281,7 @@ class Join:
     def run(self) -> DataFrame:
         """(c, root) for classes that aren't the smallest of their component."""
         # Classes of one group first meet the group's smallest.
-        lead = self.classes.groupBy("g").agg(F.min("c").alias("b"), F.count("*").alias("k")).where("k > 1").select("g", "b")
-        inside = self.classes.join(lead, "g").where("c <> b").select(F.col("c").alias("a"), "b")
+        inside = self.classes.join(self.several, "g").where("c <> least").select(F.col("c").alias("a"), F.col("least").alias("b"))
         links, label = None, None
         for turn in range(LEADER_ROUNDS):
             pairs = self.leaders(turn, label)
