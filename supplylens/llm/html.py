@@ -2,9 +2,11 @@
 
 A page's tokens are its element paths and its blocks of text at their paths. Tokens with the same
 occurrence vector over the different pages of a host form an equivalence class; a class is valid
-when it is large and frequent, and valid classes nest by support into the host's template, the
-outermost on all pages. What is left of a page are its slots. Occurrence vectors are compared by
-a fingerprint that is summed over pages, so no task sees all pages of a host.
+when it is large and frequent. Near copies of a page count once, so that a shared article isn't
+taken for template. Valid classes nest into the one on the most pages when their tokens keep one
+order and stand only on pages that hold it; classes that don't nest are no template. What is left
+of a page are its slots. Occurrence vectors are compared by a fingerprint that is summed over pages,
+so no task sees all pages of a host.
 
 The article is the slots' text outside elements that mark menus, headers, footers, sidebars,
 notices, adverts, forms and comments. Where a page marks its article (article, main), blocks inside
@@ -22,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +53,9 @@ KEPT = frozenset(["html", "body", "main"])
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)(/?)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME = re.compile(r"[a-z]+")
+# Min-hashes of a page: two pages with 0.8 of their runs of words in common share a band in 19 of 20 cases.
+SHINGLE, BANDS, BAND = 5, 16, 8
+ODD = np.random.default_rng(0).integers(0, 1 << 63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/?#:]*)"
 
 
@@ -190,32 +196,93 @@ def _token(path: str, text: str = "") -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\0{text}") - (1 << 63)
 
 
+def _sketch(found: list[Block], page: int) -> list[int]:
+    """BANDS keys of the min-hashes of the text's runs of five words; near copies share one with high probability."""
+    words = [xxhash.xxh3_64_intdigest(w) for b in found for w in b.text.split()]
+    if not words:
+        return [page] * BANDS
+    w = np.array(words, np.uint64)
+    n = max(1, len(w) - SHINGLE + 1)
+    runs = np.zeros(n, np.uint64)
+    for k in range(min(SHINGLE, len(w))):
+        runs = (runs * np.uint64(0x9E3779B97F4A7C15)) ^ w[k : k + n]
+    runs ^= runs >> np.uint64(31)
+    runs *= np.uint64(0xBF58476D1CE4E5B9)
+    runs ^= runs >> np.uint64(29)
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, n, 2048):
+        mixed = runs[k : k + 2048, None] * ODD
+        np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0), out=least)
+    return [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in least.reshape(BANDS, BAND)]
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.struct([("token", pa.int64()), ("n", pa.int32())])
+    kind = pa.struct([("token", pa.int64()), ("n", pa.int32()), ("content", pa.bool_())])
     for batch in batches:
-        pages, counts = [], []
+        pages, bands, counts = [], [], []
         for page in batch.column(1).to_pylist():
-            seen = Counter()
-            for b in blocks(page or ""):
+            seen, found = Counter(), blocks(page or "")
+            kept = article(found)[0]
+            content = {_token(b.path, b.text) for b in kept}
+            for b in found:
                 seen[_token(b.path)] += 1
                 seen[_token(b.path, b.text)] += 1
             pages.append(xxhash.xxh3_64_intdigest(page or "") - (1 << 63))
-            counts.append([{"token": t, "n": n} for t, n in seen.items()])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, pa.int64()), pa.array(counts, pa.list_(kind))], ["host", "page", "tokens"])
+            bands.append(_sketch(kept, pages[-1]))
+            # In the order of their first places.
+            counts.append([{"token": t, "n": n, "content": t in content} for t, n in seen.items()])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(pages, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(counts, pa.list_(kind))], ["host", "page", "bands", "tokens"]
+        )
+
+
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each page and class of its host that it holds: a hash of the order of its tokens, and whether the outermost class is there."""
+    for batch in batches:
+        hosts, numbers, orders, roots = [], [], [], []
+        for host, tokens, classes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            of = {t: k for k, c in enumerate(classes) for t in c}
+            found: dict[int, list[int]] = {}
+            for t in tokens:
+                if t in of:
+                    found.setdefault(of[t], []).append(t)
+            for k, own in found.items():
+                hosts.append(host)
+                numbers.append(k)
+                orders.append(xxhash.xxh3_64_intdigest(np.array(own, np.int64).tobytes()) - (1 << 63))
+                roots.append(0 in found)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(numbers, pa.int32()), pa.array(orders, pa.int64()), pa.array(roots, pa.bool_())], ["host", "number", "order", "root"])
+
+
+def distinct_pages(tokens: DataFrame) -> DataFrame:
+    """Of near copies on a host one page: pages that are the least of every band that they share."""
+    least = tokens.select("host", "page", F.posexplode("bands").alias("band", "key")).groupBy("host", "band", "key").agg(F.min("page").alias("page"))
+    ones = least.groupBy("host", "page").agg(F.count("*").alias("least")).where(F.col("least") == BANDS).alias("b")
+    same = F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.page") == F.col("b.page"))
+    return tokens.alias("a").join(ones, same, "left_semi")
 
 
 def templates(pages: DataFrame, least_pages: int = 3, least_share: float = 0.5, least_size: int = 2) -> DataFrame:
-    """(host, template): the tokens of the valid classes of each host; pages has (host, html)."""
-    tokens = pages.select("host", "html").mapInArrow(_tokens, "host string, page bigint, tokens array<struct<token:bigint,n:int>>")
+    """(host, template): the text tokens of the nested valid classes of each host; pages has (host, html)."""
+    tokens = pages.select("host", "html").mapInArrow(_tokens, "host string, page bigint, bands array<bigint>, tokens array<struct<token:bigint,n:int,content:boolean>>")
     tokens = durable(tokens.dropDuplicates(["host", "page"]), "page-tokens")
+    tokens = durable(distinct_pages(tokens).drop("bands"), "distinct-tokens")
     size = tokens.groupBy("host").agg(F.count("*").alias("pages"))
     each = tokens.select("host", "page", F.explode("tokens").alias("t")).select("host", "page", "t.*")
-    vectors = each.groupBy("host", "token").agg(F.count("*").alias("support"), F.expr("bit_xor(xxhash64(page, n))").alias("vector"))
+    vectors = each.groupBy("host", "token").agg(F.count("*").alias("support"), F.expr("bit_xor(xxhash64(page, n))").alias("vector"), F.max("content").alias("content"))
     same = F.col("a.host").eqNullSafe(F.col("b.host"))
     frequent = vectors.alias("a").join(size.alias("b"), same).where((F.col("support") >= least_pages) & (F.col("support") >= least_share * F.col("pages"))).select("a.*")
     # At most pages / support = 1 / least_share times a page's tokens are frequent, so a host's class is small.
-    classes = frequent.groupBy("host", "support", "vector").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= least_size)
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+    classes = frequent.groupBy("host", "support", "vector").agg(F.collect_list("token").alias("tokens"), F.collect_list(F.when(F.col("content"), F.col("token"))).alias("content")).where(F.size("tokens") >= least_size)
+    tree = classes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("support", F.size("tokens").alias("size"), "vector", "tokens", "content")), asc=False).alias("classes"))
+    tree = durable(tree.where(F.exists("classes", lambda c: F.size(c["content"]) > 0)), "classes").alias("b")
+    # A class nests when its tokens stand in one order on all of its pages and the outermost class is on each of them.
+    held = tokens.alias("a").join(tree, same).select("a.host", F.col("tokens.token").alias("tokens"), F.col("classes.tokens").alias("classes"))
+    held = held.mapInArrow(_orders, "host string, number int, order bigint, root boolean")
+    nested = held.groupBy("host", "number").agg((F.min("order") == F.max("order")).alias("ordered"), F.min("root").alias("inside"))
+    nested = nested.where("ordered AND inside").groupBy("host").agg(F.collect_list("number").alias("numbers")).alias("a")
+    chosen = F.flatten(F.transform("numbers", lambda k: F.get(F.col("classes.content"), k)))
+    return durable(nested.join(tree, same).select("a.host", chosen.alias("template")).where(F.size("template") > 0), "templates")
 
 
 BLOCK_TYPE = pa.struct([("token", pa.int64()), ("text", pa.string())])

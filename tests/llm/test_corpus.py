@@ -227,6 +227,28 @@ def test_html_templates(spark):
     assert by_text(got) == by_text(want)
 
 
+def test_html_near_copies_are_no_template(spark):
+    """A host that is mostly near copies of one article keeps its text."""
+    story = "".join(f"<p>{' '.join(f'part{i}word{j}' for j in range(30))}</p>" for i in range(4))
+    page = lambda k: f"<body><div>{story}</div><p>Printed on day {k}</p></body>"
+    other = lambda k: f"<body><div><p>{' '.join(f'other{k}word{j}' for j in range(40))}</p></div></body>"
+    rows = [(k, "https://a.example/x", page(k)) for k in range(8)] + [(20 + k, "https://a.example/y", other(k)) for k in range(4)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all("part0word0" in got[k] and f"day {k}" in got[k] for k in range(8)) and all(got[20 + k].startswith(f"other{k}word0") for k in range(4))
+
+
+def test_html_classes_nest_in_order(spark):
+    """Blocks that change their order from page to page are no template."""
+    def page(k):
+        own = " ".join(f"story{k}word{j}" for j in range(30))
+        a, b = ("<p>alpha block</p>", "<div>beta block</div>")[:: 1 if k % 2 else -1]
+        return f"<body><h1>Site name</h1>{a}<div>{own}</div>{b}<h2>Site end</h2></body>"
+
+    rows = [(k, "https://n.example/", page(k)) for k in range(6)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all("alpha block" in got[k] and "beta block" in got[k] for k in range(6))
+
+
 def test_empty_tables(spark, empty):
     assert jaccard.similar(empty).count() == 0 and jaccard.keep_one(empty).columns == empty.columns
     assert quality.judge(empty).count() == 0 and quality.keep(empty).count() == 0
