@@ -9,8 +9,8 @@ of a page are its slots. Occurrence vectors are compared by a fingerprint that i
 so no task sees all pages of a host.
 
 The article is the slots' text outside elements that mark menus, headers, footers, sidebars,
-notices, adverts, forms and comments. Where a page marks its article (article, main), blocks inside
-are slots by that mark; on other pages the template tells repeated blocks from content.
+notices, adverts, forms and comments. Where a page marks its article (article, main), only blocks
+inside are candidates; on all pages the template then tells repeated blocks from content.
 
 Cases: a null or empty page has an empty text; a null url is a host of its own; broken markup is
 read as browsers do as far as blocks go; copies of a page count once in the vectors; repeated or
@@ -288,20 +288,10 @@ def templates(pages: DataFrame, least_pages: int = 3, least_share: float = 0.5,
 BLOCK_TYPE = pa.struct([("token", pa.int64()), ("text", pa.string())])
 
 
-def _extract(want_marked: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, out = [], []
-            for k, page in enumerate(batch.column(3).to_pylist()):
-                kept, marked = article(blocks(page or ""))
-                if marked == want_marked:
-                    rows.append(k)
-                    out.append("\n\n".join(b.text for b in kept) if marked else [{"token": _token(b.path, b.text), "text": b.text} for b in kept])
-            take = pa.array(rows, pa.int64())
-            value = pa.array(out, pa.string() if want_marked else pa.list_(BLOCK_TYPE))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(3)), value], ["id", "url", "host", "text" if want_marked else "blocks"])
-
-    return run
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = [[{"token": _token(b.path, b.text), "text": b.text} for b in article(blocks(page or ""))[0]] for page in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(out, pa.list_(BLOCK_TYPE))], ["id", "url", "host", "blocks"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -312,12 +302,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     )
     kind = rows.schema["id"].dataType.simpleString()
     found = templates(rows).alias("b")
-    marked = rows.mapInArrow(_extract(True), f"id {kind}, url string, host string, text string").select("id", "url", "text")
-    plain = rows.mapInArrow(_extract(False), f"id {kind}, url string, host string, blocks array<struct<token:bigint,text:string>>").alias("a")
+    own = rows.mapInArrow(_extract, f"id {kind}, url string, host string, blocks array<struct<token:bigint,text:string>>").alias("a")
     slots = F.filter("blocks", lambda b: F.col("template").isNull() | ~F.array_contains("template", b["token"]))
-    joined = plain.join(found, F.col("a.host").eqNullSafe(F.col("b.host")), "left")
-    rest = joined.select("a.id", "a.url", F.array_join(F.transform(slots, lambda b: b["text"]), "\n\n").alias("text"))
-    return marked.unionByName(rest).select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
+    joined = own.join(found, F.col("a.host").eqNullSafe(F.col("b.host")), "left")
+    return joined.select(F.col("a.id").alias(id_col), F.col("a.url").alias(url_col), F.array_join(F.transform(slots, lambda b: b["text"]), "\n\n").alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,6 +227,15 @@ def test_html_templates(spark):
     assert by_text(got) == by_text(want)
 
 
+def test_html_templates_of_marked_pages(spark):
+    """Blocks that all pages of a host repeat inside their article are template too."""
+    own = lambda k: " ".join(f"story{k}word{j}" for j in range(30))
+    page = lambda k: f"<body><article><h1>Our paper</h1><p>{own(k)}</p><p>Read on in print</p></article></body>"
+    rows = [(k, "https://m.example/", page(k)) for k in range(5)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {k: own(k) for k in range(5)}
+
+
 def test_html_near_copies_are_no_template(spark):
     """A host that is mostly near copies of one article keeps its text."""
     story = "".join(f"<p>{' '.join(f'part{i}word{j}' for j in range(30))}</p>" for i in range(4))
