@@ -2,13 +2,12 @@
 
 Lines are normalised (lower case, white space as one space) and hashed. Within a host (the
 document's source) a line is boilerplate when it stands in more than `limit` documents of different
-content. Documents whose longest line is the same are copies of one page for this count, and where
-most holders of a line are such copies the line is their content, not boilerplate: removing
-duplicates is another operator's work. Boilerplate lines are removed; a document that keeps less
-than `least_share` of its words is depleted and rejected, as are documents that fail the base rules.
+texts; only documents of equal text count once. Boilerplate lines are removed; a document that keeps
+less than `least_share` of its words is depleted and rejected, as are documents that fail the base
+rules.
 
-Cases: a null text has no words and fails; a null source is a host of its own; rows with the same id
-and text count once for frequencies and get the same verdict each; an empty table gives no rows;
+Cases: a null text has no words and fails; a null source is a host of its own; rows with the same text
+count once for frequencies and get the same verdict each; an empty table gives no rows;
 other columns are ignored. Texts are read whole.
 """
 
@@ -71,14 +70,10 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
 
 def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT) -> DataFrame:
     """(host, line): hashes of the lines that stand in too many documents of a host."""
-    each = _lines(docs, id_col, text_col, host_col).where(F.size("lines") > 0)
-    longest = F.array_max(F.transform("lines", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     hashes = F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))
-    rows = each.select("host", F.xxhash64(longest).alias("page"), F.xxhash64("doc_id", "th").alias("doc"), F.explode(hashes).alias("line"))
-    # A line that most documents hold meets as one row for each page and task, then one for each task.
-    pages = rows.groupBy("host", "line", "page").agg(F.count("*").alias("n"))
-    counts = pages.groupBy("host", "line").agg(F.sum("n").alias("documents"), F.count("*").alias("pages"))
-    return counts.where((F.col("pages") > limit) & (F.col("pages") >= LEAST_COPIES_SHARE * F.col("documents"))).select("host", "line")
+    rows = _lines(docs, id_col, text_col, host_col).select("host", "th", F.explode(hashes).alias("line"))
+    # A line that most documents hold meets as one row for each text, then one for each task.
+    return rows.distinct().groupBy("host", "line").agg(F.count("*").alias("texts")).where(F.col("texts") > limit).select("host", "line")
 
 
 def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT) -> DataFrame:

@@ -128,6 +128,18 @@ def test_boilerplate_and_copies(spark):
     assert {r["doc_id"] for r in quality.keep(df).collect()} == {k for k, v in kept.items() if v[0]}
 
 
+def test_long_boilerplate_and_copies(spark):
+    """A notice that is each document's longest line is boilerplate, also where near copies of one page hold it too."""
+    notice = " ".join(f"notice{j}" for j in range(60))
+    rows = [(k, f"title {k}\n{notice}", "short") for k in range(50)]
+    own = lambda k: " ".join(f"own{k}w{j}" for j in range(70))
+    rows += [(100 + k, f"{own(k)}\n{notice}", "mixed") for k in range(20)]
+    rows += [(200 + k, f"{own(500)}\n{notice}\ncopy {k}", "mixed") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: (r["kept"], r["n_boilerplate_words"]) for r in quality.judge(df).collect()}
+    assert all(got[k] == (False, 60) for k in range(50)) and all(got[100 + k] == (True, 60) for k in range(20))
+
+
 def test_quality_keep_equals_judge(spark, docs):
     judged = by_text(r["doc_id"] for r in quality.judge(docs).where("kept").collect())
     kept = quality.keep(docs)
