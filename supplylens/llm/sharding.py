@@ -1,10 +1,10 @@
 """Balanced label propagation: shards of even row counts that keep linked documents together.
 
 Documents with equal texts are linked. A group's rows with the same shard are interchangeable, so
-the state is the number of rows of each (group, shard). In each round the groups' votes are joined
-back to their parts: a part moves to the shard that holds a larger part of its group, as far as
-that shard's quota goes. Rows without links follow last and even out the counts, so the law
-`rows` holds exactly: the shards' counts are at most one apart.
+the state is the number of rows of each (group, shard). In each round a part moves to the shard that
+its group votes for, as far as quotas go; what leaves a shard in a round makes room for what comes.
+Large groups, of which a shard holds few, are placed before. Rows without links follow last and even
+out the counts, so the law `rows` holds exactly: the shards' counts are at most one apart.
 
 Cases: a null text counts as empty, size 1, and is linked with other empty texts; null and
 repeated ids are rows of their own; a group larger than a shard fills some shards and cuts few
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from supplylens.llm.common import durable, ranked, read, shuffle_width
 
 SHARDS, ROUNDS = 8, 12
+BUCKETS = 256
 
 
 def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,50 +36,86 @@ def _numbers(values: list[int]) -> Column:
     return F.array(*(F.lit(v).cast("long") for v in values))
 
 
+def _place(groups: list, room: list[int]) -> list[tuple]:
+    """Parts (grp, [(shard, n)]) of large groups: whole where one fits, by its own votes first, else as few parts as fit."""
+    out = []
+    for grp, parts in sorted(groups, key=lambda g: (-sum(p["n"] for p in g[1]), bytes(g[0]))):
+        left, found = sum(p["n"] for p in parts), []
+        own = [p["shard"] for p in sorted(parts, key=lambda p: (-p["n"], p["shard"])) if room[p["shard"]] >= left]
+        while left:
+            goal = own[0] if own else max(range(len(room)), key=lambda s: room[s])
+            n = min(left, room[goal]) if room[goal] > 0 else left
+            room[goal] -= n
+            left -= n
+            found.append((goal, n))
+        out.append((bytes(grp), found))
+    return out
+
+
+def _limits(wishes: dict[tuple[int, int], list[int]], load: list[int], target: list[int]) -> list[int]:
+    """How many of each flow's (from, to) BUCKETS move, so that all moves at once leave no shard above its target."""
+    shards = len(load)
+    limit, after = {k: BUCKETS for k in wishes}, list(load)
+    for (s, t), sums in wishes.items():
+        after[s] -= sum(sums)
+        after[t] += sum(sums)
+    into = {t: [k for k in wishes if k[1] == t] for t in range(shards)}
+    while True:
+        full = [t for t in range(shards) if after[t] > target[t] and any(limit[k] for k in into[t])]
+        if not full:
+            return [limit.get((s, t), 0) for s in range(shards) for t in range(shards)]
+        t = max(full, key=lambda x: after[x] - target[x])
+        # What stays goes back to the shard with the most room.
+        k = max((k for k in into[t] if limit[k]), key=lambda k: (target[k[0]] - after[k[0]], limit[k]))
+        limit[k] -= 1
+        after[t] -= wishes[k][limit[k]]
+        after[k[0]] += wishes[k][limit[k]]
+
+
 def propagate(state: DataFrame, total: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """Move the parts (grp, shard, n) of linked groups together under quotas."""
-    capacity = total // shards
+    """Move the parts (grp, shard, n) of linked groups together under quotas.
+
+    Moves out of a shard make room for moves into it in the same round, so full shards swap parts.
+    """
+    target = [total // shards + (s < total % shards) for s in range(shards)]
+    least = max(8, total // shards // 64)
+    groups = state.groupBy("grp").agg(F.collect_list(F.struct("shard", "n")).alias("parts"), F.sum("n").alias("all"))
+    groups = durable(groups, "groups")
+    small = groups.where(F.col("all") < least).select("grp", "parts")
+    load = [0] * shards
+    for r in small.select(F.explode("parts").alias("p")).groupBy("p.shard").agg(F.sum("p.n").alias("n")).collect():
+        load[r["shard"]] = r["n"]
+    # At most 65 groups for each shard.
+    large = [(r["grp"], r["parts"]) for r in groups.where(F.col("all") >= least).collect()]
+    placed = _place(large, [t - n for t, n in zip(target, load, strict=True)])
+    for _, parts in placed:
+        for s, n in parts:
+            load[s] += n
     for turn in range(rounds):
-        # As many rows as there are shards come to the driver.
-        load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        room = [max(0, capacity - load.get(s, 0)) for s in range(shards)]
-        # A shard that is all but full is no goal, or large groups would wait for it for ever.
-        room = [r if r > capacity // 16 else 0 for r in room]
-        votes = state.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct(F.col("n"), (-F.col("shard")).alias("less"))), asc=False).alias("votes"))
-        wanted = state.join(votes, "grp").withColumn(
-            "goal",
-            F.expr(
-                f"try_element_at(filter(votes, v -> (v.n > n or (v.n = n and v.less > -shard)) and array({','.join(f'{r}L' for r in room)})[-v.less] > 0), 1).less * -1"
-            ),
-        )
-        wanted = durable(wanted.select("grp", "shard", "n", "goal"), f"votes{turn}")
-        # Large parts come first, in part if need be; small ones are whole and have more shards to go to.
-        most = _numbers([max(8, room[s] // 16) for s in range(shards)])
-        small = F.col("n") <= most[F.col("goal")]
-        # As many rows as there are shards.
-        tally = wanted.where("goal is not null").groupBy("goal").agg(F.sum(F.when(small, F.col("n")).otherwise(0)).alias("small"), F.sum("n").alias("n")).collect()
-        if not tally:
-            return state
-        demand = {r["goal"]: (r["small"], r["n"] - r["small"]) for r in tally}
-        few, many = [], []
-        for s in range(shards):
-            little, large = demand.get(s, (0, 0))
-            many.append(F.lit(min(1.0, 0.95 * room[s] / large) if large else 0.0))
-            few.append(F.lit(max(0.0, min(1.0, 0.95 * (room[s] - min(large, room[s])) / little)) if little else 0.0))
-        odds = F.pmod(F.xxhash64("grp", "shard", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        own = F.array(*few)[F.col("goal")]
-        moved = (
-            F.when(F.col("goal").isNull(), 0)
-            .when(~small, F.floor(F.col("n") * F.array(*many)[F.col("goal")]))
-            .when((own >= 1.0) | (odds < own), F.col("n"))
-            .otherwise(0)
-            .cast("long")
-        )
-        parts = wanted.withColumn("moved", moved).select(
-            "grp", F.explode(F.array(F.struct(F.col("shard"), (F.col("n") - F.col("moved")).alias("n")), F.struct(F.col("goal").alias("shard"), F.col("moved").alias("n")))).alias("p")
-        )
-        state = durable(parts.select("grp", "p.*").where("n > 0").groupBy("grp", "shard").agg(F.sum("n").alias("n")), f"parts{turn}")
-    return state
+        # A group's home is its largest part, and in every other round any of its parts; ties go by a hash.
+        vote = f"transform(parts, p -> struct({'p.n' if turn % 2 == 0 else '0L'} AS n, xxhash64(grp, p.shard, {turn}) AS h, p.shard AS shard))"
+        wanted = small.withColumn("home", F.expr(f"array_max({vote}).shard"))
+        bucket = f"cast(pmod(xxhash64(grp, p.shard, {turn}, 1), {BUCKETS}) AS int)"
+        # At most BUCKETS rows for each pair of shards.
+        flows = wanted.select("grp", "home", F.explode("parts").alias("p")).where("p.shard <> home")
+        wishes: dict[tuple[int, int], list[int]] = {}
+        for r in flows.groupBy("p.shard", "home", F.expr(bucket).alias("bucket")).agg(F.sum("p.n").alias("n")).collect():
+            wishes.setdefault((r["shard"], r["home"]), [0] * BUCKETS)[r["bucket"]] = r["n"]
+        if not wishes:
+            break
+        limits = _limits(wishes, load, target)
+        for (s, t), sums in wishes.items():
+            moved = sum(sums[: limits[s * shards + t]])
+            load[s] -= moved
+            load[t] += moved
+        if any(limits):
+            at = F.array(*(F.lit(x) for x in limits))
+            go = wanted.withColumn("limits", at).select("grp", F.expr(f"transform(parts, p -> struct(if(p.shard <> home AND {bucket} < limits[p.shard * {shards} + home], home, p.shard) AS shard, p.n AS n))").alias("p"))
+            joined = F.expr("transform(array_sort(array_distinct(p.shard)), s -> struct(s AS shard, aggregate(filter(p, x -> x.shard = s), 0L, (a, x) -> a + x.n) AS n))")
+            small = durable(go.select("grp", joined.alias("parts")), f"parts{turn}")
+    spark = state.sparkSession
+    both = small.unionByName(spark.createDataFrame(placed, "grp binary, parts array<struct<shard:int,n:bigint>>"))
+    return both.select("grp", F.explode("parts").alias("p")).select("grp", "p.*").groupBy("grp", "shard").agg(F.sum("n").alias("n"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,7 +126,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: s
     first = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(shards)).cast("int")
     linked = rows.groupBy("grp", first.alias("shard")).agg(F.count("*").alias("n"))
     linked = linked.withColumn("all", F.sum("n").over(Window.partitionBy("grp"))).where("all > 1").drop("all")
-    state = propagate(durable(linked, "parts"), total, shards, rounds)
+    state = durable(propagate(durable(linked, "parts"), total, shards, rounds), "state")
 
     # The k-th row of a group, counted through its salts, goes to the part that holds place k.
     salts = max(16, shuffle_width(spark))

@@ -168,6 +168,16 @@ def test_sharding_groups_and_hot_group(spark):
     assert cut <= 3 and max(hot.values()) >= 60
 
 
+@pytest.mark.parametrize("linked_rows", [4000, 3600, 2800])
+def test_sharding_of_full_shards(spark, linked_rows):
+    """Where all or most rows have copies, shards without room swap parts."""
+    rows = [(k, f"pair {k // 2}" if k < linked_rows else f"single {k}") for k in range(4000)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(Counter(r["shard"] for r in out).values()) == [500] * 8
+    at = {r["doc_id"]: r["shard"] for r in out}
+    assert sum(at[2 * g] != at[2 * g + 1] for g in range(linked_rows // 2)) <= 0.01 * linked_rows // 2
+
+
 def test_ranked_numbers_each_key(spark):
     df = spark.createDataFrame([(k % 3 if k % 3 else None, k) for k in range(100)], "key int, v int")
     got = ranked(df, ["key"], [df.v], "place").collect()
