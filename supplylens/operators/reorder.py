@@ -50,9 +50,13 @@ def fold(headers: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def stand_in_decisions(raw: Raw) -> tuple[DataFrame, DataFrame]:
-    headers = raw.table("orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("draft_id"), F.col("o_orderpriority").alias("store"))
+    """Every order is a draft; the events' decisions spread over all order keys by a prime step, three to a draft."""
+    orders = raw.table("orders")
+    headers = orders.select(F.col("o_orderkey").alias("draft_id"), F.col("o_orderpriority").alias("store"))
+    last = F.broadcast(orders.agg(F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high")))  # one row
     e = raw.table("events").where("event_type IN ('click', 'error', 'purchase')")
     status = F.when(F.col("event_type") == "error", "REJECTED").otherwise("APPROVED")
     by = F.when(F.col("user_id") % 5 == 0, " ").otherwise(F.concat(F.lit("user "), F.col("user_id").cast("string")))
     note = F.when(F.col("value") > 50, "too much")
-    return headers, e.select(F.col("event_id").alias("decision_id"), (F.col("event_id") % 400 * 50).alias("draft_id"), F.col("ts").alias("decided_at"), status.alias("status"), by.alias("by"), note.alias("note"))
+    draft = F.col("low") + F.expr("event_id div 3") * 7919 % (F.col("high") - F.col("low") + 1)
+    return headers, e.crossJoin(last).select(F.col("event_id").alias("decision_id"), draft.alias("draft_id"), F.col("ts").alias("decided_at"), status.alias("status"), by.alias("by"), note.alias("note"))

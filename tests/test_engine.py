@@ -121,6 +121,14 @@ def test_draft_fold(spark):
     assert got == {1: ("APPROVED", "bob"), 2: ("PENDING_APPROVAL", None), 3: ("PENDING_APPROVAL", None)}
 
 
+def test_every_order_is_a_draft(core, spark):
+    keys = {r["o_orderkey"] for r in core.raw.table("orders").select("o_orderkey").collect()}
+    heads, decisions = reorder.stand_in_decisions(core.raw)
+    assert {r["draft_id"] for r in heads.collect()} == keys
+    hit = {r["draft_id"] for r in decisions.select("draft_id").collect()}
+    assert decisions.count() > len(hit) and len({k % 50 for k in hit}) == 50 and min(hit) < max(keys) // 10 and max(hit) > max(keys) * 9 // 10
+
+
 ALLOWED = [
     "SELECT * FROM core.dim_sku",
     "WITH x AS (SELECT sku FROM core.dim_sku) SELECT count(*) FROM x",
