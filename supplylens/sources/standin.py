@@ -6,6 +6,7 @@ rows. Stores are regions, SKUs are parts, departments are part types and categor
 
 from __future__ import annotations
 
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,10 +59,13 @@ class Raw:
         return x.withColumn("week", week_of(F.col("date")))
 
     def wide_units(self) -> DataFrame:
-        """Units by department with a column for each of the first days of 2000."""
-        days = [f"2000-01-{d:02d}" for d in range(1, 11)]
-        sums = [F.coalesce(F.sum(F.when(F.col("date") == day(d), F.col("units"))), F.lit(0.0)).cast("long").alias(f"d_{k}") for k, d in enumerate(days, 1)]
-        return self.lines().where(F.col("date").between(day(days[0]), day(days[-1]))).groupBy("dept").agg(*sums)
+        """Units by department with a column for each day of the calendar up to the as-of date."""
+        first, last = date.fromisoformat(EPOCH), date.fromisoformat(AS_OF)
+        days = [first + timedelta(k) for k in range((last - first).days + 1)]
+        each = self.lines().withColumn("k", F.datediff("date", day(EPOCH)) + 1).groupBy("dept", "k").agg(F.sum("units").cast("long").alias("units"))
+        each = each.groupBy("dept").agg(F.map_from_entries(F.collect_list(F.struct("k", "units"))).alias("by_day"))
+        # One column each, as in a wide file: the list is bounded by the calendar.
+        return each.select("dept", *(F.coalesce(F.try_element_at("by_day", F.lit(k)), F.lit(0).cast("long")).alias(f"d_{k}") for k in range(1, len(days) + 1)))
 
     def sales_lines(self, faults: bool = True) -> DataFrame:
         """txn_date, store_code, sku_code, qty, uom, load_batch_id."""

@@ -121,6 +121,13 @@ def test_draft_fold(spark):
     assert got == {1: ("APPROVED", "bob"), 2: ("PENDING_APPROVAL", None), 3: ("PENDING_APPROVAL", None)}
 
 
+def test_wide_units_hold_every_day(core):
+    wide = core.raw.wide_units()
+    assert len(wide.columns) == 1 + 2373
+    got = sum(sum(r[1:]) for r in wide.collect())
+    assert got == core.raw.lines().agg(F.sum("units").cast("long")).first()[0]
+
+
 def test_every_order_is_a_draft(core, spark):
     keys = {r["o_orderkey"] for r in core.raw.table("orders").select("o_orderkey").collect()}
     heads, decisions = reorder.stand_in_decisions(core.raw)
