@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from supplylens.functions.numbers import rounded
 from supplylens.operators.clean import Core
 from supplylens.sources.standin import AS_OF, day, week_of
 
-LAG, HORIZON, LONGEST = 28, 28, 56
+LAG, HORIZON, LONGEST, TRAIN_DAYS = 28, 28, 56, 330
 START, ORIGIN = "2001-04-01", "2001-06-02"
 Z90, Z_SPAN = 1.2816, 2.5632
 
@@ -127,13 +129,14 @@ def window_total(predicted: DataFrame, keys: list[str], days: int, origin: str =
 
 
 def model_forecast(core: Core) -> DataFrame:
-    """A Tweedie regression on the features up to the origin, for the days after it; quantiles are the
+    """A Tweedie regression on the features of TRAIN_DAYS up to the origin, for the days after it; quantiles are the
     mean times those of the residual ratios of the last 28 days."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     names = ["rm7", "rm28", "rm56", "zero28", "price_rel_8w", "dow", "month", "snap", "is_event"]
-    x = features(core, "2001-01-01").where("lag_49 IS NOT NULL").fillna(0.0, names).withColumn("label", F.col("units").cast("double"))
+    start = str(date.fromisoformat(ORIGIN) - timedelta(TRAIN_DAYS))
+    x = features(core, start).where("lag_49 IS NOT NULL").fillna(0.0, names).withColumn("label", F.col("units").cast("double"))
     x = VectorAssembler(inputCols=names, outputCol="features").transform(x)
     train = x.where((F.col("date") <= day(ORIGIN)) & F.col("label").isNotNull())
     fitted = GeneralizedLinearRegression(family="tweedie", variancePower=1.1, linkPower=0.0, maxIter=15, regParam=0.01).fit(train)

@@ -112,6 +112,13 @@ def test_features_do_not_look_ahead(core, spark):
     assert whole.exceptAll(cut).count() == 0
 
 
+def test_model_trains_on_330_days(core, monkeypatch):
+    starts, features = [], forecast.features
+    monkeypatch.setattr(forecast, "features", lambda c, start, *a: starts.append(start) or features(c, start, *a))
+    assert forecast.model_forecast(core).count() > 0
+    assert starts == ["2000-07-07"]
+
+
 def test_draft_fold(spark):
     heads = spark.createDataFrame([(1, "s"), (2, "s"), (3, "s")], "draft_id bigint, store string")
     t = dt.datetime(2024, 1, 1)
