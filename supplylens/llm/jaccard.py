@@ -138,7 +138,7 @@ def _held_often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(members[often].astype(np.int64)), pa.array(counts[often].astype(np.int64))], ["token", "k"])
 
 
-ROWS = [(name, pa.binary()) for name in ("tokens", "owners", "ats", "sizes", "classes", "hot")]
+ROWS = [(name, pa.binary()) for name in ("tokens", "owners", "rarity", "ats", "sizes", "classes")]
 ROWS_DDL = ", ".join(f"{name} binary" for name, _ in ROWS)
 
 
@@ -167,46 +167,40 @@ def _dealer(bits: int, hot: np.ndarray):
                 columns = [tokens[known], own[known], rows.column(1).to_numpy().astype(np.uint16), rows.column(3).to_numpy(), rows.column(4).fill_null(0).to_numpy()]
                 parts = [[*part, x.tobytes()] for part, x in zip(parts, columns[:2], strict=True)]
                 empty = [None] * len(found)
+                parts += [[*empty, None], *([*empty, x.tobytes()] for x in columns[2:])]
                 arrays = [pa.array([*found.tolist(), -1 - chunk], pa.int64()), pa.array([chunk] * (len(found) + 1), pa.int64()), *(pa.array(p, pa.binary()) for p in parts)]
-                arrays += [pa.array([*empty, x.tobytes()], pa.binary()) for x in columns[2:]] + [pa.array([*empty, b""], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["bucket", "chunk", *(name for name, _ in ROWS)])
 
     return run
 
 
-def _counter(bits: int):
-    """For each chunk the members of a bucket that several documents hold, as keys in the order of rarity."""
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
-        if bucket < 0:
-            return table.drop(["bucket"])
-        tokens = np.frombuffer(b"".join(table["tokens"].to_pylist()), np.uint32)
-        sizes = np.array([len(x) // 4 for x in table["tokens"].to_pylist()])
-        owners = np.frombuffer(b"".join(table["owners"].to_pylist()), np.uint16)
-        names, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-        rarity = np.minimum(254, 8 * np.log2(counts)).astype(np.uint64)
-        whole = (np.uint64(bucket) << np.uint64(32) | names.astype(np.uint64)) >> np.uint64(max(0, bits + 32 - BITS))
-        keys = (rarity << np.uint64(BITS) | whole)[inverse]
-        shared = counts[inverse] > 1
-        ends = np.cumsum(sizes)
-        out, whose, chunks = [], [], []
-        for chunk, size, end in zip(table["chunk"].to_pylist(), sizes.tolist(), ends.tolist(), strict=True):
-            here = shared[end - size : end]
-            if here.any():
-                chunks.append(chunk)
-                out.append(keys[end - size : end][here].tobytes())
-                whose.append(owners[end - size : end][here].tobytes())
-        empty = pa.array([None] * len(chunks), pa.binary())
-        return pa.table([pa.array(chunks, pa.int64()), pa.array(out, pa.binary()), pa.array(whose, pa.binary()), empty, empty, empty, empty], schema=pa.schema([("chunk", pa.int64()), *ROWS]))
-
-    return run
+def _counter(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """For each chunk the members of a bucket that several documents hold, with their rarity."""
+    bucket = key[0].as_py()
+    if bucket < 0:
+        return table
+    tokens = np.frombuffer(b"".join(table["tokens"].to_pylist()), np.uint32)
+    owners = np.frombuffer(b"".join(table["owners"].to_pylist()), np.uint16)
+    ends = np.cumsum([len(x) // 4 for x in table["tokens"].to_pylist()]).tolist()
+    _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    rarity = np.minimum(254, 8 * np.log2(counts)).astype(np.uint8)[inverse]
+    shared = counts[inverse] > 1
+    chunks, parts, start = [], [], 0
+    for chunk, end in zip(table["chunk"].to_pylist(), ends, strict=True):
+        here = shared[start:end]
+        if here.any():
+            chunks.append(chunk)
+            parts.append([x[start:end][here].tobytes() for x in (tokens, owners, rarity)])
+        start = end
+    empty = [pa.array([None] * len(chunks), pa.binary())] * (len(ROWS) - 3)
+    found = [pa.array(x, pa.binary()) for x in zip(*parts, strict=True)] if parts else [pa.array([], pa.binary())] * 3
+    return pa.table([pa.array([bucket] * len(chunks), pa.int64()), pa.array(chunks, pa.int64()), *found, *empty], names=["bucket", "chunk", *(name for name, _ in ROWS)])
 
 
 PREFIX = [("c", pa.int64()), ("n", pa.int64()), ("g", pa.int64()), ("chunk", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("tokens", pa.list_(pa.int64()))]
 
 
-def _prefixer(percent: int):
+def _prefixer(percent: int, bits: int):
     """For each class of a chunk whose prefix has members that several documents hold: these, and the first one's place."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -214,9 +208,12 @@ def _prefixer(percent: int):
         sets = {}
         keys, owners = [], []
         for r in rows:
-            tokens, own = np.frombuffer(r["tokens"], np.uint64), np.frombuffer(r["owners"], np.uint16)
-            if r["ats"] is not None:
-                tokens = tokens | np.uint64(255 << BITS)
+            own = np.frombuffer(r["owners"], np.uint16)
+            if r["ats"] is None:
+                whole = (np.uint64(r["bucket"] << 32) | np.frombuffer(r["tokens"], np.uint32)) >> np.uint64(max(0, bits + 32 - BITS))
+                tokens = np.frombuffer(r["rarity"], np.uint8).astype(np.uint64) << np.uint64(BITS) | whole
+            else:
+                tokens = np.frombuffer(r["tokens"], np.uint64) | np.uint64(255 << BITS)
                 for at, n, c in zip(*(np.frombuffer(r[k], t).tolist() for k, t in (("ats", np.uint16), ("sizes", np.int64), ("classes", np.int64))), strict=True):
                     sets[at] = n, c
             keys.append(tokens)
@@ -328,8 +325,8 @@ class Join:
         hot = often.where(F.col("k") > max(HOT, sized["sets"] / HOT)).select("token").toArrow()  # at most HOT times a set's members
         hot = np.sort(hot["token"].to_numpy().astype(np.uint64))
         asked = chunks.mapInArrow(_dealer(bits, hot), f"bucket bigint, chunk bigint, {ROWS_DDL}")
-        answers = asked.groupBy("bucket").applyInArrow(_counter(bits), f"chunk bigint, {ROWS_DDL}")
-        return answers.groupBy("chunk").applyInArrow(_prefixer(self.percent), "c bigint, n bigint, g bigint, chunk bigint, at int, first int, tokens array<bigint>")
+        answers = asked.groupBy("bucket").applyInArrow(_counter, f"bucket bigint, chunk bigint, {ROWS_DDL}")
+        return answers.groupBy("chunk").applyInArrow(_prefixer(self.percent, bits), "c bigint, n bigint, g bigint, chunk bigint, at int, first int, tokens array<bigint>")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that are similar enough; a stored frame."""

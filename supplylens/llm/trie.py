@@ -4,8 +4,9 @@ In BPE the encoding of a word is fixed by the last token of each of its prefixes
 a prefix ends in token t exactly if t encodes to itself and the encoding of what precedes t ends in
 a token that stays apart from t, that is, the two side by side encode to just the two. Distinct
 words form a trie, held as their sorted list; a depth-first walk gives each node the last token of
-its prefix, so a prefix that many words share is encoded once. A word's last symbol carries the end-of-word mark,
-so its last token is found at the word's end and the rest is read back along the path.
+its prefix, so a prefix that many words share is encoded once. Which tokens can end a prefix is told by
+an automaton over the vocabulary. A word's last symbol carries the end-of-word mark, so its last token
+is found at the word's end and the rest is read back along the path.
 
 Cases: null and empty texts have no ids and decode to ""; one result per input row, whatever its
 id; texts of any length are encoded whole; special tokens in a text are ids as in the library;
@@ -14,6 +15,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from array import array
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from supplylens.llm.common import bounded_batches, read
 from supplylens.llm.tokens import byte_alphabet, default_path
 
-KEPT_PIECES, KEPT_WORDS, KEPT_PAIRS = 400_000, 300_000, 500_000
+KEPT_PIECES, KEPT_WORDS, KEPT_PAIRS = 250_000, 200_000, 500_000
 SEPARATOR = re.compile(r"[\x1c-\x1f]")
 
 
@@ -46,17 +48,56 @@ class TrieEncoder:
         self.vocab: dict[str, int] = model["vocab"]
         self.mark = model["end_of_word_suffix"]
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
-        self.special = [x["content"] for x in spec["added_tokens"]]
+        if spec["decoder"] or any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in spec["added_tokens"]):
+            raise ValueError("made for a vocabulary without a decoder, whose special tokens stand in the text as they are")
+        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.apart_from = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.bytes = byte_alphabet()
-        self.longest = max(len(t) for t in self.vocab if not t.endswith(self.mark))
-        self.longest_end = max(len(t) - len(self.mark) for t in self.vocab if t.endswith(self.mark))
         self.names = {k: t for t, k in self.vocab.items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.apart: dict[int, bool] = {}
         # Tokens that encode to themselves; others never end a prefix.
         self.whole = {t for t in self.vocab if self.merge(self.symbols(t)) == [t]}
-        self.pieces: dict[str, tuple[bytes, str]] = {}
-        self.coded: dict[str, tuple[bytes, str]] = {}
+        self.link()
+        # What the worker knows: ids of pieces, their text with a space behind each token, ids of words; a new and an old generation.
+        self.ids, self.old_ids = {}, {}
+        self.shown, self.old_shown = {}, {}
+        self.coded, self.old_coded = {}, {}
+
+    def link(self) -> None:
+        """An automaton over the vocabulary: for what has been read, the tokens that end it, the longest first."""
+        self.next: list[dict[str, int]] = [{}]
+        inside, ends = [None], [None]
+        for token in self.whole:
+            end = token.endswith(self.mark) and len(token) > len(self.mark)
+            body, node = token[: -len(self.mark)] if end else token, 0
+            for c in body:
+                if c not in self.next[node]:
+                    self.next[node][c] = len(self.next)
+                    self.next.append({})
+                    inside.append(None)
+                    ends.append(None)
+                node = self.next[node][c]
+            (ends if end else inside)[node] = (self.vocab[token], len(body))
+        # fail: the longest proper suffix that is a node; shorter nodes are ready when a longer one asks.
+        self.fail = [0] * len(self.next)
+        self.inside, self.ends = [()] * len(self.next), [()] * len(self.next)
+        level = list(self.next[0].values())
+        for node in level:
+            for out, own in ((self.inside, inside), (self.ends, ends)):
+                out[node] = (own[node],) if own[node] else ()
+        while level:
+            below = []
+            for node in level:
+                for c, child in self.next[node].items():
+                    back = self.fail[node]
+                    while back and c not in self.next[back]:
+                        back = self.fail[back]
+                    self.fail[child] = back = self.next[back].get(c, 0)
+                    for out, own in ((self.inside, inside), (self.ends, ends)):
+                        out[child] = ((own[child],) if own[child] else ()) + out[back]
+                    below.append(child)
+            level = below
 
     def symbols(self, token: str) -> list[str]:
         if token.endswith(self.mark) and len(token) > len(self.mark):
@@ -73,51 +114,58 @@ class TrieEncoder:
             parts = [*parts[:at], parts[at] + parts[at + 1], *parts[at + 2 :]]
         return parts
 
-    def stay_apart(self, left: str, right: str) -> bool:
-        pair = (left, right)
-        if (known := self.apart.get(pair)) is None:
-            if len(self.apart) >= KEPT_PAIRS:
-                self.apart.clear()
-            known = self.apart[pair] = self.merge(self.symbols(left) + self.symbols(right)) == [left, right]
+    def stay_apart(self, left: int, right: int) -> bool:
+        """Whether two tokens side by side encode to just the two."""
+        if len(self.apart) >= KEPT_PAIRS:
+            self.apart.clear()
+        a, b = self.names[left], self.names[right]
+        known = self.apart[left << 32 | right] = self.merge(self.symbols(a) + self.symbols(b)) == [a, b]
         return known
 
-    def _last(self, tail: str, at: int, state: list[str], mark: str, longest: int) -> str:
-        """The last token of the prefix of `at` symbols that ends in `tail`; state: those of shorter prefixes."""
-        whole, apart, n = self.whole, self.apart, len(tail)
-        for size in range(min(n, longest), 0, -1):
-            token = tail[n - size :] + mark
-            if token in whole:
-                if size == at:
-                    return token
-                left = state[at - size]
-                known = apart.get((left, token))
-                if known or known is None and self.stay_apart(left, token):
-                    return token
-        raise ValueError(f"no token ends {tail!r}")
-
-    def encode_words(self, words: list[str]) -> dict[str, list[str]]:
-        """The tokens of distinct words, in the vocabulary's alphabet.
+    def _last(self, tokens: tuple[tuple[int, int], ...], at: int, state: list[int]) -> tuple[int, int]:
+        """Of the tokens that end a prefix of `at` symbols the last one of its encoding; state: those of shorter prefixes."""
+        apart = self.apart
+        for token, size in tokens:
+            if size == at:
+                return token, size
+            left = state[at - size]
+            known = apart.get(left << 32 | token)
+            if known or known is None and self.stay_apart(left, token):
+                return token, size
+        raise ValueError("no token ends a prefix")
+
+    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
+        """The ids of distinct words, which are in the vocabulary's alphabet.
 
         In sorted order the words are the trie's leaves as a depth-first walk meets them: `state` is
         the path to the current leaf, and each word goes back to where it leaves the one before.
         """
-        found: dict[str, list[str]] = {}
-        state: list[str] = [""]  # state[i]: the last token of the first i symbols
-        last, longest, before, mark = self._last, self.longest, "", self.mark
+        found: dict[str, list[int]] = {}
+        # By length of the prefix: its last token, that one's size, and the automaton's node.
+        state, sizes, nodes = [-1], [0], [0]
+        last, step, fail, inside, before = self._last, self.next, self.fail, self.inside, ""
         for word in sorted(words):
             n = len(word)
-            shared, most = 0, min(len(state) - 1, n, len(before))
+            shared, most = 0, min(len(nodes) - 1, n - 1, len(before))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del state[shared + 1 :]
-            for at in range(shared + 1, n):
-                state.append(last(word[max(0, at - longest) : at], at, state, "", longest))
-            token = last(word[-self.longest_end :], n, state, mark, self.longest_end)
-            tokens, at = [token], n - (len(token) - len(mark))
+            del state[shared + 1 :], sizes[shared + 1 :], nodes[shared + 1 :]
+            node = nodes[shared]
+            for at in range(shared, n):
+                c = word[at]
+                while node and c not in step[node]:
+                    node = fail[node]
+                node = step[node].get(c, 0)
+                if at < n - 1:
+                    token, size = last(inside[node], at + 1, state)
+                    state.append(token)
+                    sizes.append(size)
+                    nodes.append(node)
+            token, size = last(self.ends[node], n, state)
+            tokens, at = [token], n - size
             while at:
-                token = state[at]
-                tokens.append(token)
-                at -= len(token)
+                tokens.append(state[at])
+                at -= sizes[at]
             tokens.reverse()
             found[word] = tokens
             before = word
@@ -150,22 +198,32 @@ class TrieEncoder:
         return [w if w.isascii() else "".join(map(self.bytes.__getitem__, w.encode())) for w in found]
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode pieces that the worker doesn't know; their new words go through one trie."""
-        if len(self.pieces) + len(pieces) > KEPT_PIECES:
-            self.pieces.clear()
-        split = {p: self.split(p) for p in pieces}
-        distinct = {w for ws in split.values() for w in ws}
-        if len(self.coded) + len(distinct) > KEPT_WORDS:
-            self.coded.clear()
-        known, vocab = self.coded, self.vocab
-        for word, tokens in self.encode_words([w for w in distinct if w not in known]).items():
-            known[word] = array("I", [vocab[t] for t in tokens]).tobytes(), " ".join(tokens)
-        for piece, ws in split.items():
-            if len(ws) == 1:
-                self.pieces[piece] = known[ws[0]]
-            else:
-                got = [known[w] for w in ws]
-                self.pieces[piece] = b"".join([x[0] for x in got]), " ".join([x[1] for x in got])
+        """Know the pieces; those that neither generation knows are encoded, their new words through one trie."""
+        if len(self.ids) > KEPT_PIECES:
+            self.old_ids, self.old_shown, self.ids, self.shown = self.ids, self.shown, {}, {}
+        if len(self.coded) > KEPT_WORDS:
+            self.old_coded, self.coded = self.coded, {}
+        ids, shown, coded, new = self.ids, self.shown, self.coded, []
+        for p in pieces:
+            if p not in ids:
+                if (known := self.old_ids.get(p)) is None:
+                    new.append((p, self.split(p)))
+                else:
+                    ids[p], shown[p] = known, self.old_shown[p]
+        words = set()
+        for _, ws in new:
+            for w in ws:
+                if w not in coded:
+                    if (known := self.old_coded.get(w)) is None:
+                        words.add(w)
+                    else:
+                        coded[w] = known
+        coded.update(self.encode_words(words))
+        names = self.names
+        for p, ws in new:
+            found = coded[ws[0]] if len(ws) == 1 else [k for w in ws for k in coded[w]]
+            ids[p] = array("I", found).tobytes()
+            shown[p] = "".join([names[k] + " " for k in found])
 
     def cut(self, text: str) -> list[str]:
         """The runs between white space. Python also takes four separators for white space; the library doesn't."""
@@ -175,21 +233,23 @@ class TrieEncoder:
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """(ids as little-endian 32-bit integers, decoded text) of each text."""
-        cut = [None if t and any(x in t for x in self.special) else self.cut(t or "") for t in texts]
-        new = {p for ps in cut if ps for p in ps if p not in self.pieces}
-        if new:
-            # A clear in learn() may drop pieces of this batch, so all that it holds are learnt then.
-            full = len(self.pieces) + len(new) > KEPT_PIECES
-            self.learn({p for ps in cut if ps for p in ps} if full else new)
-        out = []
-        for text, ps in zip(texts, cut, strict=True):
-            if ps is None:
-                ids = self.library.encode(text, add_special_tokens=False).ids
-                out.append((np.array(ids, "<u4").tobytes(), self.decode(ids)))
+        cut = [self.parts(t or "") for t in texts]
+        self.learn(set().union(*cut))
+        ids, shown = self.ids.__getitem__, self.shown.__getitem__
+        return [(b"".join(map(ids, ps)), "".join(map(shown, ps))[:-1]) for ps in cut]
+
+    def parts(self, text: str) -> list[str]:
+        """The pieces of a text; special tokens are pieces of their own and end the pieces beside them."""
+        if not any(x in text for x in self.special):
+            return self.cut(text)
+        found = []
+        for k, part in enumerate(self.apart_from.split(text)):
+            if k % 2:
+                self.ids[part], self.shown[part] = array("I", [self.special[part]]).tobytes(), part + " "
+                found.append(part)
             else:
-                got = [x for x in map(self.pieces.__getitem__, ps) if x[0]]
-                out.append((b"".join(x[0] for x in got), " ".join(x[1] for x in got)))
-        return out
+                found += self.cut(part)
+        return found
 
     def decode(self, ids) -> str:
         """The tokens' names, with spaces between: what a vocabulary without a decoder gives."""
@@ -204,11 +264,15 @@ def trie_encoder(path: str) -> TrieEncoder:
 def _runner(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = trie_encoder(path)
-        for batch in batches:
-            out = enc.encode(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string())], ["id", "ids", "decoded"]
-            )
+        gc.disable()  # there are no cycles here, and walking the worker's tables in search of them takes a sixth of the time
+        try:
+            for batch in batches:
+                out = enc.encode(batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string())], ["id", "ids", "decoded"]
+                )
+        finally:
+            gc.enable()
 
     return run
 
