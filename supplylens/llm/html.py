@@ -47,18 +47,35 @@ DROPPED_NAMES = frozenset(
     cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination popup
     promo promoted related reply respond share sharing sidebar social sponsor sponsored subscribe toolbar widget""".split()
 )
+#: Words that may stand beside such a name: "ad-slot" and "comment-list" are marks, "ad-free" and "page-header" aren't.
+BESIDE = frozenset(
+    """area articles bar block bottom box container content global inline item items left links list main menu panel posts primary
+    reader right section secondary site slot stories text top unit user widget wrap wrapper""".split()
+)
 CONTENT = frozenset(["article", "main"])
 KEPT = frozenset(["html", "body", "main"])
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)(/?)>""", re.S)
+OPENING = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+EDGE = re.compile(r"""[<>"']""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-NAME = re.compile(r"[a-z]+")
+PARTS = re.compile(r"[a-z]+|[0-9]+")
 # Min-hashes of a page: two pages with 0.8 of their runs of words in common share a band in 19 of 20 cases.
 SHINGLE, BANDS, BAND = 5, 16, 8
 ODD = np.random.default_rng(0).integers(0, 1 << 63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/?#:]*)"
 
 
+def _marks(value: str) -> set[str]:
+    """The names in a class or id that mark what is no article: all words of a name are marks or stand beside them."""
+    found = set()
+    for name in value.split():
+        words = [w for w in PARTS.findall(name) if not w.isdigit()]
+        marks = DROPPED_NAMES.intersection(words)
+        if marks and all(w in marks or w in BESIDE for w in words):
+            found |= marks
+    return found
+
+
 def _dropped(tag: str, attributes: str) -> bool:
     if tag in DROPPED:
         return True
@@ -70,12 +87,45 @@ def _dropped(tag: str, attributes: str) -> bool:
             return True
         if key == "role" and value in DROPPED_ROLES:
             return True
-        if key in ("class", "id") and (names := DROPPED_NAMES.intersection(NAME.findall(value))):
+        if key in ("class", "id") and (names := _marks(value)):
             if tag != "article" or names & {"comment", "comments", "related", "promo", "sponsored"}:
                 return True
     return False
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, name or None, closing, attributes) of comments, declarations and tags, in one walk over the page.
+
+    A tag ends at the first > outside quotes. One that meets another < or the page's end before that
+    is broken; it is passed over up to there, so nothing is read twice. The caller may send where to go on.
+    """
+    at, size = 0, len(page)
+    while (at := page.find("<", at)) >= 0:
+        m = OPENING.match(page, at)
+        if m is None:
+            at += 1
+            continue
+        start, end = at, m.end()
+        if m[1]:
+            found = page.find("-->", end)
+            end = size if found < 0 else found + 3
+            name = None
+        elif m[2]:
+            found = page.find(">", end)
+            end = size if found < 0 else found + 1
+            name = None
+        else:
+            name = m[4].lower()
+            while (edge := EDGE.search(page, end)) and edge[0] in "\"'":
+                found = page.find(edge[0], edge.end())
+                end = size if found < 0 else found + 1
+            if edge is None or edge[0] == "<":
+                name, end = None, size if edge is None else edge.start()
+            else:
+                end = edge.end()
+        at = (yield start, end, name, bool(m[3]), page[m.end() : end - 1]) or end
+
+
 class Block:
     __slots__ = ("path", "text", "dropped", "region")
 
@@ -83,113 +133,125 @@ class Block:
         self.path, self.text, self.dropped, self.region = path, text, dropped, region
 
 
+class _Open:
+    """An open element that isn't inline, with the inline ones inside: for each name, whether they are dropped."""
+
+    __slots__ = ("tag", "path", "dropped", "region", "inline", "hidden")
+
+    def __init__(self, tag: str, path: str, dropped: bool, region: int):
+        self.tag, self.path, self.dropped, self.region, self.inline, self.hidden = tag, path, dropped, region, None, 0
+
+
+# Elements whose start ends an open one of the same kind, up to the elements that hold them.
+ENDS = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr",), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "option": (("option",), ()),
+}
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of text in page order. region: the number of the outermost article or main around, 0 outside."""
     found: list[Block] = []
-    # Open elements: tag, path, dropped, region.
-    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]
+    stack, count = [_Open("", "", False, 0)], Counter()
     parts: list[str] = []
     regions = 0
 
     def close() -> None:
+        """End the block; it belongs to the innermost element that isn't inline."""
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                _, path, dropped, region = stack[-1]
-                # The block belongs to the innermost element that isn't inline.
-                found.append(Block(path, text, dropped, region))
-
-    at, skip_to = 0, None
-    lower = None
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+                top = stack[-1]
+                found.append(Block(top.path, text, top.dropped or top.hidden > 0, top.region))
+
+    def leave(size: int) -> None:
+        while len(stack) > size:
+            count[stack.pop().tag] -= 1
+
+    at, lower, walk, go = 0, None, _tags(page), None
+    while True:
+        try:
+            start, end, tag, closing, attributes = walk.send(go)
+        except StopIteration:
+            break
+        go = None
+        if start > at:
+            parts.append(page[at:start])
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
-        if m[1]:
+        top = stack[-1]
+        if closing:
             if tag in INLINE:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        if stack[k][2] != stack[k - 1][2]:
-                            close()
-                        del stack[k]
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
+                if top.inline and (own := top.inline.get(tag)):
+                    if own[-1]:
+                        close()
+                        top.hidden -= 1
+                    own.pop()
                 continue
             close()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if count[tag]:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                leave(k)
             continue
         if tag == "br":
             parts.append(" ")
             continue
-        _, path, dropped, region = stack[-1]
-        drops = dropped or _dropped(tag, m[3])
         if tag in INLINE:
-            if drops != dropped:
-                close()
             if tag not in VOID:
-                stack.append((tag, path, drops, region))
+                drops = _dropped(tag, attributes)
+                if drops:
+                    close()
+                    top.hidden += 1
+                if top.inline is None:
+                    top.inline = {}
+                top.inline.setdefault(tag, []).append(drops)
             continue
         close()
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or tag[0] == "h" and tag[1:].isdigit():
-            stop = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}.get(tag, ())
-            same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-            if tag == "p" or tag[0] == "h":
-                same = ("p",)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in same:
-                    del stack[k:]
-                    break
-                if stack[k][0] in stop or stack[k][0] not in INLINE and stack[k][0] != "p":
-                    break
-        elif any(x[0] == "p" for x in stack[-3:]):  # a block ends an open paragraph
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        _, path, dropped, region = stack[-1]
-        drops = dropped or _dropped(tag, m[3])
-        if tag in VOID or m[4]:
+        same, stop = ENDS.get(tag, (("p",), ()))
+        k = len(stack) - 1
+        while k and stack[k].tag == "p" and "p" not in same:  # a block ends an open paragraph
+            k -= 1
+        if k and stack[k].tag in same and stack[k].tag not in stop:
+            leave(k)
+        elif k < len(stack) - 1:
+            leave(k + 1)
+        top = stack[-1]
+        if tag in VOID or attributes.endswith("/"):
             continue
+        drops, region = top.dropped or top.hidden > 0 or _dropped(tag, attributes), top.region
         if tag in CONTENT and not region and not drops:
             regions += 1
             region = regions
-        stack.append((tag, f"{path}/{tag}" if len(stack) < 64 else path, drops, region))
+        stack.append(_Open(tag, xxhash.xxh3_64_hexdigest(f"{top.path}/{tag}"), drops, region))
+        count[tag] += 1
         if tag in RAW:
             if lower is None:
                 lower = page.lower() if len(page.lower()) == len(page) else re.sub("[A-Z]", lambda c: c[0].lower(), page)
-            end = lower.find(f"</{tag}", at)
-            at = len(page) if end < 0 else end
+            go = lower.find(f"</{tag}", at)
+            go = len(page) if go < 0 else go
+            if go > at:
+                parts.append(page[at:go])
+            at = go
     if at < len(page):
-        rest = page[at:]
-        parts.append(rest.partition("<")[0] if rest.startswith("<") else rest)
+        parts.append(page[at:])
     close()
     return found
 
 
 def article(found: list[Block]) -> tuple[list[Block], bool]:
-    """The candidate blocks, and whether the page marks them as its article."""
+    """The candidate blocks, and whether the page marks them as its articles."""
     kept = [b for b in found if not b.dropped]
-    sizes = Counter()
-    for b in kept:
-        if b.region:
-            sizes[b.region] += len(b.text)
-    if sizes:
-        best = max(sizes, key=lambda r: (sizes[r], -r))
-        return [b for b in kept if b.region == best], True
-    return kept, False
+    marked = [b for b in kept if b.region]
+    return marked or kept, bool(marked)
 
 
 def _token(path: str, text: str = "") -> int:

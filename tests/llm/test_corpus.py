@@ -1,3 +1,4 @@
+import time
 import re
 import zlib
 from collections import Counter
@@ -285,3 +286,27 @@ def test_empty_tables(spark, empty):
     assert quality.judge(empty).count() == 0 and quality.keep(empty).count() == 0
     assert sharding.shard(empty).count() == 0
     assert html.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_markup_is_read_in_one_walk():
+    """Broken pages of a megabyte, and names that only look like marks."""
+    began = time.time()
+    for page in ("<a " * 350_000, "<div>" * 50_000 + "</x>" * 50_000 + "</div>" * 50_000, "<i>" * 30_000 + "<b>" * 30_000 + "</i>" * 30_000, "<a '\"" * 100_000, "<!--" * 200_000, "<p>" * 100_000):
+        assert html.blocks(page) == []
+    assert time.time() - began < 20
+    page = """<article><div class="ad-free">a</div><div class="page-header"><h2>b</h2></div><p class="social-history">c <b>d</b> e
+      <div class="ad-slot">x</div><span class="comments">y</span>f<br/>g &lt; h 1 < 2</article><p>outside</p><article>two"""
+    assert [b.text for b in html.article(html.blocks(page))[0]] == ["a", "b", "c d e", "f g < h 1 < 2", "two"]
+
+
+def test_boilerplate_leaves_the_text(spark):
+    """A notice that is the longest line of many documents is removed, whatever else stands there."""
+    notice = " ".join(f"n{k}" for k in range(80))
+    rows = [(k, f"title {k}\n\n{notice}\n" + " ".join(f"w{k}x{j}" for j in range(60)) + f"\n {notice.upper()} \nend{k}", "a", 5) for k in range(60)]
+    rows += [(100 + k, f"only {k}\n{notice}", "a", 5) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint")
+    judged = {r["doc_id"]: (r["n_boilerplate_words"], r["kept"]) for r in quality.judge(df).collect()}
+    assert judged == {k: (160, True) for k in range(60)} | {100 + k: (80, False) for k in range(20)}
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in quality.keep(df, length_col="n_chars").collect()}
+    want = {k: t.split("\n") for k, t, _, _ in rows[:60]}
+    assert got == {k: ("\n".join([t[0], "", t[3], t[5]]), len("\n".join([t[0], "", t[3], t[5]]))) for k, t in want.items()}
