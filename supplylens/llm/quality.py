@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from supplylens.llm.common import WORD_GAP, durable, let, read, shuffle_width
 
-LIMIT, LEAST_SHARE, LEAST_COPIES_SHARE = 10, 0.2, 0.5
+LIMIT, LEAST_SHARE = 10, 0.2
 SYMBOLS = "#*$%&|<>"
 WORD_GAP_SQL = "'" + WORD_GAP.replace("\\", "\\\\") + "'"
 SPACES = " \t\n\x0b\x0c\r"
@@ -61,27 +61,27 @@ def base_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """Each row's normalised lines that have a word."""
-    normal = F.filter(
-        F.transform(F.split("t", "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), WORD_GAP, " "))), lambda x: x != ""
-    )
+    """Each row's normalised lines; those without a word are empty."""
+    normal = F.transform(F.split("t", "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), WORD_GAP, " ")))
     return _texts(docs, id_col, text_col, host_col).select("doc_id", F.xxhash64("t").alias("th"), "host", normal.alias("lines"))
 
 
 def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT) -> DataFrame:
     """(host, line): hashes of the lines that stand in too many documents of a host."""
-    hashes = F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))
+    hashes = F.array_distinct(F.transform(F.filter("lines", lambda x: x != ""), lambda x: F.xxhash64(x)))
     rows = _lines(docs, id_col, text_col, host_col).select("host", "th", F.explode(hashes).alias("line"))
     # A line that most documents hold meets as one row for each text, then one for each task.
     return rows.distinct().groupBy("host", "line").agg(F.count("*").alias("texts")).where(F.col("texts") > limit).select("host", "line")
 
 
 def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT) -> DataFrame:
-    """(doc_id, th, removed, n_words): words in boilerplate lines and in all, for documents that have any."""
+    """(doc_id, th, removed, n_words, places): words in boilerplate lines and in all, and which lines these
+    are, for documents that have any."""
     salts = min(32, max(8, shuffle_width(docs.sparkSession) // 4))
     bad = boilerplate(docs, id_col, text_col, host_col, limit)
     bad = bad.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    pieces = F.transform("lines", lambda x, i: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words"), i.alias("pos")))
+    pieces = F.transform("lines", lambda x, i: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words"), i.alias("pos"), x.alias("x")))
+    pieces = F.transform(F.filter(pieces, lambda p: p["x"] != ""), lambda p: F.struct(p["line"].alias("line"), p["words"].alias("words"), p["pos"].alias("pos")))
     total = F.aggregate(pieces, F.lit(0), lambda a, p: a + p["words"])
     rows = _lines(docs, id_col, text_col, host_col).select("doc_id", "th", "host", total.alias("n_words"), F.pmod("th", F.lit(salts)).cast("int").alias("salt"), F.explode(pieces).alias("l"))
     rows = rows.select("doc_id", "th", "host", "n_words", "salt", "l.*").alias("a")
@@ -89,32 +89,37 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hit = rows.join(bad.alias("b"), same, "left_semi")
     # Repeated rows have the same lines at the same places.
     once = hit.groupBy("doc_id", "th", "pos").agg(F.max("words").alias("words"), F.max("n_words").alias("n_words"))
-    return once.groupBy("doc_id", "th").agg(F.sum("words").alias("removed"), F.max("n_words").alias("n_words"))
+    return once.groupBy("doc_id", "th").agg(F.sum("words").alias("removed"), F.max("n_words").alias("n_words"), F.collect_list("pos").alias("places"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT, least_share: float = LEAST_SHARE) -> DataFrame:
     """The base counts and the verdict of every row, with th, a hash of its text."""
     base = base_metrics(docs, id_col, text_col, host_col).alias("a")
-    lost = removed_words(docs, id_col, text_col, host_col, limit).drop("n_words").alias("b")
+    lost = removed_words(docs, id_col, text_col, host_col, limit).select("doc_id", "th", "removed").alias("b")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th"))
     left = F.col("n_words") - F.coalesce(F.col("b.removed"), F.lit(0))
     kept = ~F.col("base_failed") & (left >= least_share * F.col("n_words"))
     return base.join(lost, same, "left").select("a.*", F.coalesce(F.col("b.removed"), F.lit(0)).cast("long").alias("n_boilerplate_words"), kept.alias("kept"))
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT, least_share: float = LEAST_SHARE) -> DataFrame:
-    """The rows of docs that pass, as they are.
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", length_col: str | None = None, limit: int = LIMIT, least_share: float = LEAST_SHARE) -> DataFrame:
+    """The rows of docs that pass, their texts without boilerplate lines; length_col gets the new length.
 
-    Depleted documents are few as a rule: the planner broadcasts them if their stored size allows it
-    and shuffles both sides if not.
+    Documents with such lines are few as a rule: the planner broadcasts them if their stored size allows
+    it and shuffles both sides if not.
     """
-    lost = removed_words(docs, id_col, text_col, host_col, limit)
-    depleted = lost.where(F.col("n_words") - F.col("removed") < least_share * F.col("n_words"))
-    depleted = durable(depleted.select("doc_id", "th"), "depleted").alias("b")
+    lost = durable(removed_words(docs, id_col, text_col, host_col, limit), "lost").alias("b")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    passed = rows.where(~F.expr(_repeats() + ".failed")).select("row", "doc_id", F.xxhash64("t").alias("th")).alias("a")
+    passed = rows.where(~F.expr(_repeats() + ".failed")).select("row", "doc_id", "t", F.xxhash64("t").alias("th")).alias("a")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th"))
-    return passed.join(depleted, same, "left_anti").select("row.*")
+    left = F.col("b.n_words") - F.col("b.removed")
+    joined = passed.join(lost, same, "left").where(F.col("b.th").isNull() | (left >= least_share * F.col("b.n_words")))
+    lines = F.split("t", "\n")
+    others = let(lines, lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("places")), lambda i: F.get(x, i)))
+    text = F.when(F.col("b.th").isNull(), F.col("row").getField(text_col)).otherwise(F.array_join(others, "\n"))
+    whole = joined.select("row", text.alias("text"))
+    own = {text_col: F.col("text")} | ({length_col: F.length("text").cast(docs.schema[length_col].dataType)} if length_col else {})
+    return whole.select(*(own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,10 +137,8 @@ raw AS (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d),
 dup AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM raw WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid),
 lines AS (SELECT rid, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS x FROM raw
           WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
-page AS (SELECT rid, x AS page FROM (SELECT rid, x, row_number() OVER (PARTITION BY rid ORDER BY length(x) DESC, x DESC) AS k FROM lines) WHERE k = 1),
-held AS (SELECT DISTINCT d.host, d.doc_id, d.t, l.x, p.page FROM lines l JOIN d USING (rid) JOIN page p USING (rid)),
-bad AS (SELECT host, x FROM held GROUP BY host, x
-        HAVING count(DISTINCT page) > {LIMIT} AND count(DISTINCT page) >= {LEAST_COPIES_SHARE} * count(*)),
+held AS (SELECT DISTINCT d.host, d.t, l.x FROM lines l JOIN d USING (rid)),
+bad AS (SELECT host, x FROM held GROUP BY host, x HAVING count(*) > {LIMIT}),
 lost AS (SELECT l.rid, sum(length(l.x) - length(replace(l.x, ' ', '')) + 1) AS n
          FROM lines l JOIN d USING (rid) JOIN bad b ON b.host IS NOT DISTINCT FROM d.host AND b.x = l.x GROUP BY l.rid),
 m AS (SELECT d.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words,
