@@ -6,8 +6,6 @@ dimensions are broadcast is left to their measured sizes.
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,19 +62,28 @@ def repair_prices(book: DataFrame, sold: DataFrame, keys: list[str], factor: int
     )
 
 
+def stored(by: str | None = None):
+    """A layer that is built once and read from then on."""
+
+    def wrap(build):
+        return property(lambda self: self.raw.store.table(build.__name__, lambda: build(self), by), doc=build.__doc__)
+
+    return wrap
+
+
 class Core:
-    """The cleaned tables over one set of raw exports."""
+    """The cleaned tables over one set of raw exports: each is written when it is first asked for."""
 
     def __init__(self, raw: Raw):
         self.raw = raw
 
-    @cached_property
+    @stored()
     def sku_alias(self) -> DataFrame:
         codes = self.raw.sku_master().select("sku_code").union(self.raw.sales_lines().select("sku_code")).union(self.raw.inventory().select("sku_code")).distinct()
         sku = canonical(F.col("sku_code"))
         return codes.select(F.col("sku_code").alias("raw_code"), sku.alias("sku"), (F.col("sku_code") != sku).alias("is_alias"))
 
-    @cached_property
+    @stored()
     def dim_sku(self) -> DataFrame:
         """Only codes that the master holds in canonical form; packs that aren't set are the department's mode."""
         master = self.raw.sku_master()
@@ -91,11 +98,11 @@ class Core:
             "unit_cost", "supplier_id", F.when(stale, "DISCONTINUED").otherwise("ACTIVE").alias("status"),
         )
 
-    @cached_property
+    @stored()
     def load_batches(self) -> DataFrame:
         return rank_loads(self.raw.load_log())
 
-    @cached_property
+    @stored("date")
     def fact_sales_daily(self) -> DataFrame:
         """Units by date, store and SKU. Every line is rounded to whole units before it is summed."""
         first = self.load_batches.where("load_rank = 1").select("load_batch_id")
@@ -112,22 +119,22 @@ class Core:
         counts = self.fact_sales_daily.groupBy("date", "store").agg(F.sum("n_lines").alias("n_lines"), F.sum("units").alias("units"))
         return grid.join(counts, ["date", "store"], "left").fillna(0, ["n_lines", "units"])
 
-    @cached_property
+    @stored("date")
     def store_day_status(self) -> DataFrame:
         return status_of_days(self.day_counts())
 
-    @cached_property
+    @stored()
     def fact_price_weekly(self) -> DataFrame:
         return repair_prices(self.raw.price_book(), self.raw.lines(), ["store", "dept"])
 
-    @cached_property
+    @stored("date")
     def sales_enriched(self) -> DataFrame:
         f = self.fact_sales_daily.withColumn("week", week_of(F.col("date"))).join(self.dim_sku.select("sku", "dept", "category"), "sku")
         p = self.fact_price_weekly.select("store", "dept", "week", "price", "is_imputed")
         x = f.join(p, ["store", "dept", "week"], "left")
         return x.select("date", "week", "store", "sku", "dept", "category", "units", "price", rounded(F.col("units") * F.col("price")).alias("revenue"), F.col("is_imputed").alias("price_is_imputed"))
 
-    @cached_property
+    @stored()
     def inventory(self) -> DataFrame:
         x = self.raw.inventory().withColumn("sku", canonical(F.col("sku_code"))).join(self.dim_sku.select("sku"), "sku", "left_semi")
         return x.groupBy("store", "sku").agg(F.sum("on_hand").cast("long").alias("on_hand"), F.sum("on_order").cast("long").alias("on_order"))
@@ -142,8 +149,11 @@ class Core:
 
     def issues(self) -> DataFrame:
         """One row for each class of fault that cleaning found."""
-        aliases = self.raw.sales_lines().where(F.col("sku_code") != canonical(F.col("sku_code"))).agg(F.count("*").alias("n"), F.countDistinct("sku_code").alias("k"))
-        cases = self.raw.sales_lines().where(is_case(F.col("uom"))).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("store_code")), ", ").alias("k"))
+        code, case = F.col("sku_code"), is_case(F.col("uom"))
+        seen = self.raw.sales_lines().groupBy("sku_code", "store_code").agg(F.count("*").alias("n"), F.count(F.when(case, 1)).alias("cases"))
+        seen = self.raw.store.table("line_faults", lambda: seen.where((code != canonical(code)) | (F.col("cases") > 0)))
+        aliases = seen.where(code != canonical(code)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.countDistinct("sku_code").alias("k"))
+        cases = seen.where("cases > 0").agg(F.coalesce(F.sum("cases"), F.lit(0)).alias("n"), F.array_join(F.array_sort(F.collect_set("store_code")), ", ").alias("k"))
         loads = self.load_batches.where("load_rank > 1").agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("n"), F.array_join(F.array_sort(F.collect_set("source_file")), ", ").alias("k"))
         out = self.store_day_status.where("status = 'missing_data'").agg(F.count("*").alias("n"))
         closed = self.store_day_status.where("status = 'closed_all_stores'").agg(F.count("*").alias("n"))

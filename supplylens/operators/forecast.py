@@ -16,30 +16,41 @@ START, ORIGIN = "2001-04-01", "2001-06-02"
 Z90, Z_SPAN = 1.2816, 2.5632
 
 
-def daily(core: Core) -> DataFrame:
-    """Units by date, store and department."""
-    return core.fact_sales_daily.join(core.dim_sku.select("sku", "dept"), "sku").groupBy("date", "store", "dept").agg(F.sum("units").cast("long").alias("units"))
+def shifted(start: str, days: int) -> str:
+    return str(date.fromisoformat(start) + timedelta(days))
 
 
-def grid(core: Core, sales: DataFrame, low: str, high: str) -> DataFrame:
+def daily(core: Core, by: str = "dept") -> DataFrame:
+    """Units by date, store and department or SKU."""
+    if by == "sku":
+        return core.fact_sales_daily.select("date", "store", "sku", "units")
+    sums = lambda: core.fact_sales_daily.join(core.dim_sku.select("sku", "dept"), "sku").groupBy("date", "store", "dept").agg(F.sum("units").cast("long").alias("units"))
+    return core.raw.store.table("series_daily", sums, "date")
+
+
+def grid(core: Core, sales: DataFrame, low: str, high: str, by: str = "dept") -> DataFrame:
     """A row for every day of a series in a window: zero without a sale, null on days without data.
 
     Each series makes its own days from its first sale on; nothing is joined by range.
     """
-    first = sales.groupBy("store", "dept").agg(F.min("date").alias("first_sale"))
+    first = sales.groupBy("store", by).agg(F.min("date").alias("first_sale"))
     begin = F.greatest(F.col("first_sale"), day(low))
-    days = first.where(begin <= day(high)).select("store", "dept", "first_sale", F.explode(F.sequence(begin, day(high))).alias("date"))
-    x = days.join(sales, ["store", "dept", "date"], "left").join(core.store_day_status.select("store", "date", "status"), ["store", "date"], "left")
+    days = first.where(begin <= day(high)).select("store", by, "first_sale", F.explode(F.sequence(begin, day(high))).alias("date"))
+    inside = F.col("date").between(day(low), day(high))
+    x = days.join(sales.where(inside), ["store", by, "date"], "left").join(core.store_day_status.where(inside).select("store", "date", "status"), ["store", "date"], "left")
     known = F.col("status").isNotNull() & (F.col("status") != "missing_data")
-    return x.select("store", "dept", "date", "first_sale", F.when(known, F.coalesce("units", F.lit(0))).alias("units"))
+    return x.select("store", by, "date", "first_sale", F.when(known, F.coalesce("units", F.lit(0))).alias("units"))
+
+
+def history(core: Core, by: str = "dept") -> DataFrame:
+    """The dense days from which baselines, spreads and bands up to the origin are made."""
+    return core.raw.store.table(f"history_{by}", lambda: grid(core, daily(core, by), shifted(ORIGIN, 1 - LONGEST), ORIGIN, by))
 
 
 def features(core: Core, start: str = START, end: str = AS_OF, cutoff: str = ORIGIN) -> DataFrame:
     """Features of every series-day in [start, end]; demand looks back LAG days or more and prices are
     frozen after the cutoff. History is bounded before the windows run and cut after them."""
-    low = F.date_sub(day(start), LAG + LONGEST + 7)
-    low_text = core.raw.spark.range(1).select(low.cast("string")).first()[0]
-    x = grid(core, daily(core), low_text, end)
+    x = grid(core, daily(core), shifted(start, -(LAG + LONGEST + 7)), end)
     x = x.withColumn("price_week", F.least(week_of(F.col("date")), week_of(day(cutoff))))
     price = core.fact_price_weekly.select("store", "dept", F.col("week").alias("price_week"), F.col("price").alias("p"))
     cal = core.raw.calendar().select("date", "event_type", "snap")
@@ -64,15 +75,14 @@ def features(core: Core, start: str = START, end: str = AS_OF, cutoff: str = ORI
     return x.where(F.col("date") >= day(start))
 
 
-def weekday_baseline(core: Core, origin: str = ORIGIN, horizon: int = HORIZON) -> DataFrame:
+def weekday_baseline(core: Core, by: str = "dept", horizon: int = HORIZON) -> DataFrame:
     """The mean of the same weekday over the 28 days up to the origin, days without data left out."""
     spark = core.raw.spark
-    low = spark.range(1).select(F.date_sub(day(origin), 27).cast("string")).first()[0]
-    hist = grid(core, daily(core), low, origin).groupBy("store", "dept", F.weekday("date").alias("wd")).agg(F.avg("units").alias("mean"))
-    ahead = spark.range(1, horizon + 1).select(F.date_add(day(origin), F.col("id").cast("int")).alias("date"))
-    series = hist.select("store", "dept").distinct()
+    hist = history(core, by).where(F.col("date") > F.date_sub(day(ORIGIN), 28)).groupBy("store", by, F.weekday("date").alias("wd")).agg(F.avg("units").alias("mean"))
+    ahead = spark.range(1, horizon + 1).select(F.date_add(day(ORIGIN), F.col("id").cast("int")).alias("date"))
+    series = hist.select("store", by).distinct()
     out = series.crossJoin(F.broadcast(ahead)).withColumn("wd", F.weekday("date"))  # a row for each day ahead
-    return out.join(hist, ["store", "dept", "wd"], "left").select("store", "dept", "date", rounded(F.coalesce("mean", F.lit(0.0)), 6).alias("mean"))
+    return out.join(hist, ["store", by, "wd"], "left").select("store", by, "date", rounded(F.coalesce("mean", F.lit(0.0)), 6).alias("mean"))
 
 
 def order_repair(low: Column, mean: Column, high: Column) -> tuple[Column, Column, Column]:
@@ -81,19 +91,21 @@ def order_repair(low: Column, mean: Column, high: Column) -> tuple[Column, Colum
     return F.least(F.greatest(low, zero), mean), mean, F.greatest(F.greatest(high, zero), mean)
 
 
-def forecast(core: Core, origin: str = ORIGIN) -> DataFrame:
-    """store, dept, date, p10, mean, p90: the baseline with quantiles of the last 56 days."""
-    low = core.raw.spark.range(1).select(F.date_sub(day(origin), LONGEST - 1).cast("string")).first()[0]
-    hist = grid(core, daily(core), low, origin).groupBy("store", "dept").agg(F.percentile("units", 0.1).alias("q10"), F.percentile("units", 0.9).alias("q90"))
-    x = weekday_baseline(core, origin).join(hist, ["store", "dept"], "left")
-    p10, mean, p90 = order_repair(F.coalesce("q10", F.lit(0.0)), F.col("mean"), F.coalesce("q90", F.lit(0.0)))
-    return x.select("store", "dept", "date", rounded(p10, 6).alias("p10"), mean.alias("mean"), rounded(p90, 6).alias("p90"))
+def forecast(core: Core, by: str = "dept") -> DataFrame:
+    """store, dept or sku, date, p10, mean, p90: the baseline with quantiles of the last 56 days."""
+
+    def build() -> DataFrame:
+        hist = history(core, by).groupBy("store", by).agg(F.percentile("units", 0.1).alias("q10"), F.percentile("units", 0.9).alias("q90"))
+        x = weekday_baseline(core, by).join(hist, ["store", by], "left")
+        p10, mean, p90 = order_repair(F.coalesce("q10", F.lit(0.0)), F.col("mean"), F.coalesce("q90", F.lit(0.0)))
+        return x.select("store", by, "date", rounded(p10, 6).alias("p10"), mean.alias("mean"), rounded(p90, 6).alias("p90"))
+
+    return core.raw.store.table(f"forecast_{by}", build)
 
 
-def with_actuals(core: Core, predicted: DataFrame, origin: str = ORIGIN) -> DataFrame:
-    ahead = core.raw.spark.range(1).select(F.date_add(day(origin), 1).cast("string"), F.date_add(day(origin), HORIZON).cast("string")).first()
-    actual = grid(core, daily(core), ahead[0], ahead[1]).select("store", "dept", "date", F.col("units").alias("actual"))
-    return predicted.join(actual, ["store", "dept", "date"]).where("actual IS NOT NULL")
+def with_actuals(core: Core, predicted: DataFrame) -> DataFrame:
+    actual = core.raw.store.table("actuals", lambda: grid(core, daily(core), shifted(ORIGIN, 1), shifted(ORIGIN, HORIZON)))
+    return predicted.join(actual.select("store", "dept", "date", F.col("units").alias("actual")), ["store", "dept", "date"]).where("actual IS NOT NULL")
 
 
 def wape(actual: Column, predicted: Column) -> Column:
@@ -102,8 +114,7 @@ def wape(actual: Column, predicted: Column) -> Column:
 
 def bands(core: Core) -> DataFrame:
     """Series by their mean units a day over the 56 days up to the origin: slow, medium or fast."""
-    low = core.raw.spark.range(1).select(F.date_sub(day(ORIGIN), LONGEST - 1).cast("string")).first()[0]
-    x = grid(core, daily(core), low, ORIGIN).groupBy("store", "dept").agg(F.avg("units").alias("v"))
+    x = history(core).groupBy("store", "dept").agg(F.avg("units").alias("v"))
     band = F.when(F.col("v") <= 1, "slow").when(F.col("v") <= 5, "medium").otherwise("fast")
     return x.select("store", "dept", rounded(F.col("v"), 6).alias("per_day"), band.alias("band"))
 
@@ -135,8 +146,7 @@ def model_forecast(core: Core) -> DataFrame:
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     names = ["rm7", "rm28", "rm56", "zero28", "price_rel_8w", "dow", "month", "snap", "is_event"]
-    start = str(date.fromisoformat(ORIGIN) - timedelta(TRAIN_DAYS))
-    x = features(core, start).where("lag_49 IS NOT NULL").fillna(0.0, names).withColumn("label", F.col("units").cast("double"))
+    x = features(core, shifted(ORIGIN, -TRAIN_DAYS)).where("lag_49 IS NOT NULL").fillna(0.0, names).withColumn("label", F.col("units").cast("double"))
     x = VectorAssembler(inputCols=names, outputCol="features").transform(x)
     train = x.where((F.col("date") <= day(ORIGIN)) & F.col("label").isNotNull())
     fitted = GeneralizedLinearRegression(family="tweedie", variancePower=1.1, linkPower=0.0, maxIter=15, regParam=0.01).fit(train)

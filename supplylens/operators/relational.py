@@ -19,7 +19,10 @@ def reconcile(got: DataFrame, true: DataFrame, keys: list[str], values: list[str
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.exceptAll(b).unionAll(b.exceptAll(a))
+    """EXCEPT ALL both ways: rows are counted with their sign in one shuffle and stand as often as the sides differ."""
+    signed = a.withColumn("_n", F.lit(1)).unionByName(b.withColumn("_n", F.lit(-1)))
+    left = signed.groupBy(*a.columns).agg(F.abs(F.sum("_n")).cast("int").alias("_n")).where("_n > 0")
+    return left.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*a.columns)
 
 
 def recovery(core, raw: Raw) -> DataFrame:
@@ -44,4 +47,8 @@ def busy(lines: DataFrame, store: str, start: str, end: str, least: int) -> Data
 
 
 def long_form(wide: DataFrame, ids: list[str], name: str, value: str) -> DataFrame:
-    return wide.unpivot(ids, [c for c in wide.columns if c not in ids], name, value)
+    """UNPIVOT by one array of the columns: unpivot() makes a projection for each, too many for a column a day."""
+    columns = [c for c in wide.columns if c not in ids]
+    names = F.split(F.lit("\n".join(columns)), "\n")  # a constant
+    each = wide.select(*ids, F.posexplode(F.array(*columns)).alias("_at", value))
+    return each.select(*ids, F.get(names, F.col("_at")).alias(name), value)

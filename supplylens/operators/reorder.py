@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timezone
+from statistics import NormalDist
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +15,10 @@ from supplylens.operators.clean import Core
 from supplylens.operators.forecast import ORIGIN, Z90, forecast
 from supplylens.sources.standin import Raw, day
 
-SERVICE_Z, REVIEW_DAYS, PACK = 1.6448536269514722, 7, 12
-MIN_CASES = 4
+SERVICE, REVIEW_DAYS = 0.95, 7
+
+
+DECISION = "decision_id string, draft_id string, decided_at timestamp_ntz, status string, by string, note string"
 
 
 def cases(need: Column, pack: Column) -> Column:
@@ -19,23 +26,67 @@ def cases(need: Column, pack: Column) -> Column:
     return F.ceil(F.greatest(need, F.lit(0.0)) / pack - F.lit(1e-9)).cast("long")
 
 
-def lines(core: Core, review: int = REVIEW_DAYS, z: float = SERVICE_Z) -> DataFrame:
-    """Cases to order for each store and department: demand until the next delivery but one, plus safety
-    stock from the upper tail, less what is there and on its way."""
-    f = forecast(core).withColumn("lead", (3 + F.length("dept") % 12).cast("int"))
-    f = f.where(F.col("date") <= F.date_add(day(ORIGIN), F.col("lead") + review))
+def lines(core: Core, store: str | None = None, dept: str | None = None, service: float = SERVICE, review: int = REVIEW_DAYS) -> DataFrame:
+    """Cases to order for each store and active SKU: demand until the next delivery but one, plus safety
+    stock from the upper tail, less what is there and on its way. Packs and costs are the SKU's, lead times
+    its supplier's."""
+    items = core.dim_sku.where("status = 'ACTIVE'").select("sku", "dept", "case_pack", "unit_cost", "supplier_id")
+    items = items.join(core.raw.suppliers(), "supplier_id")
+    stock = core.inventory.join(items.where(F.col("dept") == dept) if dept else items, "sku")
+    stock = stock.where(F.col("store") == store) if store else stock
+    last = F.date_add(day(ORIGIN), F.col("lead_time_days") + review)
+    f = forecast(core, "sku").join(stock.select("store", "sku", "lead_time_days"), ["store", "sku"]).where(F.col("date") <= last)
     sigma = F.greatest(F.col("p90") - F.col("mean"), F.lit(0.0)) / Z90
-    d = f.groupBy("store", "dept", "lead").agg(F.sum("mean").alias("demand"), (F.lit(z) * F.sqrt(F.sum(sigma * sigma))).alias("safety"))
-    stock = core.inventory.join(core.dim_sku.select("sku", "dept"), "sku").groupBy("store", "dept").agg((F.sum("on_hand") % 40).alias("on_hand"), (F.sum("on_order") % 20).alias("on_order"))
-    x = d.join(stock, ["store", "dept"])
+    z = NormalDist().inv_cdf(service)
+    d = f.groupBy("store", "sku").agg(F.sum("mean").alias("demand"), (F.lit(z) * F.sqrt(F.sum(sigma * sigma))).alias("safety"))
+    x = stock.join(d, ["store", "sku"])
     need = F.col("demand") + F.col("safety") - F.col("on_hand") - F.col("on_order")
-    return x.select("store", "dept", F.col("lead").alias("lead_time_days"), rounded(F.col("demand"), 4).alias("demand"), rounded(F.col("safety"), 4).alias("safety"), "on_hand", "on_order", cases(need, F.lit(float(PACK))).alias("cases"))
+    x = x.withColumn("cases", cases(need, F.col("case_pack").cast("double")))
+    return x.select(
+        "store", "sku", "dept", "supplier_id", "lead_time_days", "min_order_cases", "case_pack", rounded(F.col("demand"), 4).alias("demand"), rounded(F.col("safety"), 4).alias("safety"),
+        "on_hand", "on_order", "cases", rounded(F.col("cases") * F.col("case_pack") * F.col("unit_cost")).alias("cost"),
+    )
 
 
 def drafts(found: DataFrame) -> DataFrame:
-    """One draft for each store and supplier (by the department's lead time); small ones are flagged, not raised."""
-    x = found.where("cases > 0").groupBy("store", "lead_time_days").agg(F.count("*").alias("n_lines"), F.sum("cases").alias("cases"))
-    return x.select("store", "lead_time_days", "n_lines", "cases", (F.col("cases") < MIN_CASES).alias("below_minimum"), F.lit("PENDING_APPROVAL").alias("status"))
+    """One draft for each store and supplier; those below the supplier's minimum are flagged, not raised."""
+    x = found.where("cases > 0").groupBy("store", "supplier_id", "lead_time_days", "min_order_cases").agg(F.count("*").alias("n_lines"), F.sum("cases").alias("cases"), rounded(F.sum("cost")).alias("cost"))
+    return x.select("store", "supplier_id", "lead_time_days", "n_lines", "cases", "cost", (F.col("cases") < F.col("min_order_cases")).alias("below_minimum"), F.lit("PENDING_APPROVAL").alias("status"))
+
+
+def save(core: Core, found: DataFrame, path: str) -> str:
+    """Append drafts and their lines in one write each under a new id, headers last: readers join lines to
+    headers, so lines of a write that failed are never seen. Returns the id."""
+    batch = uuid.uuid4().hex
+    key = F.concat(F.lit(f"{batch}-"), "store", F.lit("-"), F.col("supplier_id").cast("string"))
+    rows = core.raw.store.table(f"lines_{batch}", lambda: found)
+    rows.where("cases > 0").withColumn("draft_id", key).write.mode("append").parquet(f"{path}/lines")
+    drafts(rows).withColumn("draft_id", key).write.mode("append").parquet(f"{path}/drafts")
+    return batch
+
+
+def listing(spark, path: str, store: str | None = None, status: str | None = None) -> DataFrame:
+    """Drafts with their state, the costly ones first."""
+    headers = spark.read.parquet(f"{path}/drafts")
+    headers = headers.where(F.col("store") == store) if store else headers
+    try:
+        decided = spark.read.parquet(f"{path}/decisions")
+    except AnalysisException:
+        decided = spark.createDataFrame([], DECISION)
+    state = fold(headers.select("draft_id", "store"), decided).select("draft_id", F.col("status").alias("state"), "decided_by")
+    out = headers.join(state, "draft_id").withColumn("status", F.col("state")).drop("state")
+    return (out.where(F.col("status") == status) if status else out).orderBy(F.desc("cost"), "draft_id")
+
+
+def decide(spark, path: str, draft_id: str, status: str, by: str, note: str = "") -> None:
+    """Append a decision; only a named person decides, and a rejection says why."""
+    if status not in ("APPROVED", "REJECTED") or not by.strip() or status == "REJECTED" and not note.strip():
+        raise ValueError("a decision is APPROVED or REJECTED by a named person, a rejection with a note")
+    state = listing(spark, path).where(F.col("draft_id") == draft_id).first()
+    if state is None or state["status"] != "PENDING_APPROVAL":
+        raise ValueError(f"no pending draft {draft_id}")
+    row = [(uuid.uuid4().hex, draft_id, datetime.now(timezone.utc).replace(tzinfo=None), status, by, note)]
+    spark.createDataFrame(row, DECISION).write.mode("append").parquet(f"{path}/decisions")
 
 
 def fold(headers: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from supplylens.operators import relational
 from supplylens.operators.clean import core
 from supplylens.queries.oracle import sql
-from supplylens.sources.standin import AS_OF, CASE_FROM, CASE_STORE, CASE_TO, Raw
+from supplylens.sources.standin import AS_OF, CASE_FROM, CASE_STORE, CASE_TO, EPOCH, Raw
 
 QUERIES = {
     "sku_alias": lambda s, d: core(s, d).sku_alias,
@@ -60,5 +60,6 @@ ORACLES = {
     "inject_uom_alias": sql("SELECT txn_date, store_code, sku_code, qty, uom FROM sales_lines WHERE uom <> 'EA' OR sku_code <> upper(trim(replace(sku_code, '-', '_')))"),
     "inject_outage": sql("SELECT txn_date, store_code, count(*) AS n_lines FROM sales_lines GROUP BY 1, 2"),
     "uom_pool_having": sql(f"SELECT sku, count(*) AS n_lines, CAST(sum(units) AS BIGINT) AS units FROM lines WHERE store = '{CASE_STORE}' AND date BETWEEN DATE '{CASE_FROM}' AND DATE '{CASE_TO}' GROUP BY sku HAVING count(*) >= 2"),
-    "unpivot_wide": sql("SELECT dept, 'd_' || k AS d, units FROM (SELECT p.dept, k, CAST(coalesce(sum(l.units), 0) AS BIGINT) AS units FROM (SELECT DISTINCT dept FROM lines WHERE date BETWEEN DATE '2000-01-01' AND DATE '2000-01-10') p CROSS JOIN range(1, 11) r(k) LEFT JOIN lines l ON l.dept = p.dept AND l.date = DATE '2000-01-01' + CAST(k - 1 AS INTEGER) GROUP BY 1, 2)"),
+    "unpivot_wide": sql(f"""SELECT p.dept, 'd_' || k AS d, CAST(coalesce(u.units, 0) AS BIGINT) AS units FROM (SELECT DISTINCT dept FROM lines) p CROSS JOIN range(1, DATE '{AS_OF}' - DATE '{EPOCH}' + 2) r(k)
+        LEFT JOIN (SELECT dept, date - DATE '{EPOCH}' + 1 AS k, sum(units) AS units FROM lines GROUP BY 1, 2) u USING (dept, k)"""),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from statistics import NormalDist
 
 from supplylens.sources import standin as s
 
@@ -102,9 +103,19 @@ STEPS = {
         floor(greatest(coalesce(q90, 0), 0.0, mean) * 1000000 + 0.5) / 1000000 AS p90 FROM baseline b LEFT JOIN spreads s ON s.store = b.store AND s.dept = b.dept""",
     "speed_bands": "SELECT store, dept, floor(v * 1000000 + 0.5) / 1000000 AS per_day, CASE WHEN v <= 1 THEN 'slow' WHEN v <= 5 THEN 'medium' ELSE 'fast' END AS band FROM spreads",
     "scored": "SELECT p.*, d.units AS actual, v.band FROM predicted p JOIN dense d ON d.store = p.store AND d.dept = p.dept AND d.date = p.date AND d.units IS NOT NULL JOIN speed_bands v ON v.store = p.store AND v.dept = p.dept",
-    "order_lines": """SELECT f.store, f.dept, f.lead AS lead_time_days, f.demand AS d, f.safety AS sf, i.on_hand, i.on_order, CAST(ceil(greatest(f.demand + f.safety - i.on_hand - i.on_order, 0) / 12.0 - 1e-9) AS BIGINT) AS cases
-        FROM (SELECT store, dept, CAST(3 + length(dept) % 12 AS INTEGER) AS lead, sum(mean) AS demand, 1.6448536269514722 * sqrt(sum(pow(greatest(p90 - mean, 0) / 1.2816, 2))) AS safety FROM predicted WHERE date <= DATE '2001-06-02' + CAST(3 + length(dept) % 12 AS INTEGER) + 7 GROUP BY 1, 2, 3) f
-        JOIN (SELECT store, k.dept, CAST(sum(on_hand) % 40 AS BIGINT) AS on_hand, CAST(sum(on_order) % 20 AS BIGINT) AS on_order FROM inventory v JOIN dim_sku k ON k.sku = v.sku GROUP BY 1, 2) i ON i.store = f.store AND i.dept = f.dept""",
+    # The same by SKU, and what to order.
+    "sku_first": "SELECT store, sku, min(date) AS first_sale FROM fact GROUP BY 1, 2",
+    "sku_days": """SELECT x.store, x.sku, c.date, CASE WHEN d.status IS NULL OR d.status = 'missing_data' THEN NULL ELSE coalesce(y.units, 0) END AS units
+        FROM sku_first x JOIN calendar c ON c.date >= x.first_sale AND c.date > DATE '2001-06-02' - 56 AND c.date <= DATE '2001-06-02'
+        LEFT JOIN fact y ON y.store = x.store AND y.sku = x.sku AND y.date = c.date LEFT JOIN day_status d ON d.store = x.store AND d.date = c.date""",
+    "sku_weekday": "SELECT store, sku, isodow(date) AS wd, avg(units) AS m FROM sku_days WHERE date > DATE '2001-06-02' - 28 GROUP BY 1, 2, 3",
+    "sku_spread": "SELECT store, sku, coalesce(quantile_cont(units, 0.9), 0) AS q90 FROM sku_days GROUP BY 1, 2",
+    "sku_mean": "SELECT x.store, x.sku, a.date, floor(coalesce(m.m, 0.0) * 1000000 + 0.5) / 1000000 AS mean FROM (SELECT DISTINCT store, sku FROM sku_weekday) x CROSS JOIN ahead a LEFT JOIN sku_weekday m ON m.store = x.store AND m.sku = x.sku AND m.wd = isodow(a.date)",
+    "sku_ahead": "SELECT b.store, b.sku, b.date, greatest(mean, 0.0) AS mean, floor(greatest(coalesce(q90, 0), 0.0, mean) * 1000000 + 0.5) / 1000000 AS p90 FROM sku_mean b LEFT JOIN sku_spread s ON s.store = b.store AND s.sku = b.sku",
+    "sku_stock": "SELECT v.store, v.sku, v.on_hand, v.on_order, k.dept, k.case_pack, k.unit_cost, k.supplier_id, p.lead_time_days, p.min_order_cases FROM inventory v JOIN dim_sku k ON k.sku = v.sku AND k.status = 'ACTIVE' JOIN suppliers p ON p.supplier_id = k.supplier_id",
+    "sku_need": f"""SELECT f.store, f.sku, sum(mean) AS d, {NormalDist().inv_cdf(0.95)!r} * sqrt(sum(pow(greatest(p90 - mean, 0) / 1.2816, 2))) AS sf
+        FROM sku_ahead f JOIN sku_stock i ON i.store = f.store AND i.sku = f.sku AND f.date <= DATE '2001-06-02' + i.lead_time_days + 7 GROUP BY 1, 2""",
+    "order_lines": "SELECT i.*, f.d, f.sf, CAST(ceil(greatest(f.d + f.sf - i.on_hand - i.on_order, 0) / CAST(case_pack AS DOUBLE) - 1e-9) AS BIGINT) AS cases FROM sku_stock i JOIN sku_need f ON f.store = i.store AND f.sku = i.sku",
 }
 
 

@@ -159,9 +159,13 @@ ORACLES = {
     "wape": sql(f"SELECT {SIX.format('(sum(abs(actual - mean)) / nullif(CAST(sum(actual) AS DOUBLE), 0))')} AS wape FROM scored"),
     "forecast_one_store": sql(f"SELECT store, dept, {WINDOW} FROM (SELECT store, dept, {SPAN} AND store = 'ASIA' GROUP BY 1, 2)"),
     "forecast_all_stores": sql(f"SELECT dept, {WINDOW} FROM (SELECT dept, {SPAN} GROUP BY 1)"),
-    "reorder_lines": sql("SELECT store, dept, lead_time_days, floor(d * 10000 + 0.5) / 10000 AS demand, floor(sf * 10000 + 0.5) / 10000 AS safety, on_hand, on_order, cases FROM order_lines"),
-    "reorder_drafts": sql("SELECT store, lead_time_days, count(*) AS n_lines, CAST(sum(cases) AS BIGINT) AS cases, sum(cases) < 4 AS below_minimum, 'PENDING_APPROVAL' AS status FROM order_lines WHERE cases > 0 GROUP BY 1, 2"),
-    "draft_state_fold": """SELECT h.o_orderkey AS draft_id, h.o_orderpriority AS store, coalesce(d.status, 'PENDING_APPROVAL') AS status, d.who AS decided_by FROM orders h LEFT JOIN (
-          SELECT draft_id, status, who FROM (SELECT event_id % 400 * 50 AS draft_id, CASE WHEN event_type = 'error' THEN 'REJECTED' ELSE 'APPROVED' END AS status, 'user ' || user_id AS who,
-            row_number() OVER (PARTITION BY event_id % 400 ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('click', 'error', 'purchase') AND user_id % 5 <> 0 AND (event_type <> 'error' OR value > 50)) WHERE k = 1) d ON d.draft_id = h.o_orderkey WHERE h.o_orderkey % 50 = 0""",
+    "reorder_lines": sql("""SELECT store, sku, dept, supplier_id, lead_time_days, min_order_cases, case_pack, floor(d * 10000 + 0.5) / 10000 AS demand, floor(sf * 10000 + 0.5) / 10000 AS safety, on_hand, on_order, cases,
+        floor(cases * case_pack * unit_cost * 100 + 0.5) / 100 AS cost FROM order_lines"""),
+    "reorder_drafts": sql("""SELECT store, supplier_id, lead_time_days, count(*) AS n_lines, CAST(sum(cases) AS BIGINT) AS cases, floor(sum(floor(cases * case_pack * unit_cost * 100 + 0.5) / 100) * 100 + 0.5) / 100 AS cost, sum(cases) < min_order_cases AS below_minimum, 'PENDING_APPROVAL' AS status
+        FROM order_lines WHERE cases > 0 GROUP BY store, supplier_id, lead_time_days, min_order_cases"""),
+    "draft_state_fold": """WITH span AS (SELECT min(o_orderkey) AS low, max(o_orderkey) - min(o_orderkey) + 1 AS n FROM orders),
+        valid AS (SELECT low + event_id // 3 * 7919 % n AS draft_id, CASE WHEN event_type = 'error' THEN 'REJECTED' ELSE 'APPROVED' END AS status, 'user ' || user_id AS who, ts, event_id
+          FROM events, span WHERE event_type IN ('click', 'error', 'purchase') AND user_id % 5 <> 0 AND (event_type <> 'error' OR value > 50)),
+        decided AS (SELECT * FROM valid QUALIFY row_number() OVER (PARTITION BY draft_id ORDER BY ts, event_id) = 1)
+        SELECT h.o_orderkey AS draft_id, h.o_orderpriority AS store, coalesce(d.status, 'PENDING_APPROVAL') AS status, d.who AS decided_by FROM orders h LEFT JOIN decided d ON d.draft_id = h.o_orderkey""",
 }

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supplylens.functions.numbers import rounded
+from supplylens.sources.store import store
 
 EPOCH, AS_OF = "1995-01-01", "2001-06-30"
 ALIAS_FROM = "1999-01-01"
@@ -31,10 +32,10 @@ def week_of(date: Column) -> Column:
 
 
 class Raw:
-    """The raw tables of one directory. Frames are lazy; each is built where it is asked for."""
+    """The raw tables of one directory. The sales lines and the load log are stored; the rest is lazy."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self.store = spark, sf_dir, store(spark, sf_dir)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -53,6 +54,9 @@ class Raw:
 
     def lines(self) -> DataFrame:
         """True sales lines up to the as-of date."""
+        return self.store.table("lines", self._lines, "date")
+
+    def _lines(self) -> DataFrame:
         x = self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_shipdate").cast("date").alias("date"), F.col("l_quantity").alias("units"), F.col("l_extendedprice").alias("amount"))
         x = x.where(F.col("date") <= day(AS_OF))
         x = x.join(self.places(), x.l_suppkey == F.col("s_suppkey")).join(self.parts(), x.l_partkey == F.col("part_no"))
@@ -64,8 +68,10 @@ class Raw:
         days = [first + timedelta(k) for k in range((last - first).days + 1)]
         each = self.lines().withColumn("k", F.datediff("date", day(EPOCH)) + 1).groupBy("dept", "k").agg(F.sum("units").cast("long").alias("units"))
         each = each.groupBy("dept").agg(F.map_from_entries(F.collect_list(F.struct("k", "units"))).alias("by_day"))
+        row = F.transform(F.sequence(F.lit(1), F.lit(len(days))), lambda k: F.coalesce(F.try_element_at("by_day", k), F.lit(0).cast("long")))
         # One column each, as in a wide file: the list is bounded by the calendar.
-        return each.select("dept", *(F.coalesce(F.try_element_at("by_day", F.lit(k)), F.lit(0).cast("long")).alias(f"d_{k}") for k in range(1, len(days) + 1)))
+        wide = self.store.table("wide", lambda: each.select("dept", row.alias("d")))
+        return wide.select("dept", *(F.get("d", F.lit(k)).alias(f"d_{k + 1}") for k in range(len(days))))
 
     def sales_lines(self, faults: bool = True) -> DataFrame:
         """txn_date, store_code, sku_code, qty, uom, load_batch_id."""
@@ -82,6 +88,9 @@ class Raw:
         return out
 
     def load_log(self) -> DataFrame:
+        return self.store.table("load_log", self._load_log)
+
+    def _load_log(self) -> DataFrame:
         second = F.col("load_batch_id") >= TWICE_STEP
         loaded = F.date_add(day(EPOCH), (F.col("week") + 1) * 7).cast("timestamp_ntz") + F.when(second, F.expr("INTERVAL 79 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
         source = F.concat(F.col("store_code"), F.lit("_w"), F.col("week").cast("string"))
@@ -114,7 +123,7 @@ class Raw:
         base = self.lines().groupBy("store", "dept", "week").agg(F.median(F.col("amount") / F.col("units")).alias("price"))
         base = base.withColumn("price", rounded(F.col("price")))
         first = base.groupBy("store", "dept").agg(F.min("week").alias("first_week"))
-        base = base.join(F.broadcast(first), ["store", "dept"])  # stores x departments
+        base = base.join(first, ["store", "dept"])
         mark = F.length("dept") + F.col("week")
         kept = base.where((F.col("week") == F.col("first_week")) | (mark % 61 != 7))
         keyed = F.when(mark % 97 == 0, F.col("price") * 100).otherwise(F.col("price"))
