@@ -130,11 +130,11 @@ def _members(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _held_often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members that at least one in 2 * HOT rows of a batch holds: the only ones that can be hot as a whole."""
+    """Members that at least one in 2 * HOT rows of a chunk holds, and eight: fewer are no sign of a hot one."""
     for batch in batches:
         for _, rows in _runs(batch):
             members, counts = np.unique(_members(rows)[0], return_counts=True)
-            often = 2 * HOT * counts >= rows.num_rows
+            often = counts >= max(8, rows.num_rows / (2 * HOT))
             yield pa.RecordBatch.from_arrays([pa.array(members[often].astype(np.int64)), pa.array(counts[often].astype(np.int64))], ["token", "k"])
 
 
@@ -320,7 +320,8 @@ class Join:
         sized = self.rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("members"), F.count(F.when(F.col("n") > 0, 1)).alias("sets")).first()
         bits = max(0, min(32, math.ceil(math.log2(max(1, sized["members"] / BUCKET)))))
         chunks = self.sets.where("n > 0").select("chunk", "at", "x", "n", "c")
-        # A chunk has few rows, so a member can look frequent there by chance; the sum over all decides.
+        # A chunk has few rows, so a member can look frequent there by chance; the sum over all decides. One that
+        # is missed only makes its bucket larger.
         often = chunks.mapInArrow(_held_often, "token bigint, k bigint").groupBy("token").agg(F.sum("k").alias("k"))
         hot = often.where(F.col("k") > max(HOT, sized["sets"] / HOT)).select("token").toArrow()  # at most HOT times a set's members
         hot = np.sort(hot["token"].to_numpy().astype(np.uint64))
