@@ -7,6 +7,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.sql import functions as F
+
 from supplylens.operators import anomalies, forecast, reorder, variance
 from supplylens.operators.clean import Core
 from supplylens.plans.run_sql import Result, describe, run_sql
@@ -26,35 +28,66 @@ def _rows(df, limit: int = MOST) -> list[dict[str, Any]]:
     return [r.asDict() for r in df.limit(max(1, min(int(limit), MOST))).collect()]
 
 
-def _anomalies(core: Core, scope: str = "all", limit: int = 20) -> Result:
+def _anomalies(core: Core, scope: str = "all", store: str | None = None, dept: str | None = None, limit: int = 20) -> Result:
     parts = {"inventory": lambda: anomalies.inventory_anomalies(core).orderBy("value", ascending=False), "sales": lambda: anomalies.sales_anomalies(core), "data_quality": core.issues}
     if scope != "all" and scope not in parts:
         raise ValueError(f"scope must be all or one of {', '.join(parts)}")
-    return Result({k: _rows(f(), limit) for k, f in parts.items() if scope in ("all", k)}, ["A stop in sales can be a stock-out, a delisting or a change of code."])
-
-
-def _variance(core: Core, by: str = "dept", limit: int = 15) -> Result:
+    found = {}
+    for name in (k for k in parts if scope in ("all", k)):
+        df = parts[name]()
+        df = df.where(F.col("store") == store) if store and "store" in df.columns else df
+        if dept and "dept" in df.columns:
+            df = df.where(F.col("dept") == dept)
+        elif dept and "subject" in df.columns:  # a department or one of its SKUs
+            own = core.dim_sku.where(F.col("dept") == dept).select(F.col("sku").alias("subject")).union(core.raw.spark.createDataFrame([(dept,)], "subject string"))
+            df = df.join(own, "subject", "left_semi")
+        found[name] = _rows(df, limit)
+    return Result(found, ["A stop in sales can be a stock-out, a delisting or a change of code."])
+
+
+def _variance(core: Core, by: str = "dept", a: tuple[str, str] = variance.A, b: tuple[str, str] = variance.B, store: str | None = None, limit: int = 15) -> Result:
+    """The largest moves up or down first."""
     if by not in ("dept", "category", "store", "sku"):
         raise ValueError("by must be dept, category, store or sku")
-    out = variance.variance(core, by) if by in ("dept", "category") else variance.explain(variance.by_sku(core, "dept"), [by])
-    return Result(_rows(out.orderBy("change"), limit))
+    key = by if by in ("store", "sku") else "grp"
+    x = variance.by_sku(core, by if key == "grp" else "dept", tuple(a), tuple(b))
+    out = variance.explain(x.where(F.col("store") == store) if store else x, [key])
+    return Result(_rows(out.orderBy(F.abs("change").desc(), key), limit), provenance={"a": list(a), "b": list(b)})
 
 
-def _forecast(core: Core, store: str | None = None, horizon: int = 14) -> Result:
+def _forecast(core: Core, store: str | None = None, sku: str | None = None, dept: str | None = None, horizon: int = 14) -> Result:
     if not 1 <= int(horizon) <= forecast.HORIZON:
         raise ValueError(f"horizon must be 1 to {forecast.HORIZON} days")
-    f = forecast.forecast(core)
+    by = "sku" if sku else "dept"
+    f, wanted = forecast.forecast(core, by), sku or dept
     f = f.where(f.store == store) if store else f
-    return Result(_rows(forecast.window_total(f, ["store", "dept"] if store else ["dept"], int(horizon))))
+    f = f.where(F.col(by) == wanted) if wanted else f
+    keys = ["store", by] if store else [by]
+    recent = forecast.history(core, by).where(F.col("date") > F.date_sub(F.lit(forecast.ORIGIN).cast("date"), 28)).groupBy(*keys).agg(F.avg("units").alias("recent_daily_mean"))
+    return Result(_rows(forecast.window_total(f, keys, int(horizon)).join(recent, keys, "left")))
+
+
+def _reorder(core: Core, store: str | None = None, dept: str | None = None, service: float = reorder.SERVICE, review: int = reorder.REVIEW_DAYS, path: str | None = None) -> Result:
+    """Lines to order, the costly ones first; with a path the drafts are saved there."""
+    if not 0.5 <= float(service) < 1 or not 0 <= int(review) <= 14:
+        raise ValueError("service must be in [0.5, 1) and review 0 to 14 days")
+    found = reorder.lines(core, store, dept, float(service), int(review))
+    saved = {"batch": reorder.save(core, found, path)} if path else {}
+    return Result(_rows(found.where("cases > 0").orderBy(F.desc("cost"), "store", "sku")), ["Drafts wait for a named person; nothing is ordered."], saved)
+
+
+def _describe(core: Core) -> Result:
+    """Every column, the issues that cleaning found, and what to mind."""
+    return Result({"tables": [r.asDict() for r in describe(core).collect()], "issues": _rows(core.issues())}, ["Store-days with status missing_data have no sales rows."])
 
 
 TOOLS = {
-    "describe_data": Tool("Tables, columns and row counts.", (), (), lambda core: Result(_rows(describe(core)))),
+    "describe_data": Tool("Tables, columns and row counts.", (), (), _describe),
     "run_sql": Tool("One read-only query over the cleaned tables.", ("text",), ("most",), run_sql),
-    "detect_anomalies": Tool("Stock, sales and data-quality anomalies.", (), ("scope", "limit"), _anomalies),
-    "explain_variance": Tool("A revenue change as volume, mix and price.", (), ("by", "limit"), _variance),
-    "forecast_demand": Tool("Demand over the next days with an interval.", (), ("store", "horizon"), _forecast),
-    "draft_reorder": Tool("Reorder lines that wait for a named person.", (), (), lambda core: Result(_rows(reorder.lines(core)))),
+    "detect_anomalies": Tool("Stock, sales and data-quality anomalies.", (), ("scope", "store", "dept", "limit"), _anomalies),
+    "explain_variance": Tool("A revenue change as volume, mix and price.", (), ("by", "a", "b", "store", "limit"), _variance),
+    "forecast_demand": Tool("Demand over the next days with an interval.", (), ("store", "sku", "dept", "horizon"), _forecast),
+    "draft_reorder": Tool("Reorder lines that wait for a named person.", (), ("store", "dept", "service", "review", "path"), _reorder),
 }
 
 

@@ -17,6 +17,7 @@ from supplylens.plans.guard import Rejected, check
 
 MOST_ROWS, SECONDS, FEW_VALUES, MOST_HINTS = 200, 5.0, 20, 3
 TABLES = ("sku_alias", "dim_sku", "load_batches", "fact_sales_daily", "store_day_status", "fact_price_weekly", "sales_enriched", "inventory")
+LITERAL = re.compile(r"""('(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*")""", re.S)
 SALES = ("fact_sales_daily", "sales_enriched", "store_day_status")
 
 
@@ -64,12 +65,14 @@ def run_sql(core: Core, text: str, most: int = MOST_ROWS, seconds: float = SECON
     spark = core.raw.spark
     check(spark, text, tables=set(TABLES))
     most, began = max(1, min(int(most), MOST_ROWS)), time.time()
-    used = {t for t in TABLES if re.search(rf"\b{t}\b", text, re.I)}
-    plain = text
+    parts = LITERAL.split(text)  # text outside and inside quotes in turn
+    used = {t for t in TABLES if any(re.search(rf"\b{t}\b", part, re.I) for part in parts[::2])}
     for name in used:
-        # A view of its own for each call: no state is left in the catalog's schemas.
-        frames(core)[name].createOrReplaceTempView(f"core_{name}")
-        plain = re.sub(rf"\bcore\s*\.\s*{name}\b", f"core_{name}", plain, flags=re.I)
+        # Views of this session: no state is left in the catalog's schemas. The tables are stored, so planning is short.
+        getattr(core, name).createOrReplaceTempView(f"core_{name}")
+        parts[::2] = [re.sub(rf"\bcore\s*\.\s*{name}\b", f"core_{name}", part, flags=re.I) for part in parts[::2]]
+    plain = "".join(parts)
+    began = time.time()  # a table's first use builds it
     tag, late, done = f"run-sql-{uuid.uuid4().hex}", threading.Event(), threading.Event()
 
     def stop() -> None:
@@ -103,11 +106,14 @@ def run_sql(core: Core, text: str, most: int = MOST_ROWS, seconds: float = SECON
 
 
 def hints(core: Core, text: str, used: set[str]) -> list[str]:
-    """For equality filters on text columns of the tables used."""
+    """For filters by equality or IN on text columns of the tables used."""
     found: list[str] = []
-    for column, value in re.findall(r"(\w+)\s*=\s*'([^']*)'", text):
+    wanted = re.findall(r"(\w+)\s*=\s*'([^']*)'", text)
+    for column, values in re.findall(r"(\w+)\s+IN\s*\(\s*('[^']*'(?:\s*,\s*'[^']*')*)\s*\)", text, re.I):
+        wanted += [(column, v) for v in re.findall(r"'([^']*)'", values)]
+    for column, value in wanted:
         for name in sorted(used):
-            df = frames(core)[name]
+            df = getattr(core, name)
             if dict(df.dtypes).get(column) == "string" and len(found) < MOST_HINTS:
                 rows = filter_hints(df, column, value).orderBy("value").collect()  # a few values
                 if rows:

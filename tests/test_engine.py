@@ -195,3 +195,43 @@ def test_streams_equal_batches(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("tumbling").collect())) == sorted(map(tuple, events.tumbling(src).collect()))
+
+
+def test_guard_scopes_names(spark):
+    """A name is what WITH defines only where it is in scope; functions come from a list."""
+    for text in (
+        "WITH a AS (SELECT 1) SELECT 'CTE [hidden]' AS x, id FROM hidden",
+        "WITH hidden AS (SELECT * FROM hidden) SELECT * FROM hidden",
+        "SELECT * FROM hidden WHERE id IN (WITH hidden AS (SELECT 1 AS id) SELECT id FROM hidden)",
+        "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a",
+        "SELECT sku, row_number() OVER hidden FROM core.dim_sku JOIN hidden WINDOW hidden AS (ORDER BY sku)",
+        "SELECT java_method('a', 'b')",
+        "SELECT xpath_string('a', 'b')",
+    ):
+        with pytest.raises(guard.Rejected):
+            guard.check(spark, text)
+    guard.check(spark, "WITH a AS (SELECT sku FROM core.dim_sku), b AS (SELECT * FROM a) SELECT upper(sku), count(*) FROM b JOIN a USING (sku) GROUP BY 1")
+
+
+def test_run_sql_at_its_defaults(core):
+    got = run_sql(core, "SELECT count(*) AS n, 'core.dim_sku' AS name FROM core.fact_sales_daily")
+    assert got.data[0]["n"] > 0 and got.data[0]["name"] == "core.dim_sku"
+
+
+def test_drafts_are_saved_and_decided(spark, core, tmp_path):
+    found = reorder.lines(core, dept="PROMO", service=0.9)
+    batch, path = reorder.save(core, found, str(tmp_path)), str(tmp_path)
+    listed = reorder.listing(spark, path).collect()
+    assert listed and all(r["status"] == "PENDING_APPROVAL" and r["draft_id"].startswith(batch) for r in listed)
+    assert spark.read.parquet(f"{path}/lines").count() == found.where("cases > 0").count()
+    with pytest.raises(ValueError):
+        reorder.decide(spark, path, listed[0]["draft_id"], "REJECTED", "someone")
+    reorder.decide(spark, path, listed[0]["draft_id"], "APPROVED", "someone")
+    with pytest.raises(ValueError):
+        reorder.decide(spark, path, listed[0]["draft_id"], "REJECTED", "other", "late")
+    assert [r["decided_by"] for r in reorder.listing(spark, path, status="APPROVED").collect()] == ["someone"]
+
+
+def test_variance_tool_shows_rises(core):
+    got = registry.call(core, "explain_variance", by="sku", limit=50)["data"]
+    assert [abs(r["change"]) for r in got] == sorted((abs(r["change"]) for r in got), reverse=True)
