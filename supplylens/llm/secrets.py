@@ -39,6 +39,9 @@ SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.(
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
 ALL_HEX = re.compile(r"(?:[0-9a-fA-F]{2})+")
 MAGIC = b"openssh-key-v1\0"
+#: Line ends as JSON and shell strings write them, and the fixed first bytes of the names of password-based encryption.
+ESCAPED = re.compile(r"(?:\\+[nrt])+")
+SCHEMES = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
 def _elements(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
@@ -63,11 +66,14 @@ def _elements(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] |
 
 
 def is_der_key(data: bytes) -> bool:
-    """Whether the bytes are a private key: PKCS#1, PKCS#8 or SEC1 with all nested lengths right."""
+    """Whether the bytes are a private key: PKCS#1, PKCS#8 (encrypted or not), SEC1 or DSA with all nested lengths right."""
     top = _elements(data, 0, len(data)) if data[:1] == b"\x30" else None
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
     inner = _elements(data, *top[0][1:])
+    if inner and [x[0] for x in inner] == [0x30, 0x04]:  # an encrypted key names its scheme before the bytes
+        scheme = _elements(data, *inner[0][1:])
+        return bool(scheme) and scheme[0][0] == 0x06 and data[scheme[0][1] : scheme[0][2]].startswith(SCHEMES)
     if not inner or inner[0][0] != 0x02 or inner[0][2] - inner[0][1] != 1:
         return False
     todo = [x for x in inner if x[0] & 0x20]
@@ -80,24 +86,31 @@ def is_der_key(data: bytes) -> bool:
     pkcs1 = len(tags) >= 9 and set(tags[:9]) == {0x02}
     pkcs8 = len(tags) >= 3 and tags[1:3] == [0x30, 0x04]
     sec1 = len(tags) >= 2 and tags[1] == 0x04 and data[inner[0][1]] == 1
-    return pkcs1 or pkcs8 or sec1
+    dsa = tags == [0x02] * 6 and data[inner[0][1]] == 0
+    return pkcs1 or pkcs8 or sec1 or dsa
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """Whether the bytes are an OpenSSH private key: magic, then four strings with right lengths."""
+    """Whether the bytes are an OpenSSH private key: magic, three strings, the number of keys, as many
+    public keys and the private part, which ends the data."""
     if not data.startswith(MAGIC):
         return False
-    at = len(MAGIC)
-    for k in range(5):  # cipher, kdf, options, [number of keys], public key
+    at, left = len(MAGIC), 3
+    counted = False
+    while left:
         if len(data) - at < 4:
             return False
-        size = int.from_bytes(data[at : at + 4], "big")
-        at += 4
-        if k != 3:
-            if size > len(data) - at:
+        size, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        if size > len(data) - at:
+            return False
+        at, left = at + size, left - 1
+        if not left and not counted:
+            # Each public key takes four bytes or more, so a wrong number ends the walk.
+            number, at, counted = int.from_bytes(data[at : at + 4], "big"), at + 4, True
+            left = number + 1 if 0 < number < len(data) else 0
+            if not left:
                 return False
-            at += size
-    return True
+    return at == len(data) and size > 0
 
 
 def _unbase64(run: str) -> bytes | None:
@@ -131,7 +144,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
         found += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     if "-----BEGIN" in text:
-        found += [("pem", *m.span()) for m in PEM.finditer(text) if _key_kind(_unbase64("".join(m[2].split())))]
+        found += [("pem", *m.span()) for m in PEM.finditer(text) if _key_kind(_unbase64("".join(ESCAPED.sub("", m[2]).split())))]
     if "eyJ" in text:
         found += [("jwt", *m.span()) for m in SIGNED.finditer(text) if _is_signed(m[1], m[2])]
     for m in RUN.finditer(text):

@@ -92,7 +92,7 @@ def test_structure_decides():
     part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
     assert "jwt" in kinds(f"{part({'alg': 'HS256'})}.{part({'sub': 1})}.abc")
     assert "jwt" not in kinds(f"{part({'typ': 'JWT'})}.{part({'sub': 1})}.abc")
-    ssh = secrets.MAGIC + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + b"\0\0\0\1" + b"\0\0\0\4abcd" + b"k" * 20
+    ssh = secrets.MAGIC + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + b"\0\0\0\1" + b"\0\0\0\4abcd" + b"\0\0\0\x14" + b"k" * 20
     assert "key_ssh" in kinds(base64.b64encode(ssh).decode())
     assert secrets.find("A" * 200_000) == []
 
@@ -126,3 +126,19 @@ def test_masking_keeps_the_rest(spark, docs):
                     want += text[at:a] + f"[{kind.upper()}]"
                 at = max(at, b)
             assert r["text"] == want + text[at:] and r["n_chars"] == len(r["text"])
+
+
+def test_keys_of_other_forms():
+    """Escaped line ends, encrypted and DSA keys; what stops short is no key."""
+    der = lambda tag, body: bytes([tag, 0x82]) + len(body).to_bytes(2, "big") + body
+    number = lambda n: der(0x02, bytes([n]) * 40)
+    dsa = der(0x30, b"\x02\x01\x00" + b"".join(map(number, range(1, 6))))
+    scheme = der(0x30, b"\x06\x09" + bytes.fromhex("2a864886f70d01050d") + der(0x30, b""))
+    encrypted, digest = der(0x30, scheme + der(0x04, b"e" * 90)), der(0x30, der(0x30, b"\x06\x09" + bytes.fromhex("608648016503040201")) + der(0x04, b"d" * 32))
+    ssh = secrets.MAGIC + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + b"\0\0\0\1" + b"\0\0\0\4abcd"
+    assert secrets.is_der_key(dsa) and secrets.is_der_key(encrypted) and not secrets.is_der_key(digest) and not secrets.is_der_key(dsa[:-1])
+    assert secrets.is_ssh_key(ssh + b"\0\0\0\5krypt") and not secrets.is_ssh_key(ssh) and not secrets.is_ssh_key(ssh + b"\0\0\0\5kry") and not secrets.is_ssh_key(ssh + b"\0\0\0\5krypt!")
+    body = base64.b64encode(dsa).decode()
+    for end in ("\n", "\\n", "\\\\n", "\r\n"):
+        text = "-----BEGIN DSA PRIVATE KEY-----" + end + end.join(body[k : k + 64] for k in range(0, len(body), 64)) + end + "-----END DSA PRIVATE KEY-----"
+        assert [x for x in secrets.find(text) if x[0] == "pem"] == [("pem", 0, len(text))], end
