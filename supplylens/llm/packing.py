@@ -177,8 +177,8 @@ def _cutter(path: str, end: int, capacity: int):
         enc, last = encoder(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             ids, piece, start, length, raw = [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = enc.encode(text or "") + last
+            for doc, data in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist()), strict=True):
+                data += last
                 for k, (at, n) in enumerate(cut(len(data) // 4, capacity)):
                     ids.append(doc)
                     piece.append(k)

@@ -1,9 +1,12 @@
-"""Byte-level BPE of whole texts, as the tokenizers library does it, with repeated words encoded once.
-
-White space between two other characters always ends a pre-token, so the words of a plain
-text encode independently: a word after a space with that space, one after a line end without.
-Each worker keeps a bounded table of words and their ids. Texts with other white space, runs of
-it, or special tokens take the library's own path whole.
+"""Byte-level BPE of whole texts by the tokenizers library, with repeated words encoded once.
+
+A run of white space and the word after it are a chunk. No pre-token holds a character of a word
+and white space after it, and what becomes of a run depends on the chunk alone, so the chunks of a
+text encode independently. Each worker keeps two generations of chunks and their ids; the library
+encodes all the chunks of some texts that they lack in one call. There a chunk starts with the first
+token that has white space in front, so the ids part without offsets. Texts that hold an added token
+or white space other than ASCII's go to the library whole, as do all texts under a tokenizer that
+isn't plain byte-level BPE.
 """
 
 from __future__ import annotations
@@ -11,13 +14,19 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-#: Words kept by each worker, and the longest word worth keeping.
-KEPT_WORDS, KEPT_CHARS = 600_000, 48
-ODD_SPACE = re.compile(r"[^\S \n]")
-ASCII_ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-RUNS = ("  ", "\n\n", " \n", "\n ")
+import numpy as np
+
+#: Chunks in a generation, and the longest chunk worth keeping.
+KEPT_WORDS, KEPT_CHARS = 400_000, 48
+#: Characters of texts that are encoded together.
+AT_ONCE = 1_000_000
+BLANK = "\t\n\x0b\x0c\r "
+RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\x0b", "\x0c", "\r")
+CHUNK = re.compile(rf"[{BLANK}]+[^{BLANK}]*|[^{BLANK}]+")
+OTHER_BLANK = re.compile(rf"[^\S{BLANK}]")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -27,28 +36,6 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-class _Words(dict):
-    """Word -> its ids as little-endian 32-bit integers. A word that starts a line has the line's end before it."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        # A stem of letters and a last sign are two pre-tokens, so many words share a stem.
-        if word[-1] in ",.!?;:)" and word[:-1].isalpha() and len(word) <= KEPT_CHARS:
-            ids = self[word[:-1]] + self.encode(word[-1])
-        elif word[0] == "\n":
-            ids = self.encode("\n") + self.encode(word[1:])
-        else:
-            ids = self.encode(" " + word)
-        if len(word) <= KEPT_CHARS:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -57,49 +44,74 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         spec = json.load(open(path, encoding="utf-8"))
-        self.special = [x["content"] for x in spec["added_tokens"]]
+        added = [x["content"] for x in spec["added_tokens"]]
+        step = spec["pre_tokenizer"] or {}
+        plain = not spec["normalizer"] and step.get("type") == "ByteLevel" and not step["add_prefix_space"] and step["use_regex"]
+        self.chunked = plain and not any(re.search(r"\s", x) for x in added)
+        self.added = added
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.ranked = _ranked(spec)
-        self.words = _Words(self._word)
+        vocab, blank = self.library.get_vocab(with_added_tokens=True), {byte_alphabet()[ord(c)] for c in BLANK}
+        self.starts, self.blank = np.zeros((2, max(vocab.values()) + 1), bool)
+        for token, k in vocab.items():
+            self.starts[k], self.blank[k] = token[:1] in blank, blank.issuperset(token)
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _word(self, text: str) -> bytes:
-        if self.ranked is None or (not text.isascii() and max(text) > "ɏ"):
-            return self._whole(text)
-        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):  # one pre-token
-            return array("I", self.ranked._encode_single_piece(text)).tobytes()
-        return array("I", self.ranked.encode_ordinary(text)).tobytes()
+        return array("I", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _apart(self, text: str) -> bool:
+        """Whether the library has to see the text whole."""
+        odd = any(c in text for c in "\x1c\x1d\x1e\x1f") if text.isascii() else OTHER_BLANK.search(text)
+        return bool(not self.chunked or odd or any(x in text for x in self.added))
+
+    def _learn(self, texts: list[list[str]]) -> None:
+        new = set().union(*texts).difference(self.words)
+        again = [c for c in new if c in self.older]
+        self.words.update((c, self.older[c]) for c in again)
+        new.difference_update(again)
+        # A text's first chunk may lack the white space, its last the word.
+        for c in {c for chunks in texts for c in (chunks[0], chunks[-1])} & new:
+            self.words[c] = self._whole(c)
+            new.remove(c)
+        if new:
+            raw = self._whole("".join(new))
+            ids = np.frombuffer(raw, np.uint32)
+            first = self.starts[ids]
+            first[1:] &= ~self.blank[ids[:-1]]
+            at = (4 * np.flatnonzero(first)).tolist()
+            self.words.update((c, raw[a:b]) for c, a, b in zip(new, at, [*at[1:], len(raw)], strict=True))
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        cut = [None if not x or self._apart(x) else _chunks(x) for x in texts]
+        known = [c for c in cut if c]
+        if known:
+            self._learn(known)
+        out = [b"".join(map(self.words.__getitem__, c)) if c else self._whole(x) for x, c in zip(texts, cut, strict=True)]
+        if len(self.words) > KEPT_WORDS:
+            self.words, self.older = {}, {c: x for c, x in self.words.items() if len(c) <= KEPT_CHARS}
+        return out
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text (null: empty) as little-endian unsigned 32-bit integers."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= AT_ONCE:
+                yield from self._some(held)
+                held, size = [], 0
+        yield from self._some(held)
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        odd = any(c in text for c in ASCII_ODD) if text.isascii() else ODD_SPACE.search(text)
-        if odd or any(x in text for x in self.special):
-            return self._whole(text)
-        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in RUNS):
-            return self._word(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self.words["\n" + first][4:] + b"".join(map(self.words.__getitem__, rest))
-
-
-def _ranked(spec: dict):
-    """The same vocabulary as ranks for the faster library; None unless ids follow the merges."""
-    vocab, back = spec["model"]["vocab"], {c: b for b, c in byte_alphabet().items()}
-    step = spec["pre_tokenizer"]
-    if spec["normalizer"] or step["type"] != "ByteLevel" or step["add_prefix_space"] or not step["use_regex"]:
-        return None
-    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
-    if merged != sorted(merged) or len(merged) + 256 != len(vocab):
-        return None
-    import tiktoken
-
-    # Fixed value: the pattern that byte-level pre-tokenization means by use_regex.
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    ranks = {bytes(back[c] for c in word): k for word, k in vocab.items()}
-    return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return self._some([text])[0]
+
+
+def _chunks(text: str) -> list[str]:
+    if any(x in text for x in RUNS):
+        return CHUNK.findall(text)
+    parts = text.replace(" ", "\x1f ").replace("\n", "\x1f\n").split("\x1f")
+    return parts if parts[0] else parts[1:]
 
 
 @lru_cache(maxsize=2)

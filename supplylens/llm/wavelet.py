@@ -185,8 +185,8 @@ def _writer(path: str, end: int, shard_tokens: int, id_type: pa.DataType):
             )
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(enc.encode(text or "") + last, "<u4")
+            for doc, data in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist()), strict=True):
+                x = np.frombuffer(data + last, "<u4")
                 ids.append(x.astype(np.uint16) if bits <= 16 else x)
                 lengths.append(len(x))
                 docs.append(doc)
