@@ -30,6 +30,7 @@ from supplylens.llm.common import bounded_batches, durable, read
 TABLES, FUNCTIONS, WIDTH, PROBES = 3, 5, 0.25, 90
 REACH = 4  # cells on either side of zero; the outermost hold all beyond
 BLOCK = 4000
+SLACK = 1e-10  # more than a product of unit vectors can be off
 QUERY_STEP, NEAREST = 50, 5
 
 
@@ -112,17 +113,16 @@ def _search(nearest: int):
             sx, sq = np.abs(x).max(axis=1), np.abs(q).max(axis=1)
             x, q = x / sx[:, None], q / sq[:, None]
             nx, nq = _norms(x), _norms(q)
-            order = np.argsort(ids, kind="stable")
-            ids, x, nx = ids[order], x[order], nx[order]
             for a in range(0, len(q), 256):
-                # Rounded, so that equal vectors tie wherever they stand; ids ascend, the sort is stable.
-                near = np.round((q[a : a + 256] / nq[a : a + 256, None]) @ (x / nx[:, None]).T, 11)
+                near = (q[a : a + 256] / nq[a : a + 256, None]) @ (x / nx[:, None]).T
                 near[qids[a : a + 256, None] == ids[None, :]] = -np.inf
-                first = np.argsort(-near, axis=1, kind="stable")[:, :nearest]
-                for k, row in enumerate(first, a):
-                    row = row[near[k - a, row] > -np.inf]
-                    score = np.sum(x[row] * q[k], axis=1) / (nx[row] * nq[k])
-                    out.append((np.full(len(row), qids[k]), ids[row], score))
+                least = np.partition(near, -nearest, axis=1)[:, -nearest] if near.shape[1] > nearest else np.full(len(near), -2.0)
+                for k, row in enumerate(near, a):
+                    # The product's last digits depend on the place, so all within them are measured.
+                    some = np.flatnonzero((row >= least[k - a] - SLACK) & (row > -np.inf))
+                    score = np.sum(x[some] * q[k], axis=1) / (nx[some] * nq[k])
+                    first = np.lexsort((ids[some], -score))[:nearest]
+                    out.append((np.full(len(first), qids[k]), ids[some[first]], score[first]))
         parts = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.array([], np.int64), np.array([], np.int64), np.array([])]
         return pa.table({"query_id": pa.array(parts[0], pa.int64()), "vec_id": pa.array(parts[1], pa.int64()), "score": pa.array(parts[2], pa.float64())})
 
