@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from supplylens.queries import cleaning, evaluation, tools
+from supplylens.queries import cleaning, evaluation, files, tools
 
-MODULES = (cleaning, tools, evaluation)
+MODULES = (cleaning, tools, evaluation, files)
 DATES = ("date", "txn_date", "loaded_at")
 
 

@@ -37,6 +37,14 @@ class Store:
             self.schemas[name], self.paths[name] = df.schema, path
         return self.spark.read.schema(self.schemas[name]).parquet(self.paths[name])
 
+    def file(self, name: str, write: Callable[[str], None]) -> str:
+        """The path of a file of the outside world, written if it isn't there."""
+        if name not in self.paths:
+            path = f"{self.root}/{name}"
+            write(path)
+            self.paths[name] = path
+        return self.paths[name]
+
 
 _stores: dict[tuple[str, str], Store] = {}
 
