@@ -99,8 +99,6 @@ def reduce(counts: dict[int, int], capacity: int) -> tuple[list[Kind], dict[int,
             left.take(j, -1)
             if full or one or two:
                 n = int(left.n[j]) // 2 if j == k else int(min(left.n[j], left.n[k]))
-                if not full:
-                    n = min(n, 1) if two and not one else n
                 fixed.append((n, [(j, 2)] if j == k else [(j, 1), (k, 1)]))
                 left.take(j, n)
                 left.take(k, n)

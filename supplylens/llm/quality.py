@@ -7,13 +7,13 @@ less than `least_share` of its words is depleted and rejected, as are documents
 rules.
 
 Cases: a null text has no words and fails; a null source is a host of its own; rows with the same text
-count once for frequencies and get the same verdict each; an empty table gives no rows;
+count once for a host's frequencies and get the same verdict each there; an empty table gives no rows;
 other columns are ignored. Texts are read whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supplylens.llm.common import WORD_GAP, durable, let, read, shuffle_width
@@ -29,6 +29,11 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), F.col(host_col).cast("string").alias("host"))
 
 
+def _same_row() -> Column:
+    """a and b: equal ids, texts and hosts."""
+    return F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")) & F.col("a.host").eqNullSafe(F.col("b.host"))
+
+
 def _bound(value: str, name: str, body: str) -> str:
     """SQL: body with a name for a value that is computed once. Columns in a chain of projections would
     be put into one another, lambdas included, as soon as a filter is pushed through them."""
@@ -52,12 +57,13 @@ def base_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = F.filter(F.split("t", "\n"), lambda x: F.translate(x, SPACES, "") != "")
     return _texts(docs, id_col, text_col, host_col).select(
         "doc_id",
+        "host",
         F.xxhash64("t").alias("th"),
         F.expr(_repeats()).alias("m"),
         F.length(F.translate("t", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-    ).select("doc_id", "th", "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", F.col("m.failed").alias("base_failed"))
+    ).select("doc_id", "host", "th", "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", F.col("m.failed").alias("base_failed"))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
@@ -75,7 +81,7 @@ def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT) -> DataFrame:
-    """(doc_id, th, removed, n_words, places): words in boilerplate lines and in all, and which lines these
+    """(doc_id, th, host, removed, n_words, places): words in boilerplate lines and in all, and which lines these
     are, for documents that have any."""
     salts = min(32, max(8, shuffle_width(docs.sparkSession) // 4))
     bad = boilerplate(docs, id_col, text_col, host_col, limit)
@@ -87,19 +93,18 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.select("doc_id", "th", "host", "n_words", "salt", "l.*").alias("a")
     same = F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.line") == F.col("b.line")) & (F.col("a.salt") == F.col("b.salt"))
     hit = rows.join(bad.alias("b"), same, "left_semi")
-    # Repeated rows have the same lines at the same places.
-    once = hit.groupBy("doc_id", "th", "pos").agg(F.max("words").alias("words"), F.max("n_words").alias("n_words"))
-    return once.groupBy("doc_id", "th").agg(F.sum("words").alias("removed"), F.max("n_words").alias("n_words"), F.collect_list("pos").alias("places"))
+    # Rows repeated on a host have the same lines at the same places.
+    once = hit.groupBy("doc_id", "th", "host", "pos").agg(F.max("words").alias("words"), F.max("n_words").alias("n_words"))
+    return once.groupBy("doc_id", "th", "host").agg(F.sum("words").alias("removed"), F.max("n_words").alias("n_words"), F.collect_list("pos").alias("places"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT, least_share: float = LEAST_SHARE) -> DataFrame:
     """The base counts and the verdict of every row, with th, a hash of its text."""
     base = base_metrics(docs, id_col, text_col, host_col).alias("a")
-    lost = removed_words(docs, id_col, text_col, host_col, limit).select("doc_id", "th", "removed").alias("b")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th"))
+    lost = removed_words(docs, id_col, text_col, host_col, limit).select("doc_id", "th", "host", "removed").alias("b")
     left = F.col("n_words") - F.coalesce(F.col("b.removed"), F.lit(0))
     kept = ~F.col("base_failed") & (left >= least_share * F.col("n_words"))
-    return base.join(lost, same, "left").select("a.*", F.coalesce(F.col("b.removed"), F.lit(0)).cast("long").alias("n_boilerplate_words"), kept.alias("kept"))
+    return base.join(lost, _same_row(), "left").select(*(f"a.{c}" for c in base.columns if c != "host"), F.coalesce(F.col("b.removed"), F.lit(0)).cast("long").alias("n_boilerplate_words"), kept.alias("kept"))
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", length_col: str | None = None, limit: int = LIMIT, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -109,11 +114,10 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_c
     it and shuffles both sides if not.
     """
     lost = durable(removed_words(docs, id_col, text_col, host_col, limit), "lost").alias("b")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    passed = rows.where(~F.expr(_repeats() + ".failed")).select("row", "doc_id", "t", F.xxhash64("t").alias("th")).alias("a")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), F.col(host_col).cast("string").alias("host"))
+    passed = rows.where(~F.expr(_repeats() + ".failed")).select("row", "doc_id", "t", "host", F.xxhash64("t").alias("th")).alias("a")
     left = F.col("b.n_words") - F.col("b.removed")
-    joined = passed.join(lost, same, "left").where(F.col("b.th").isNull() | (left >= least_share * F.col("b.n_words")))
+    joined = passed.join(lost, _same_row(), "left").where(F.col("b.th").isNull() | (left >= least_share * F.col("b.n_words")))
     lines = F.split("t", "\n")
     others = let(lines, lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("places")), lambda i: F.get(x, i)))
     text = F.when(F.col("b.th").isNull(), F.col("row").getField(text_col)).otherwise(F.array_join(others, "\n"))

@@ -195,7 +195,7 @@ class TrieEncoder:
             found = [plain[:-1], plain[-1]]
         else:
             found = self.words.findall(plain)
-        return [w if w.isascii() else "".join(map(self.bytes.__getitem__, w.encode())) for w in found]
+        return [w if w.isascii() and w.isprintable() else "".join(map(self.bytes.__getitem__, w.encode())) for w in found]
 
     def learn(self, pieces: set[str]) -> None:
         """Know the pieces; those that neither generation knows are encoded, their new words through one trie."""

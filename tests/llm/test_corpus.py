@@ -141,6 +141,18 @@ def test_long_boilerplate_and_copies(spark):
     assert all(got[k] == (False, 60) for k in range(50)) and all(got[100 + k] == (True, 60) for k in range(20))
 
 
+def test_equal_rows_on_two_hosts_are_judged_apart(spark):
+    """A line that is boilerplate on one host only leaves that host's rows only, whatever their ids."""
+    line, body = "one two three four five six seven eight nine", [f"w{k}" for k in range(60)]
+    text = " ".join(body) + "\n" + line
+    rows = [(k, f"{' '.join(f'v{k}x{j}' for j in range(60))}\n{line}", "A") for k in range(1, 12)] + [(0, text, "A"), (0, text, "B"), (0, text, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = sorted(r["n_boilerplate_words"] for r in quality.judge(df).collect() if r["doc_id"] == 0)
+    assert got == [0, 0, 9]
+    kept = {r["source"]: r["text"] for r in quality.keep(df).collect() if r["doc_id"] == 0}
+    assert kept == {"A": " ".join(body), "B": text, None: text}
+
+
 def test_quality_keep_equals_judge(spark, docs):
     judged = by_text(r["doc_id"] for r in quality.judge(docs).where("kept").collect())
     kept = quality.keep(docs)

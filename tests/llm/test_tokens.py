@@ -31,6 +31,27 @@ def test_encoders_match_the_library(texts):
         assert ids == raw(want) and decoded == lib_w.decode(want, skip_special_tokens=False), text[:40]
 
 
+def test_control_characters_beside_letters(spark):
+    """Words of ASCII may hold characters that byte-level vocabularies show by others."""
+    odd = ["café\x7f latte", "\x00ß", "\x1cı", "é\x01a \x1fb\x7f.", "a\x00b"]
+    lib = Tokenizer.from_file(WORDS)
+    rows = {r["t"]: (r["ids"], r["decoded"]) for r in trie.encode(spark.createDataFrame([(t, t) for t in odd], "t string, text string"), id_col="t").collect()}
+    for text in odd:
+        want = lib.encode(text, add_special_tokens=False).ids
+        assert rows[text] == (raw(want), lib.decode(want, skip_special_tokens=False)), text
+
+
+def test_random_texts_match_the_library():
+    rng = random.Random(11)
+    pools = [list(map(chr, range(0x80))), list(map(chr, [*range(1, 0x20), 0x7F, 0x85, 0xA0])), list(map(chr, range(0x80, 0x250))), list(map(chr, range(0x300, 0x370))), list(map(chr, range(0x370, 0x3000))), ["<|endoftext|>", "<|startoftext|>", "'s", "'LL", "  ", "\n", "İ", "ß", "K"]]
+    lib_b, lib_w, byte, words = Tokenizer.from_file(BYTES), Tokenizer.from_file(WORDS), encoder(BYTES), trie.TrieEncoder(WORDS)
+    texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(1, 9))) for _ in range(6000)]
+    got = words.encode(texts)
+    for text, (ids, decoded), b, w in zip(texts, got, lib_b.encode_batch(texts, add_special_tokens=False), lib_w.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids == raw(w.ids) and decoded == lib_w.decode(w.ids, skip_special_tokens=False), ascii(text)
+        assert byte.encode(text) == raw(b.ids), ascii(text)
+
+
 def test_small_tables_give_the_same(monkeypatch, texts):
     """Clearing a worker's tables of words changes nothing."""
     monkeypatch.setattr("supplylens.llm.trie.KEPT_PIECES", 30)
@@ -140,6 +161,12 @@ def test_reduction_keeps_the_optimum():
         assert total == counts
 
 
+def test_many_items_of_few_sizes_are_planned_at_once():
+    kinds = packing.plan({1000: 10**7, 400: 10**7})
+    assert len(kinds) < 10 and sum(n for n, _ in kinds) <= 10**7
+    assert sum(n * c for n, held in kinds for s, c in held if s == 1000) == 10**7
+
+
 def test_empty_tables(empty, tmp_path):
     assert trie.encode(empty).count() == 0
     assert packing.packed(empty).count() == 0
