@@ -47,20 +47,23 @@ def history(core: Core, by: str = "dept") -> DataFrame:
     return core.raw.store.table(f"history_{by}", lambda: grid(core, daily(core, by), shifted(ORIGIN, 1 - LONGEST), ORIGIN, by))
 
 
-def features(core: Core, start: str = START, end: str = AS_OF, cutoff: str = ORIGIN) -> DataFrame:
+def features(core: Core, start: str = START, end: str = AS_OF, cutoff: str = ORIGIN, by: str = "dept") -> DataFrame:
     """Features of every series-day in [start, end]; demand looks back LAG days or more and prices are
-    frozen after the cutoff. History is bounded before the windows run and cut after them."""
-    x = grid(core, daily(core), shifted(start, -(LAG + LONGEST + 7)), end)
+    frozen after the cutoff. History is bounded before the windows run and cut after them. Series are by
+    department or SKU; those of a SKU also have its department and category."""
+    x = grid(core, daily(core, by), shifted(start, -(LAG + LONGEST + 7)), end, by)
+    kinds = ["dept", "category"] if by == "sku" else []
+    x = x.join(core.dim_sku.select("sku", *kinds), "sku") if by == "sku" else x
     x = x.withColumn("price_week", F.least(week_of(F.col("date")), week_of(day(cutoff))))
     price = core.fact_price_weekly.select("store", "dept", F.col("week").alias("price_week"), F.col("price").alias("p"))
     cal = core.raw.calendar().select("date", "event_type", "snap")
     x = x.join(price, ["store", "dept", "price_week"], "left").join(cal, "date")
-    w = Window.partitionBy("store", "dept").orderBy("date")
+    w = Window.partitionBy("store", by).orderBy("date")
     x = x.withColumn("price", F.coalesce("p", F.last("p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))))
     back = lambda n: w.rowsBetween(-(LAG + n - 1), -LAG)
     u = F.col("units")
     x = x.select(
-        "store", "dept", "date", "units",
+        "store", by, *kinds, "date", "units",
         *(F.lag("units", LAG + k).over(w).alias(f"lag_{LAG + k}") for k in (0, 7, 14, 21)),
         *(rounded(F.avg("units").over(back(n)), 6).alias(f"rm{n}") for n in (7, 28, 56)),
         rounded(F.stddev_samp("units").over(back(28)), 6).alias("rsd28"),

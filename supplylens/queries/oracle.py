@@ -103,6 +103,11 @@ STEPS = {
         floor(greatest(coalesce(q90, 0), 0.0, mean) * 1000000 + 0.5) / 1000000 AS p90 FROM baseline b LEFT JOIN spreads s ON s.store = b.store AND s.dept = b.dept""",
     "speed_bands": "SELECT store, dept, floor(v * 1000000 + 0.5) / 1000000 AS per_day, CASE WHEN v <= 1 THEN 'slow' WHEN v <= 5 THEN 'medium' ELSE 'fast' END AS band FROM spreads",
     "scored": "SELECT p.*, d.units AS actual, v.band FROM predicted p JOIN dense d ON d.store = p.store AND d.dept = p.dept AND d.date = p.date AND d.units IS NOT NULL JOIN speed_bands v ON v.store = p.store AND v.dept = p.dept",
+    # Errors by store and SKU: a flat mean of 28 days against the same weekday's.
+    "sku_flat": "SELECT store, sku, coalesce(avg(units), 0.0) AS flat FROM sku_days WHERE date > DATE '2001-06-02' - 28 GROUP BY 1, 2",
+    "unit_errors": """SELECT m.store, m.sku, CAST(any_value(g.r_regionkey) AS BIGINT) * 1000000007 + CAST(regexp_extract(m.sku, '[0-9]+$') AS BIGINT) AS key, sum(abs(coalesce(y.units, 0) - f.flat)) AS old, sum(abs(coalesce(y.units, 0) - m.mean)) AS new, CAST(sum(coalesce(y.units, 0)) AS DOUBLE) AS total
+        FROM sku_mean m JOIN sku_flat f ON f.store = m.store AND f.sku = m.sku JOIN day_status d ON d.store = m.store AND d.date = m.date AND d.status <> 'missing_data'
+        JOIN region g ON g.r_name = m.store LEFT JOIN fact y ON y.store = m.store AND y.sku = m.sku AND y.date = m.date GROUP BY 1, 2""",
     # The same by SKU, and what to order.
     "sku_first": "SELECT store, sku, min(date) AS first_sale FROM fact GROUP BY 1, 2",
     "sku_days": """SELECT x.store, x.sku, c.date, CASE WHEN d.status IS NULL OR d.status = 'missing_data' THEN NULL ELSE coalesce(y.units, 0) END AS units

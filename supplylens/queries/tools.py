@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from supplylens.functions.numbers import rounded
 from supplylens.functions.text import close_codes
-from supplylens.operators import anomalies, forecast, lookups, reorder, variance
+from supplylens.operators import anomalies, forecast, lookups, quantile_forecast, reorder, variance
 from supplylens.operators.clean import core
 from supplylens.plans.run_sql import describe, filter_hints
 from supplylens.queries.oracle import sql
@@ -93,6 +93,8 @@ QUERIES = {
     "forecast_one_store": lambda s, d: forecast.window_total(forecast.forecast(core(s, d)).where("store = 'ASIA'"), ["store", "dept"], 14),
     "forecast_all_stores": lambda s, d: forecast.window_total(forecast.forecast(core(s, d)), ["dept"], 14),
     "model_forecast": lambda s, d: forecast.model_forecast(core(s, d)),
+    "quantile_forecast": lambda s, d: quantile_forecast.forecast(core(s, d)).drop("units"),
+    "quantile_backtest": lambda s, d: quantile_forecast.metrics(core(s, d)),
     "reorder_lines": lambda s, d: reorder.lines(core(s, d)),
     "reorder_drafts": lambda s, d: reorder.drafts(reorder.lines(core(s, d))),
     "draft_state_fold": lambda s, d: reorder.fold(*reorder.stand_in_decisions(Raw(s, d))),
