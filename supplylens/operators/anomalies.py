@@ -79,8 +79,8 @@ def sku_anomalies(core: Core, end: str = AS_OF, scale: int = 1, stopped: float =
     return x.where(gone | up).select("store", F.col("sku").alias("subject"), F.lit("sku").alias("level"), kind.alias("anomaly"), now.alias("this_week"), rounded(base, 4).alias("base_mean"), rounded((now - base) / base, 4).alias("pct_change"), F.lit(None).cast("double").alias("z"))
 
 
-def sales_anomalies(core: Core) -> DataFrame:
-    return week_anomalies(core).unionByName(sku_anomalies(core, scale=8, stopped=0.05), allowMissingColumns=True)
+def sales_anomalies(core: Core, end: str = AS_OF) -> DataFrame:
+    return week_anomalies(core, end).unionByName(sku_anomalies(core, end, scale=8, stopped=0.05), allowMissingColumns=True)
 
 
 def summary(found: DataFrame) -> DataFrame:

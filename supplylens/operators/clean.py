@@ -139,14 +139,23 @@ class Core:
         x = self.raw.inventory().withColumn("sku", canonical(F.col("sku_code"))).join(self.dim_sku.select("sku"), "sku", "left_semi")
         return x.groupBy("store", "sku").agg(F.sum("on_hand").cast("long").alias("on_hand"), F.sum("on_order").cast("long").alias("on_order"))
 
-    def caveats(self, start: str, end: str) -> DataFrame:
+    def caveats(self, start: str, end: str, store: str | None = None) -> DataFrame:
         """Days of a window on which a store wasn't open, as text by status."""
         odd = self.store_day_status.where((F.col("status") != "open") & F.col("date").between(day(start), day(end)))
+        odd = odd.where(F.col("store") == store) if store else odd
         stores = F.array_join(F.array_sort(F.collect_set("store")), ", ")
         days = odd.groupBy("status", "date").agg(stores.alias("stores"))
         text = F.concat_ws(" ", F.col("date").cast("string"), F.concat(F.lit("("), F.col("stores"), F.lit(")")))
         return days.groupBy("status").agg(F.count("*").alias("n_days"), F.array_join(F.array_sort(F.collect_list(text)), "; ").alias("days"))
 
+    def warnings(self, start: str, end: str, store: str | None = None) -> list[str]:
+        """What a reader of sums over a window has to know: at most a sentence for each status."""
+        say = {
+            "missing_data": "No data for {}: sales there are unknown, not zero, and sums over these days are too low.",
+            "closed_all_stores": "All stores were closed on {}: next to no sales are expected.",
+        }
+        return [say[r["status"]].format(r["days"]) for r in self.caveats(start, end, store).orderBy("status").collect()]
+
     def issues(self) -> DataFrame:
         """One row for each class of fault that cleaning found."""
         code, case = F.col("sku_code"), is_case(F.col("uom"))

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from supplylens.functions.numbers import rounded
+from supplylens.functions.text import close_codes, normal_code
 from supplylens.sources.standin import day
 
+NEAREST = 5
+
 
 def between(df: DataFrame, start: str, end: str) -> DataFrame:
     return df.where(F.col("date").between(day(start), day(end)))
@@ -51,3 +54,22 @@ def truncated(df: DataFrame, limit: int) -> DataFrame:
     """At most `limit` rows, and whether there are more: one row beyond is asked for."""
     rows = df.limit(limit + 1)
     return rows.agg(F.least(F.count("*"), F.lit(limit)).alias("n_rows"), (F.count("*") > limit).alias("truncated"))
+
+
+def spelled(codes: DataFrame, skus: DataFrame, code: str = "code") -> DataFrame:
+    """Each spelling of a code with the SKU that it stands for (null: none), and whether it had to be interpreted."""
+    known = skus.select("sku", F.col("sku").alias("_sku"))
+    x = codes.withColumn("_sku", normal_code(F.col(code))).join(known, "_sku", "left").drop("_sku")
+    return x.withColumn("interpreted", F.col("sku").isNotNull() & (F.col(code) != F.col("sku")))
+
+
+def resolve(skus: DataFrame, code: str) -> tuple[str, list[str]]:
+    """The SKU that a spelling stands for and what was made of it; ValueError with the nearest codes if there is none."""
+    if not code or not code.strip():
+        raise ValueError("a SKU is needed")
+    found = spelled(skus.sparkSession.createDataFrame([(code,)], "code string"), skus).first()
+    if found["sku"] is None:
+        normal = code.strip().upper().replace("-", "_").replace(" ", "_")
+        near = [r["sku"] for r in close_codes(skus, "sku", normal, NEAREST).collect()]
+        raise ValueError(f"unknown SKU {code!r}; the nearest are {', '.join(near)}")
+    return found["sku"], [f"SKU {code!r} was read as {found['sku']}."] if found["interpreted"] else []

@@ -26,7 +26,7 @@ def cases(need: Column, pack: Column) -> Column:
     return F.ceil(F.greatest(need, F.lit(0.0)) / pack - F.lit(1e-9)).cast("long")
 
 
-def lines(core: Core, store: str | None = None, dept: str | None = None, service: float = SERVICE, review: int = REVIEW_DAYS) -> DataFrame:
+def lines(core: Core, store: str | None = None, dept: str | None = None, service: float = SERVICE, review: int = REVIEW_DAYS, skus: list[str] | None = None) -> DataFrame:
     """Cases to order for each store and active SKU: demand until the next delivery but one, plus safety
     stock from the upper tail, less what is there and on its way. Packs and costs are the SKU's, lead times
     its supplier's."""
@@ -34,6 +34,7 @@ def lines(core: Core, store: str | None = None, dept: str | None = None, service
     items = items.join(core.raw.suppliers(), "supplier_id")
     stock = core.inventory.join(items.where(F.col("dept") == dept) if dept else items, "sku")
     stock = stock.where(F.col("store") == store) if store else stock
+    stock = stock.where(F.col("sku").isin(skus)) if skus else stock
     last = F.date_add(day(ORIGIN), F.col("lead_time_days") + review)
     f = forecast(core, "sku").join(stock.select("store", "sku", "lead_time_days"), ["store", "sku"]).where(F.col("date") <= last)
     sigma = F.greatest(F.col("p90") - F.col("mean"), F.lit(0.0)) / Z90

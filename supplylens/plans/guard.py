@@ -68,8 +68,8 @@ def parse(spark: SparkSession, text: str) -> list:
     return json.loads(plan.toJSON())
 
 
-def check(spark: SparkSession, text: str, schema: str = "core", tables: set[str] | None = None) -> None:
-    """Raise Rejected unless the text is one read-only query over allowed tables.
+def check(spark: SparkSession, text: str, schema: str = "core", tables: set[str] | None = None) -> set[str]:
+    """Raise Rejected unless the text is one read-only query over allowed tables; returns the tables it reads.
 
     WITH stands at the start only. A name that it defines is known to the query and to the names
     defined after it; anywhere else it would mean a table of that name.
@@ -78,15 +78,17 @@ def check(spark: SparkSession, text: str, schema: str = "core", tables: set[str]
     if not plan:
         raise Rejected("empty statement")
     names: set[str] = set()
+    used: set[str] = set()
     if _name(plan[0]) == "UnresolvedWith":
         for part in plan[0]["cteRelations"]:
-            _check(part["_2"], schema, tables, names)
+            used |= _check(part["_2"], schema, tables, names)
             names = names | {part["_1"].lower()}
         plan = plan[1:]
-    _check(plan, schema, tables, names)
+    return used | _check(plan, schema, tables, names)
 
 
-def _check(plan: list, schema: str, tables: set[str] | None, names: set[str]) -> None:
+def _check(plan: list, schema: str, tables: set[str] | None, names: set[str]) -> set[str]:
+    used: set[str] = set()
     for n in _nodes(plan):
         kind = _name(n)
         if kind == "UnresolvedWith":
@@ -107,3 +109,5 @@ def _check(plan: list, schema: str, tables: set[str] | None, names: set[str]) ->
                 raise Rejected(f"table {'.'.join(parts)} is not in schema {schema}")
             if tables is not None and parts[1].lower() not in tables:
                 raise Rejected(f"no table {'.'.join(parts)}")
+            used.add(parts[1].lower())
+    return used

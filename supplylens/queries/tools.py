@@ -51,6 +51,13 @@ def over_missing(c):
     return x.groupBy("store").agg(F.sum("units").alias("known_units"), F.count(F.when(F.col("status") == "missing_data", 1)).alias("missing_days"))
 
 
+def spellings(c):
+    """Codes as exports have them, as people write them, and some that no SKU has."""
+    parts, no = c.raw.parts(), F.col("part_no").cast("string")
+    said = parts.select(F.explode(F.array(F.concat(F.lower("dept"), F.lit(" "), no), F.concat("dept", no))).alias("code"))
+    return c.raw.sales_lines().select(F.col("sku_code").alias("code")).union(said).distinct()
+
+
 QUERIES = {
     "units_on_day": lambda s, d: lookups.between(core(s, d).fact_sales_daily, "2000-03-15", "2000-03-15").groupBy("store").agg(F.sum("units").alias("units")),
     "zero_sale_days": lambda s, d: zero_days(core(s, d)),
@@ -71,7 +78,9 @@ QUERIES = {
     "describe_tables": lambda s, d: describe(core(s, d)),
     "limit_truncation": lambda s, d: lookups.truncated(Raw(s, d).parts(), 50),
     "filter_hint_case": lambda s, d: filter_hints(core(s, d).dim_sku, "status", "active"),
-    "sku_close_matches": lambda s, d: close_codes(core(s, d).dim_sku, "sku", "PROMO_4", 5),
+    "sku_close_matches": lambda s, d: close_codes(core(s, d).dim_sku, "sku", "PROM_47", 5),
+    "sku_spellings": lambda s, d: lookups.spelled(spellings(core(s, d)), core(s, d).dim_sku),
+    "describe_raw": lambda s, d: describe(core(s, d), "raw"),
     "inventory_anomalies": lambda s, d: anomalies.inventory_anomalies(core(s, d)),
     "inventory_anomaly_summary": lambda s, d: anomalies.inventory_anomalies(core(s, d)).groupBy("anomaly").agg(F.count("*").alias("n"), rounded(F.sum("value"), 0).alias("value")),
     "sales_anomaly_weeks": lambda s, d: anomalies.week_anomalies(core(s, d)),
@@ -131,7 +140,9 @@ ORACLES = {
     "total_over_missing": sql("SELECT store, CAST(sum(units) AS BIGINT) AS known_units, count(*) FILTER (WHERE status = 'missing_data') AS missing_days FROM day_status WHERE date BETWEEN DATE '2000-05-01' AND DATE '2000-05-31' GROUP BY 1"),
     "limit_truncation": sql("SELECT CAST(least(count(*), 50) AS BIGINT) AS n_rows, count(*) > 50 AS truncated FROM (SELECT 1 FROM parts LIMIT 51)"),
     "filter_hint_case": sql("SELECT DISTINCT status AS value, 'differs in case' AS hint FROM dim_sku WHERE lower(status) = 'active' AND status <> 'active'"),
-    "sku_close_matches": sql("SELECT sku, distance FROM (SELECT sku, CAST(levenshtein(sku, 'PROMO_4') AS INTEGER) AS distance FROM dim_sku) ORDER BY distance, sku LIMIT 5"),
+    "sku_close_matches": sql("SELECT sku, floor(jaro_winkler_similarity(sku, 'PROM_47') * 1000000000 + 0.5) / 1000000000 AS similarity FROM dim_sku ORDER BY similarity DESC, sku LIMIT 5"),
+    "sku_spellings": sql("""SELECT code, sku, sku IS NOT NULL AND code <> sku AS interpreted FROM (SELECT DISTINCT sku_code AS code FROM sales_lines UNION SELECT lower(dept) || ' ' || part_no FROM parts UNION SELECT dept || part_no FROM parts)
+        LEFT JOIN dim_sku ON sku = translate(upper(trim(code)), '- ', '__')"""),
     "inventory_anomalies": sql("SELECT * FROM stock_found"),
     "inventory_anomaly_summary": sql("SELECT anomaly, count(*) AS n, floor(sum(value) + 0.5) AS value FROM stock_found GROUP BY 1"),
     "sales_anomaly_weeks": sql(f"SELECT {SALES} FROM week_found"),

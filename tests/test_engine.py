@@ -235,3 +235,71 @@ def test_drafts_are_saved_and_decided(spark, core, tmp_path):
 def test_variance_tool_shows_rises(core):
     got = registry.call(core, "explain_variance", by="sku", limit=50)["data"]
     assert [abs(r["change"]) for r in got] == sorted((abs(r["change"]) for r in got), reverse=True)
+
+
+def test_names_in_other_spellings_and_comments(core):
+    """The query goes to Spark as it is: quoted names, and quotes inside comments."""
+    n = core.dim_sku.count()
+    assert run_sql(core, "SELECT count(*) AS n FROM core.`dim_sku`", seconds=60).data == [{"n": n}]
+    assert run_sql(core, "SELECT count(*) AS n -- it's core.inventory\nFROM CORE.Dim_Sku /* ' */", seconds=60).data == [{"n": n}]
+    assert run_sql(core, "WITH dim_sku AS (SELECT * FROM core.dim_sku LIMIT 3) SELECT count(*) AS n FROM dim_sku", seconds=60).data == [{"n": 3}]
+
+
+def test_hints_come_from_the_plan(core, spark):
+    text = """WITH a AS (SELECT k.status AS s, k.sku AS code FROM core.dim_sku k JOIN core.inventory i ON i.sku = k.sku) -- dept = 'x'
+        SELECT count(*) FROM a WHERE s IN ('active', 'gone') AND code <> 'dept = promo' AND NOT code = 'q'"""
+    found = run_sql(core, text, seconds=60)
+    assert found.data == [{"count(1)": 0}]
+    said = [c for c in found.caveats if "dim_sku.status" in c]
+    assert len(said) == 2 and "differs in case: ACTIVE" in said[0] and not any("dept" in c or "code" in c for c in found.caveats)
+    many = run_sql(core, "SELECT count(*) FROM core.dim_sku WHERE dept IN ('promo', 'small', 'large', 'medium', 'economy')", seconds=60)
+    assert sum("dim_sku.dept" in c for c in many.caveats) == 3
+    assert not any("dim_sku" in c for c in run_sql(core, "SELECT count(*) FROM core.dim_sku WHERE case_pack = 99999", seconds=60).caveats)
+
+
+def test_raw_schema_stands_apart(core):
+    got = run_sql(core, "SELECT uom, count(*) AS n FROM raw.pos_sales_lines GROUP BY uom", seconds=60, schema="raw")
+    assert {r["uom"] for r in got.data} > {"EA"}
+    for text, schema in (("SELECT * FROM core.dim_sku", "raw"), ("SELECT * FROM raw.load_log", "core"), ("SELECT * FROM raw.dim_sku", "raw")):
+        with pytest.raises(guard.Rejected):
+            run_sql(core, text, schema=schema)
+    assert {r["table_name"] for r in registry.call(core, "describe_data", schema="raw")["data"]["tables"]} == {"pos_sales_lines", "load_log", "erp_sku_master", "erp_suppliers", "stores", "calendar", "price_book", "inventory_snapshot"}
+
+
+def test_codes_are_resolved(core):
+    sku = core.dim_sku.orderBy("sku").first()["sku"]
+    assert lookups.resolve(core.dim_sku, sku) == (sku, [])
+    got, said = lookups.resolve(core.dim_sku, f" {sku.lower().replace('_', ' ')} ")
+    assert got == sku and sku in said[0]
+    with pytest.raises(ValueError, match="nearest are") as error:
+        lookups.resolve(core.dim_sku, sku + "999")
+    assert len(str(error.value).split(" are ")[1].split(", ")) == 5
+    with pytest.raises(ValueError, match="needed"):
+        lookups.resolve(core.dim_sku, " ")
+
+
+def test_tools_check_what_they_are_given(core):
+    call = registry.call
+    assert "horizon must be an integer from 1 to 28" in call(core, "forecast_demand", horizon=29)["error"]
+    assert "review must be" in call(core, "draft_reorder", review=0)["error"] and "service must be" in call(core, "draft_reorder", service=1)["error"]
+    assert "a must" in call(core, "explain_variance", a=("2000-02-01", "2000-01-01"))["error"] and "skus must be" in call(core, "draft_reorder", skus="x")["error"]
+    assert "end must be a date" in call(core, "detect_anomalies", end="soon")["error"] and "no data then" in call(core, "detect_anomalies", end="2009-01-01")["error"]
+    assert "nearest" in call(core, "forecast_demand", sku="PROM")["error"]
+    early = call(core, "detect_anomalies", end="2000-05-20", store="AFRICA")
+    assert set(early["data"]) == {"sales", "data_quality"} and any("known on" in c for c in early["caveats"])
+    assert set(core.warnings("2000-03-19", "2000-05-20", "AFRICA")) <= set(early["caveats"])
+    sku = core.dim_sku.where("status = 'ACTIVE'").orderBy("sku").first()["sku"]
+    lines = call(core, "draft_reorder", skus=[sku.lower()], review=1)
+    assert "error" not in lines and {r["sku"] for r in lines["data"]} <= {sku} and any("was read as" in c for c in lines["caveats"])
+    assert call(core, "explain_variance")["caveats"] == [*core.warnings("1999-01-01", "1999-12-31"), *core.warnings("2000-01-01", "2000-12-31")]
+
+
+def test_warnings_name_the_days(spark):
+    rows = [(dt.date(2000, 5, 10), "x", "missing_data"), (dt.date(2000, 5, 11), "x", "missing_data"), (dt.date(2000, 5, 11), "y", "open"), (dt.date(2000, 5, 12), "x", "closed_all_stores"), (dt.date(2000, 5, 12), "y", "closed_all_stores")]
+
+    class Days(Core):
+        store_day_status = spark.createDataFrame(rows, "date date, store string, status string")
+
+    days = Days(None)
+    assert days.warnings("2000-05-01", "2000-05-11") == ["No data for 2000-05-10 (x); 2000-05-11 (x): sales there are unknown, not zero, and sums over these days are too low."]
+    assert len(days.warnings("2000-05-01", "2000-05-31")) == 2 and days.warnings("2000-05-10", "2000-05-11", "y") == [] and "2000-05-12 (x, y)" in days.warnings("2000-05-12", "2000-05-12")[0]
