@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from supplylens.queries.oracle import sql
 from supplylens.sources import files
-from supplylens.sources.standin import AS_OF, EPOCH, Raw
+from supplylens.sources.standin import AS_OF, EPOCH, Raw, with_calendar
 from supplylens.sources.store import store
 
 DAYS, BOOK = "date date, week int, event_type string, snap boolean", "store string, dept string, week int, price double"
@@ -15,7 +15,11 @@ EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, v
 
 
 def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = store(spark, sf_dir).file("calendar.csv", lambda p: files.write_csv(Raw(spark, sf_dir).calendar(), p))
+    """The days on which the given tables have an order or a shipment, as a calendar file."""
+    raw = Raw(spark, sf_dir)
+    seen = raw.table("orders").select(F.col("o_orderdate").cast("date").alias("date")).union(raw.table("lineitem").select(F.col("l_shipdate").cast("date")))
+    rows = with_calendar(seen.where("date IS NOT NULL").distinct()).repartition(1)  # a row for each day
+    path = store(spark, sf_dir).file("calendar.csv", lambda p: files.write_csv(rows, p))
     return files.csv(spark, path, DAYS)
 
 
@@ -50,10 +54,10 @@ QUERIES = {
 }
 
 ORACLES = {
-    "csv_calendar": sql(f"SELECT CAST(date AS VARCHAR) AS date, week, event_type, snap FROM calendar WHERE date BETWEEN DATE '{EPOCH}' AND DATE '{AS_OF}'"),
-    "csv_future_calendar": sql(f"SELECT CAST(date AS VARCHAR) AS date, week, event_type, snap FROM calendar WHERE date > DATE '{AS_OF}' AND date <= DATE '{AS_OF}' + 28"),
+    "csv_calendar": sql(f"SELECT CAST(date AS VARCHAR) AS date, week, event_type, snap FROM seen_days WHERE date BETWEEN DATE '{EPOCH}' AND DATE '{AS_OF}'"),
+    "csv_future_calendar": sql(f"SELECT CAST(date AS VARCHAR) AS date, week, event_type, snap FROM seen_days WHERE date > DATE '{AS_OF}' AND date <= DATE '{AS_OF}' + 28"),
     "csv_weekly_prices": sql(f"""SELECT store, dept, week, floor(price * 100 + 0.5) / 100 AS price FROM price_book
-        WHERE store LIKE 'A%' AND week IN (SELECT week FROM calendar WHERE date BETWEEN DATE '2000-01-01' AND DATE '{AS_OF}')"""),
+        WHERE store LIKE 'A%' AND week IN (SELECT week FROM seen_days WHERE date BETWEEN DATE '2000-01-01' AND DATE '{AS_OF}')"""),
     "jsonl_last_of_each": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) = 1",
     "jsonl_not_done": "SELECT c_custkey AS user_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)",
 }

@@ -38,6 +38,8 @@ STEPS = {
         UNION ALL SELECT store, replace(sku, '_', '-'), on_hand - on_hand // 2, 0 FROM stock WHERE part_no % 40 = 0""",
     "calendar": f"""SELECT date, CAST((date - DATE '{s.EPOCH}') // 7 AS INTEGER) AS week, CASE WHEN month(date) = 12 AND day(date) = 25 THEN 'National' WHEN month(date) = 5 AND day(date) = 1 THEN 'Cultural' END AS event_type, day(date) <= 10 AS snap
         FROM (SELECT CAST(unnest(generate_series(DATE '{s.EPOCH}', DATE '{s.AS_OF}' + 28, INTERVAL 1 DAY)) AS DATE) AS date)""",
+    "seen_days": f"""SELECT date, CAST((date - DATE '{s.EPOCH}') // 7 AS INTEGER) AS week, CASE WHEN month(date) = 12 AND day(date) = 25 THEN 'National' WHEN month(date) = 5 AND day(date) = 1 THEN 'Cultural' END AS event_type, day(date) <= 10 AS snap
+        FROM (SELECT CAST(o_orderdate AS DATE) AS date FROM orders UNION SELECT CAST(l_shipdate AS DATE) FROM lineitem) WHERE date IS NOT NULL""",
     # Cleaned tables.
     "codes": "SELECT sku_code FROM sku_master UNION SELECT sku_code FROM sales_lines UNION SELECT sku_code FROM inventory_raw",
     "sku_alias": "SELECT sku_code AS raw_code, upper(trim(replace(sku_code, '-', '_'))) AS sku, sku_code <> upper(trim(replace(sku_code, '-', '_'))) AS is_alias FROM codes",

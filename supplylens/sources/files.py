@@ -14,14 +14,15 @@ from supplylens.functions.numbers import rounded
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV file or folder with a header line. Columns go by name against the header; a row that doesn't fit fails the query."""
+    """A CSV file or folder whose files have one header line each. Columns go by name against the header; a row
+    that doesn't fit, or a file whose header differs from the others', fails the query."""
     header = spark.read.option("header", True).csv(path).columns
     types = {f.name: f.dataType.simpleString() for f in spark.createDataFrame([], schema).schema}
     lacking = sorted(set(types) - set(header))
     if lacking:
         raise ValueError(f"{path} has no column {', '.join(lacking)}")
     whole = ", ".join(f"`{c}` {types.get(c, 'string')}" for c in header)
-    return spark.read.schema(whole).options(header=True, mode="FAILFAST").csv(path).select(*types)
+    return spark.read.schema(whole).options(header=True, mode="FAILFAST", enforceSchema=False).csv(path).select(*types)
 
 
 def calendar(days: DataFrame, first: str, as_of: str) -> DataFrame:
@@ -46,7 +47,7 @@ def wide_units(spark: SparkSession, path: str, keys: list[str], days: list[str],
         raise ValueError(f"{path} has no column {', '.join(lacking[:5])}")
     wanted = set(days)
     schema = ", ".join(f"`{c}` {'int' if c in wanted else 'string'}" for c in header)
-    wide = spark.read.schema(schema).options(header=True, mode="FAILFAST").csv(path)
+    wide = spark.read.schema(schema).options(header=True, mode="FAILFAST", enforceSchema=False).csv(path)
     if where is not None:
         wide = wide.where(where)
     names = F.split(F.lit("\n".join(days)), "\n")
@@ -64,6 +65,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.options(header=True, emptyValue='""').csv(path)
 
 
+def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The manifest as it was written; a line that doesn't fit fails the query."""
+    return read_lines(spark, path, schema)
+
+
 def write_manifest(df: DataFrame, path: str) -> None:
     """A manifest of injected faults: a few rows, so one file."""
     df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)

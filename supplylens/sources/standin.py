@@ -31,6 +31,12 @@ def week_of(date: Column) -> Column:
     return F.floor(F.datediff(date, day(EPOCH)) / 7).cast("int")
 
 
+def with_calendar(days: DataFrame) -> DataFrame:
+    """Dates with their week, event and whether benefits are paid out."""
+    event = F.when((F.month("date") == 12) & (F.dayofmonth("date") == 25), "National").when((F.month("date") == 5) & (F.dayofmonth("date") == 1), "Cultural")
+    return days.select("date", week_of(F.col("date")).alias("week"), event.alias("event_type"), (F.dayofmonth("date") <= 10).alias("snap"))
+
+
 class Raw:
     """The raw tables of one directory. The sales lines and the load log are stored; the rest is lazy."""
 
@@ -145,8 +151,7 @@ class Raw:
 
     def calendar(self) -> DataFrame:
         days = self.spark.sql(f"SELECT explode(sequence(DATE '{EPOCH}', date_add(DATE '{AS_OF}', 28))) AS date")
-        event = F.when((F.month("date") == 12) & (F.dayofmonth("date") == 25), "National").when((F.month("date") == 5) & (F.dayofmonth("date") == 1), "Cultural")
-        return days.select("date", week_of(F.col("date")).alias("week"), event.alias("event_type"), (F.dayofmonth("date") <= 10).alias("snap"))
+        return with_calendar(days)
 
 
 def inject_uom_alias(lines: DataFrame) -> DataFrame:

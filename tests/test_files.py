@@ -18,6 +18,16 @@ def test_csv_by_name(spark, tmp_path):
         files.csv(spark, f"file://{path}", "snap boolean")
 
 
+def test_csv_files_in_two_orders_are_not_mixed_up(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "b.csv").write_text("b,a\n20,10\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.csv(spark, f"file://{tmp_path}", "a int, b int").collect()
+    (tmp_path / "b.csv").write_text("a,b\n10,20\n")
+    assert sorted(map(tuple, files.csv(spark, f"file://{tmp_path}", "b int, a int").collect())) == [(2, 1), (20, 10)]
+    assert sorted(map(tuple, files.csv(spark, f"file://{tmp_path}", "b int").collect())) == [(2,), (20,)]
+
+
 def test_csv_with_a_row_that_does_not_fit(spark, tmp_path):
     path = tmp_path / "c.csv"
     path.write_text("week\n1\nsoon\n")
