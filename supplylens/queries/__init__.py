@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from supplylens.queries import cleaning, evaluation, files, tools
+from supplylens.queries import cleaning, evaluation, files, questions, tools
 
-MODULES = (cleaning, tools, evaluation, files)
+MODULES = (cleaning, tools, evaluation, files, questions)
 DATES = ("date", "txn_date", "loaded_at")
 
 

@@ -124,10 +124,14 @@ class Raw:
     def suppliers(self) -> DataFrame:
         return self.table("supplier").select(F.col("s_suppkey").alias("supplier_id"), F.col("s_name").alias("supplier_name"), (3 + F.col("s_suppkey") % 12).cast("int").alias("lead_time_days"), (1 + F.col("s_suppkey") % 10).cast("int").alias("min_order_cases"))
 
-    def price_book(self) -> DataFrame:
-        """Weekly shelf prices by store and department, with mis-keyed and missing weeks."""
+    def true_prices(self) -> DataFrame:
+        """Weekly shelf prices by store and department."""
         base = self.lines().groupBy("store", "dept", "week").agg(F.median(F.col("amount") / F.col("units")).alias("price"))
-        base = base.withColumn("price", rounded(F.col("price")))
+        return base.withColumn("price", rounded(F.col("price")))
+
+    def price_book(self) -> DataFrame:
+        """The prices with mis-keyed and missing weeks."""
+        base = self.true_prices()
         first = base.groupBy("store", "dept").agg(F.min("week").alias("first_week"))
         base = base.join(first, ["store", "dept"])
         mark = F.length("dept") + F.col("week")
