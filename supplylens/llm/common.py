@@ -66,6 +66,19 @@ def forget(*frames: DataFrame) -> None:
         system.delete(where, True)
 
 
+def give_back() -> None:
+    """In a Python worker: hand the memory that its earlier tasks have freed back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()

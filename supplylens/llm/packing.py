@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplylens.llm.common import bounded_batches, durable, ranked, read
+from supplylens.llm.common import bounded_batches, durable, give_back, ranked, read
 from supplylens.llm.tokens import default_path, encoder
 
 CAPACITY, END = 2048, 0
@@ -172,6 +172,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _cutter(path: str, end: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         enc, last = encoder(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             ids, piece, start, length, raw = [], [], [], [], []
