@@ -71,8 +71,8 @@ def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_manifest(df: DataFrame, path: str) -> None:
-    """A manifest of injected faults: a few rows, so one file."""
-    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """A manifest of injected faults, in place of an earlier one."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

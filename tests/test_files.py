@@ -66,3 +66,12 @@ def test_manifest(spark, tmp_path):
     for rows in ([("old", 1, "x")], [("outage", 3, "AFRICA"), ("closure", 2, None)]):
         files.write_manifest(spark.createDataFrame(rows, schema), path)
     assert sorted(r["fault"] for r in files.read_lines(spark, path, schema).collect()) == ["closure", "outage"]
+
+
+def test_manifest_against_findings(spark):
+    from supplylens.operators import manifest
+
+    put = spark.createDataFrame([("x", "1"), ("x", "2"), ("y", "1"), ("z", "9")], manifest.SCHEMA)
+    found = spark.createDataFrame([("x", "1"), ("x", "3"), ("y", "1"), ("w", "5")], manifest.SCHEMA)
+    got = {r["fault"]: tuple(r)[1:] for r in manifest.reconciled(put, found).collect()}
+    assert got == {"x": (2, 2, 1, 0.5, 0.5), "y": (1, 1, 1, 1.0, 1.0), "z": (1, 0, 0, 0.0, None), "w": (0, 1, 0, None, 0.0)}
