@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from supplylens.functions.numbers import rounded
 from supplylens.operators.clean import Core
 from supplylens.operators.forecast import ORIGIN, Z90, forecast
+from supplylens.sources.checked import Constraints, Staged
 from supplylens.sources.standin import Raw, day
 
 SERVICE, REVIEW_DAYS = 0.95, 7
@@ -55,14 +56,24 @@ def drafts(found: DataFrame) -> DataFrame:
     return x.select("store", "supplier_id", "lead_time_days", "n_lines", "cases", "cost", (F.col("cases") < F.col("min_order_cases")).alias("below_minimum"), F.lit("PENDING_APPROVAL").alias("status"))
 
 
+STATES = ("PENDING_APPROVAL", "APPROVED", "REJECTED")
+
+
 def save(core: Core, found: DataFrame, path: str) -> str:
-    """Append drafts and their lines in one write each under a new id, headers last: readers join lines to
-    headers, so lines of a write that failed are never seen. Returns the id."""
+    """Append drafts and their lines under a new id. Both are written and checked before either is seen, lines first:
+    readers join lines to headers, so lines of a save that failed are never seen. Returns the id."""
     batch = uuid.uuid4().hex
     key = F.concat(F.lit(f"{batch}-"), "store", F.lit("-"), F.col("supplier_id").cast("string"))
     rows = core.raw.store.table(f"lines_{batch}", lambda: found)
-    rows.where("cases > 0").withColumn("draft_id", key).write.mode("append").parquet(f"{path}/lines")
-    drafts(rows).withColumn("draft_id", key).write.mode("append").parquet(f"{path}/drafts")
+    headers = core.raw.store.table(f"drafts_{batch}", lambda: drafts(rows).withColumn("draft_id", key))
+    heads = Staged(headers, f"{path}/drafts", Constraints(key=("draft_id",), required=("store", "supplier_id"), domains={"status": STATES}))
+    try:
+        lines_ = Staged(rows.where("cases > 0").withColumn("draft_id", key), f"{path}/lines", Constraints(key=("draft_id", "sku"), references={"draft_id": (headers, "draft_id")}))
+    except Exception:
+        heads.discard()
+        raise
+    lines_.commit()
+    heads.commit()
     return batch
 
 
