@@ -2,10 +2,11 @@
 
 Documents are encoded in ascending id order and cut into shards of whole documents. A shard
 holds its ids as one wavelet matrix: a bit plane for each bit of an id, highest first; each
-plane is followed by a stable partition of the ids by their bit. With the number of ones before
-each block, any id can be read, counted or found in a number of steps that depends on the bits
-of an id, not on the length of the shard. A shard is one compressed image, stored as a row of a
-Parquet file in the shared folder, so that any store that Spark can write serves.
+plane is followed by a stable partition of the ids by their bit. Planes are compressed by frames,
+with the number of ones before each, so any id can be read, counted or found from a frame or two
+of every plane. A shard is one such image, stored as a row of a Parquet file in the shared folder,
+so that any store that Spark can write serves; counts, occurrences and ids at places of a whole
+folder are jobs over its rows.
 
 Cases: null or empty texts give the end id alone; rows with null ids come first; repeated ids
 keep one entry per row; a text of any length is kept whole in one shard; an empty table gives no
@@ -15,7 +16,9 @@ shards; other columns are ignored.
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,52 +30,107 @@ from pyspark.sql import functions as F
 from supplylens.llm.common import bounded_batches, fresh_path, read
 from supplylens.llm.tokens import default_path, encoder
 
-MAGIC = b"WMX1"
-BLOCK = 2048  # bits between two counts of ones
+MAGIC = b"WMX2"
+FRAME = 1 << 16  # bits of a plane that are compressed together
+HELD = 256  # frames that an open matrix keeps
 SHARD_TOKENS = 2_000_000
+RANGE = 1 << 20  # ids of a range by which places meet their shards
 END = 2
 
 
 class WaveletMatrix:
-    """Ids of a shard as bit planes with rank and select."""
-
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], ones: list[np.ndarray]):
-        self.n, self.planes, self.zeros, self.ones = n, planes, zeros, ones
-        self.bits = len(planes)
+    """Ids of a shard as bit planes with rank and select, read from their compressed image.
+
+    Planes are compressed by frames. The head of the image has the end of every frame and the ones
+    before it, so that reading, counting or finding an id opens one or two frames of a plane.
+    """
+
+    def __init__(self, image: bytes):
+        self.image = image
+        self.n, self.bits = struct.unpack_from("<QB", image)
+        self.frames = -(-self.n // FRAME)
+        self.zeros = struct.unpack_from(f"<{self.bits}Q", image, 9)
+        at, shape = 9 + 8 * self.bits, (self.bits, self.frames + 1)
+        self.ones = np.frombuffer(image, "<u8", shape[0] * shape[1], at).astype(np.int64).reshape(shape)
+        at += 8 * self.ones.size
+        self.ends = np.frombuffer(image, "<u8", self.bits * self.frames, at).astype(np.int64)
+        self.start = at + 8 * self.ends.size
+        self.held: dict[int, np.ndarray] = {}
+        self.unpack = zstandard.ZstdDecompressor().decompress
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        kind = np.uint16 if bits <= 16 else np.uint32
-        x, planes, zeros, ones = ids.astype(kind), [], [], []
+        kind, n = np.uint16 if bits <= 16 else np.uint32, len(ids)
+        x, pack = ids.astype(kind), zstandard.ZstdCompressor(level=1).compress
+        zeros, ones, parts, step = [], [], [], FRAME // 8
         for level in range(bits - 1, -1, -1):
             bit = (x & kind(1 << level)) != 0
-            planes.append(np.packbits(bit, bitorder="little"))
-            high = x[bit]
-            zeros.append(len(x) - len(high))
-            ones.append(_ones_before(planes[-1]))
-            x = np.concatenate([x[~bit], high])
-        return cls(len(ids), planes, zeros, ones)
+            plane = np.packbits(bit, bitorder="little")
+            cuts = range(0, len(plane), step)
+            parts += [pack(plane[k : k + step]) for k in cuts]
+            ones.append(np.cumsum([0, *(int(np.bitwise_count(plane[k : k + step]).sum(dtype=np.int64)) for k in cuts)]))
+            low, high = x.compress(~bit), x.compress(bit)
+            zeros.append(len(low))
+            x = np.concatenate([low, high])
+        ends = np.cumsum([len(p) for p in parts])
+        head = struct.pack("<QB", n, bits) + struct.pack(f"<{bits}Q", *zeros) + np.concatenate(ones).astype("<u8").tobytes() + ends.astype("<u8").tobytes()
+        return cls(head + b"".join(parts))
+
+    def dump(self) -> bytes:
+        return self.image
 
-    def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i >> 3] >> (i & 7)) & 1
+    load = classmethod(lambda cls, image: cls(image))
+
+    def _open(self, at: int) -> np.ndarray:
+        first = self.start + (int(self.ends[at - 1]) if at else 0)
+        return np.frombuffer(self.unpack(self.image[first : self.start + int(self.ends[at])]), np.uint8)
+
+    def _frame(self, level: int, k: int) -> np.ndarray:
+        at = level * self.frames + k
+        if at not in self.held:
+            if len(self.held) >= HELD:
+                self.held.clear()
+            self.held[at] = self._open(at)
+        return self.held[at]
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones before place i."""
-        block = i // BLOCK
-        part = self.planes[level][block * BLOCK // 8 : (i + 7) // 8]
-        bits = np.unpackbits(part, bitorder="little")[: i - block * BLOCK]
-        return int(self.ones[level][block]) + int(bits.sum())
+        k, rest = divmod(i, FRAME)
+        found = int(self.ones[level, k])
+        if rest:
+            frame = self._frame(level, k)
+            found += int(np.bitwise_count(frame[: rest >> 3]).sum(dtype=np.int64))
+            if rest & 7:
+                found += (int(frame[rest >> 3]) & ((1 << (rest & 7)) - 1)).bit_count()
+        return found
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
         for level in range(self.bits):
-            bit, r = self._bit(level, i), self._rank1(level, i)
+            bit, r = int(self._frame(level, i // FRAME)[(i % FRAME) >> 3]) >> (i & 7) & 1, self._rank1(level, i)
             value = value << 1 | bit
             i = self.zeros[level] + r if bit else i - r
         return value
 
+    def take(self, places: np.ndarray) -> np.ndarray:
+        """The ids at places, in any order."""
+        i = np.asarray(places, np.int64)
+        if len(i) and not (0 <= i.min() and i.max() < self.n):
+            raise IndexError(int(i.min() if i.min() < 0 else i.max()))
+        value = np.zeros(len(i), np.int64)
+        for level in range(self.bits):
+            bit, rank = np.zeros(len(i), bool), np.zeros(len(i), np.int64)
+            for k, rows in _by_frame(i // FRAME):
+                bits = np.unpackbits(self._frame(level, k), bitorder="little")
+                at = i[rows] - k * FRAME
+                bit[rows] = bits[at]
+                rank[rows] = self.ones[level, k] + np.cumsum(bits, dtype=np.int64)[at] - bits[at]
+            value = value << 1 | bit
+            i = np.where(bit, self.zeros[level] + rank, i - rank)
+        return value
+
     def _range(self, value: int, end: int) -> tuple[int, int]:
         """Where the value's occurrences before `end` lie below the last plane."""
         a, b = 0, end
@@ -86,74 +144,57 @@ class WaveletMatrix:
 
     def rank(self, value: int, end: int) -> int:
         """Occurrences of a value before a place."""
+        if value < 0 or value >> self.bits:
+            return 0
         a, b = self._range(value, end)
         return b - a
 
     def count(self, value: int) -> int:
-        return self.rank(value, self.n) if value >> self.bits == 0 else 0
+        return self.rank(value, self.n)
 
-    def _select_bit(self, level: int, bit: int, k: int) -> int:
-        """The place of the k-th (from 0) such bit."""
-        before = self.ones[level].astype(np.int64)
-        if not bit:
-            before = np.arange(len(before), dtype=np.int64) * BLOCK - before
-        block = int(np.searchsorted(before, k, side="right")) - 1
-        part = np.unpackbits(self.planes[level][block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")
-        return block * BLOCK + int(np.flatnonzero(part == bit)[k - int(before[block])])
-
-    def select(self, value: int, k: int) -> int:
-        """The place of the k-th (from 0) occurrence of a value."""
+    def find(self, value: int, first: int = 0, last: int | None = None) -> np.ndarray:
+        """The places of the occurrences number `first` to `last` (excluded) of a value, ascending."""
+        if value < 0 or value >> self.bits:
+            return np.zeros(0, np.int64)
         a, b = self._range(value, self.n)
-        if not 0 <= k < b - a:
-            raise IndexError(k)
-        i = a + k
+        i = np.arange(a + first, b if last is None else min(a + last, b), dtype=np.int64)
         for level in range(self.bits - 1, -1, -1):
             bit = value >> (self.bits - 1 - level) & 1
-            i = self._select_bit(level, bit, i - self.zeros[level] if bit else i)
+            k = i - self.zeros[level] if bit else i
+            before = self.ones[level] if bit else np.minimum(np.arange(self.frames + 1) * FRAME, self.n) - self.ones[level]
+            out = np.zeros(len(i), np.int64)
+            for frame, rows in _by_frame(np.searchsorted(before, k, side="right") - 1):
+                bits = np.unpackbits(self._frame(level, frame), bitorder="little")
+                out[rows] = frame * FRAME + np.flatnonzero(bits == bit)[k[rows] - before[frame]]
+            i = out
         return i
 
+    def select(self, value: int, k: int) -> int:
+        """The place of the k-th (from 0) occurrence of a value."""
+        if not 0 <= k < self.count(value):
+            raise IndexError(k)
+        return int(self.find(value, k, k + 1)[0])
+
     def decode(self) -> np.ndarray:
         """All ids, by undoing the partitions from the last plane up."""
         kind = np.uint16 if self.bits <= 16 else np.uint32
         x = np.zeros(self.n, kind)
         for level in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            plane = [self._open(level * self.frames + k) for k in range(self.frames)]
+            bit = np.unpackbits(np.concatenate(plane), count=self.n, bitorder="little").view(bool) if plane else np.zeros(0, bool)
             y = np.empty(self.n, kind)
-            y[~bit] = x[: self.zeros[level]]
-            y[bit] = x[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
+            y[np.flatnonzero(~bit)] = x[: self.zeros[level]]
+            y[np.flatnonzero(bit)] = x[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
             x = y
         return x
 
-    def dump(self) -> bytes:
-        head = struct.pack("<QB", self.n, self.bits) + struct.pack(f"<{self.bits}Q", *self.zeros)
-        pack = zstandard.ZstdCompressor(level=1).compress
-        parts = [pack(p.tobytes() + o.astype("<u4").tobytes()) for p, o in zip(self.planes, self.ones, strict=True)]
-        return head + b"".join(struct.pack("<Q", len(x)) + x for x in parts)
-
-    @classmethod
-    def load(cls, data: bytes) -> WaveletMatrix:
-        n, bits = struct.unpack_from("<QB", data)
-        at = 9
-        zeros = list(struct.unpack_from(f"<{bits}Q", data, at))
-        at += 8 * bits
-        unpack, planes, ones, size = zstandard.ZstdDecompressor().decompress, [], [], (n + 7) // 8
-        for _ in range(bits):
-            (length,) = struct.unpack_from("<Q", data, at)
-            raw = unpack(data[at + 8 : at + 8 + length])
-            at += 8 + length
-            planes.append(np.frombuffer(raw, np.uint8, size))
-            ones.append(np.frombuffer(raw, "<u4", offset=size))
-        return cls(n, planes, zeros, ones)
-
-
-_POP = np.array([bin(k).count("1") for k in range(256)], np.uint8)
 
-
-def _ones_before(plane: np.ndarray) -> np.ndarray:
-    """Ones before each block, the end included."""
-    pad = np.zeros(-len(plane) % (BLOCK // 8), np.uint8)
-    each = _POP[np.concatenate([plane, pad])].reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint32)
-    return np.concatenate([[0], np.cumsum(each)]).astype(np.uint32)
+def _by_frame(frames: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each frame and the rows that lie in it."""
+    order = np.argsort(frames, kind="stable")
+    each, first = np.unique(frames[order], return_index=True)
+    for k, rows in zip(each.tolist(), np.split(order, first[1:]), strict=True) if len(order) else ():
+        yield k, rows
 
 
 def dump_shard(ids: np.ndarray, lengths: list[int], bits: int) -> bytes:
@@ -213,32 +254,34 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str | None = None, end: i
     shards.write.option("compression", "uncompressed").parquet(out)
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kind = batch.schema.field("docs").type.value_type
-        for row in range(batch.num_rows):
-            part, seq = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-            docs = batch.column(2)[row].values
-            lengths, matrix = load_shard(batch.column(3)[row].as_py())
-            ids, ends = matrix.decode(), np.cumsum(lengths)
-            for a in range(0, len(lengths), 500):
-                b = min(a + 500, len(lengths))
-                first = int(ends[a] - lengths[a])
-                raw = ids[first : int(ends[b - 1])].astype("<u4").tobytes()
-                cuts = ((np.concatenate([[first], ends[a:b]]) - first) * 4).astype(np.int64)
-                binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(cuts), pa.py_buffer(raw)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * (b - a), pa.int32()), pa.array([seq] * (b - a), pa.int32()), pa.array(docs[a:b].to_pylist(), kind), pa.array(ends[a:b] - lengths[a:b], pa.int64()), pa.array(lengths[a:b], pa.int64()), binary],
-                    ["part", "seq", "id", "at", "n_tokens", "ids"],
-                )
-
-
-def read_shards(spark: SparkSession, path: str, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """The documents (part, seq, id, at, n_tokens, ids as binary) and the number of ids before each
-    shard (part, seq, shard_start). A caller joins them after dropping what it doesn't need, so that
-    ids need not be shuffled."""
-    shards = spark.read.parquet(path)
-    kind = shards.schema["docs"].dataType.elementType.simpleString()
+def _reader(with_ids: bool):
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.schema.field("docs").type.value_type
+            for row in range(batch.num_rows):
+                part, seq = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                docs = batch.column(2)[row].values
+                lengths, matrix = load_shard(batch.column(3)[row].as_py())
+                ids, ends = matrix.decode(), np.cumsum(lengths)
+                for a in range(0, len(lengths), 500):
+                    b = min(a + 500, len(lengths))
+                    first = int(ends[a] - lengths[a])
+                    raw = memoryview(ids[first : int(ends[b - 1])].astype("<u4").tobytes())
+                    cuts = ((np.concatenate([[first], ends[a:b]]) - first) * 4).astype(np.int64)
+                    sums = [zlib.crc32(raw[x:y]) for x, y in pairwise(cuts.tolist())]
+                    names = ["part", "seq", "id", "at", "n_tokens", "ids_crc32"]
+                    columns = [pa.array([part] * (b - a), pa.int32()), pa.array([seq] * (b - a), pa.int32()), docs[a:b].cast(kind), pa.array(ends[a:b] - lengths[a:b], pa.int64())]
+                    columns += [pa.array(lengths[a:b], pa.int64()), pa.array(sums, pa.int64())]
+                    if with_ids:
+                        names.append("ids")
+                        columns.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(cuts), pa.py_buffer(raw)]).cast(pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    return shards
+
+
+def _starts(shards: DataFrame) -> DataFrame:
+    """The number of ids before each shard."""
     sizes = shards.select("part", "seq", "n_tokens")
 
     def before(window, count):
@@ -247,18 +290,87 @@ def read_shards(spark: SparkSession, path: str, id_col: str = "doc_id") -> tuple
     # The window over all rows sees one row for each written partition, not each shard.
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", before(Window.orderBy("part"), "n").alias("base"))
     inside = sizes.select("part", "seq", before(Window.partitionBy("part").orderBy("seq"), "n_tokens").alias("inside"))
-    starts = inside.join(parts, "part").select("part", "seq", (F.col("base") + F.col("inside")).alias("shard_start"))
-    docs = shards.select("part", "seq", "docs", "payload").mapInArrow(_reader, f"part int, seq int, id {kind}, at bigint, n_tokens bigint, ids binary")
-    return docs.withColumnRenamed("id", id_col), starts
+    return inside.join(parts, "part").select("part", "seq", (F.col("base") + F.col("inside")).alias("shard_start"))
+
+
+def read_shards(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The documents (part, seq, id, at, n_tokens, ids_crc32, and ids as binary if wanted) and the
+    number of ids before each shard (part, seq, shard_start). A caller joins them after dropping what
+    it doesn't need, so that ids need not be shuffled."""
+    shards = spark.read.parquet(path)
+    kind = shards.schema["docs"].dataType.elementType.simpleString()
+    schema = f"part int, seq int, id {kind}, at bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids
+    docs = shards.select("part", "seq", "docs", "payload").mapInArrow(_reader(with_ids), schema)
+    return docs.withColumnRenamed("id", id_col), _starts(shards)
+
+
+def token_counts(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
+    """How often each of some ids occurs in a folder of shards (token, n): two ranks a plane and shard,
+    without decoding. Repeated tokens count once; ids that no shard holds have 0, in an empty folder too."""
+    wanted = sorted(set(tokens))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0):
+                _, matrix = load_shard(payload.as_py())
+                found = [(t, n) for t in wanted if (n := matrix.count(t))]
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], ["token", "n"])
+
+    each = spark.read.parquet(path).select("payload").mapInArrow(count, "token bigint, n bigint")
+    asked = spark.createDataFrame([(t,) for t in wanted], "token bigint")
+    return asked.join(each.groupBy("token").agg(F.sum("n").alias("n")), "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def occurrences(spark: SparkSession, path: str, token: int, id_col: str = "doc_id") -> DataFrame:
+    """Every occurrence of an id in a folder of shards: document, its place in the shard (part, seq,
+    at), and the occurrence's place in the document. Only frames that hold occurrences are opened."""
+    shards = spark.read.parquet(path)
+    kind = shards.schema["docs"].dataType.elementType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                lengths, matrix = load_shard(batch.column(3)[row].as_py())
+                ends, n = np.cumsum(lengths), matrix.count(token)
+                for a in range(0, n, 50_000):
+                    places = matrix.find(token, a, min(a + 50_000, n))
+                    doc = np.searchsorted(ends, places, side="right")
+                    at = ends[doc] - lengths[doc]
+                    same = [pa.array(np.full(len(doc), batch.column(c)[row].as_py()), pa.int32()) for c in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*same, batch.column(2)[row].values.take(pa.array(doc)), pa.array(at), pa.array(places - at)], ["part", "seq", "id", "at", "place"])
+
+    found = shards.select("part", "seq", "docs", "payload").mapInArrow(find, f"part int, seq int, id {kind}, at bigint, place bigint")
+    return found.withColumnRenamed("id", id_col)
+
+
+def tokens_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
+    """The ids at places (a column `place`, from 0 over the whole folder): place, token.
+
+    Places are made distinct, meet their shard by ranges of RANGE ids and go to it in one group, which
+    a shard's ids bound. Null places and places outside have no row.
+    """
+    shards = spark.read.parquet(path)
+    size = F.lit(RANGE)
+    starts = _starts(shards).join(shards.select("part", "seq", "n_tokens"), ["part", "seq"]).withColumn("end", F.col("shard_start") + F.col("n_tokens"))
+    ranges = starts.withColumn("range", F.explode(F.sequence(F.floor(F.col("shard_start") / size), F.floor((F.col("end") - 1) / size))))
+    asked = places.select(F.col("place").cast("bigint").alias("place")).where("place >= 0").distinct().withColumn("range", F.floor(F.col("place") / size))
+    inside = asked.join(ranges, "range").where("place >= shard_start AND place < end").select(F.col("part").alias("p"), F.col("seq").alias("s"), "place", (F.col("place") - F.col("shard_start")).alias("i"))
+    wanted = inside.select("p", "s").distinct()
+    images = spark.read.parquet(path).select("part", "seq", "payload").join(wanted, (F.col("part") == F.col("p")) & (F.col("seq") == F.col("s")), "left_semi")
+
+    def access(image: pa.Table, rows: pa.Table) -> pa.Table:
+        _, matrix = load_shard(image.column("payload")[0].as_py())
+        return pa.table({"place": rows.column("place"), "token": pa.array(matrix.take(rows.column("i").to_numpy()), pa.int64())})
+
+    return images.groupBy("part", "seq").cogroup(inside.groupBy("p", "s")).applyInArrow(access, "place bigint, token bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fresh_path(spark, "token-shards")
     write_shards(read(spark, sf_dir, "documents"), out)
-    docs, starts = read_shards(spark, out)
-    digests = docs.select("part", "seq", "doc_id", "at", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    docs, starts = read_shards(spark, out, with_ids=False)
     start = (F.col("shard_start") + F.col("at")).alias("start")
-    return digests.join(starts, ["part", "seq"]).select("doc_id", start, "n_tokens", "ids_crc32")
+    return docs.join(starts, ["part", "seq"]).select("doc_id", start, "n_tokens", "ids_crc32")
 
 
 QUERIES = {"op5_token_shards": query}

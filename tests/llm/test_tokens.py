@@ -104,6 +104,42 @@ def test_shards_query(spark, sf, docs, monkeypatch):
     assert order == sorted(order, key=lambda k: (k is not None, k))
 
 
+def test_one_access_opens_a_frame_of_each_plane():
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 50_000, 3 * wavelet.FRAME + 77).astype(np.uint32)
+    m = wavelet.WaveletMatrix.build(ids, 16)
+    for i in (0, wavelet.FRAME - 1, wavelet.FRAME, len(ids) - 1):
+        m.held.clear()
+        assert m.access(i) == ids[i] and len(m.held) == 16
+    places = rng.integers(0, len(ids), 1000)
+    assert m.take(places).tolist() == ids[places].tolist()
+    for v in (*ids[:5].tolist(), 50_001, 1 << 20, -1):
+        want = np.flatnonzero(ids == v)
+        assert m.find(v).tolist() == want.tolist() and m.count(v) == len(want)
+        assert m.find(v, 1, 3).tolist() == want[1:3].tolist()
+
+
+def test_folder_is_counted_and_searched(spark, docs, tmp_path):
+    """Counts, occurrences and ids at places over many shards, against the plain list of ids."""
+    path = f"file://{tmp_path}/s"
+    wavelet.write_shards(docs, path, shard_tokens=400)
+    found, starts = wavelet.read_shards(spark, path)
+    rows = found.join(starts, ["part", "seq"]).collect()
+    assert starts.count() > 3 and all(zlib.crc32(r["ids"]) == r["ids_crc32"] for r in rows)
+    rows.sort(key=lambda r: r["shard_start"] + r["at"])
+    texts = [np.frombuffer(r["ids"], "<u4").tolist() for r in rows]
+    whole = [x for ids in texts for x in ids]
+    tokens = [2, whole[0], whole[0], whole[len(whole) // 2], 49_999, 1 << 30]
+    assert {(r["token"], r["n"]) for r in wavelet.token_counts(spark, path, tokens).collect()} == {(t, whole.count(t)) for t in tokens}
+    for token in (2, whole[0], 1 << 30):
+        got = [(r["part"], r["seq"], r["doc_id"], r["at"], r["place"]) for r in wavelet.occurrences(spark, path, token).collect()]
+        want = [(r["part"], r["seq"], r["doc_id"], r["at"], k) for r, ids in zip(rows, texts, strict=True) for k, x in enumerate(ids) if x == token]
+        assert by_text(got) == by_text(want)
+    asked = [0, 5, 5, len(whole) - 1, len(whole), -1, None, *range(3, len(whole), 97)]
+    got = wavelet.tokens_at(spark, path, spark.createDataFrame([(k,) for k in asked], "place bigint")).collect()
+    assert sorted((r["place"], r["token"]) for r in got) == sorted({(k, whole[k]) for k in asked if k is not None and 0 <= k < len(whole)})
+
+
 def test_packing_query(spark, sf, docs):
     got = packing.query(spark, sf).collect()
     want = []
@@ -173,3 +209,7 @@ def test_empty_tables(empty, tmp_path):
     wavelet.write_shards(empty, f"file://{tmp_path}/s")
     found, starts = wavelet.read_shards(empty.sparkSession, f"file://{tmp_path}/s")
     assert found.count() == 0 and starts.count() == 0
+    spark = empty.sparkSession
+    assert [tuple(r) for r in wavelet.token_counts(spark, f"file://{tmp_path}/s", [2]).collect()] == [(2, 0)]
+    assert wavelet.occurrences(spark, f"file://{tmp_path}/s", 2).count() == 0
+    assert wavelet.tokens_at(spark, f"file://{tmp_path}/s", spark.range(3).withColumnRenamed("id", "place")).count() == 0
