@@ -62,16 +62,19 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         kind, n = np.uint16 if bits <= 16 else np.uint32, len(ids)
         x, pack = ids.astype(kind), zstandard.ZstdCompressor(level=1).compress
-        zeros, ones, parts, step = [], [], [], FRAME // 8
+        zeros, ones, parts = [], [], []
         for level in range(bits - 1, -1, -1):
-            bit = (x & kind(1 << level)) != 0
-            plane = np.packbits(bit, bitorder="little")
-            cuts = range(0, len(plane), step)
-            parts += [pack(plane[k : k + step]) for k in cuts]
-            ones.append(np.cumsum([0, *(int(np.bitwise_count(plane[k : k + step]).sum(dtype=np.int64)) for k in cuts)]))
-            low, high = x.compress(~bit), x.compress(bit)
-            zeros.append(len(low))
-            x = np.concatenate([low, high])
+            low, high, before = [], [], [0]
+            for k in range(0, n, FRAME):  # a frame fits the caches of a core
+                part = x[k : k + FRAME]
+                bit = (part & kind(1 << level)) != 0
+                parts.append(pack(np.packbits(bit, bitorder="little")))
+                low.append(part.compress(~bit))
+                high.append(part.compress(bit))
+                before.append(before[-1] + len(high[-1]))
+            ones.append(before)
+            zeros.append(n - before[-1])
+            x = np.concatenate([*low, *high]) if n else x
         ends = np.cumsum([len(p) for p in parts])
         head = struct.pack("<QB", n, bits) + struct.pack(f"<{bits}Q", *zeros) + np.concatenate(ones).astype("<u8").tobytes() + ends.astype("<u8").tobytes()
         return cls(head + b"".join(parts))
@@ -180,11 +183,13 @@ class WaveletMatrix:
         kind = np.uint16 if self.bits <= 16 else np.uint32
         x = np.zeros(self.n, kind)
         for level in range(self.bits - 1, -1, -1):
-            plane = [self._open(level * self.frames + k) for k in range(self.frames)]
-            bit = np.unpackbits(np.concatenate(plane), count=self.n, bitorder="little").view(bool) if plane else np.zeros(0, bool)
-            y = np.empty(self.n, kind)
-            y[np.flatnonzero(~bit)] = x[: self.zeros[level]]
-            y[np.flatnonzero(bit)] = x[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
+            y, one = np.empty(self.n, kind), kind(1 << (self.bits - 1 - level))
+            for k, ones in enumerate(self.ones[level, : self.frames].tolist()):
+                out = y[k * FRAME : (k + 1) * FRAME]
+                bit = np.unpackbits(self._open(level * self.frames + k), count=len(out), bitorder="little").view(bool)
+                at, high, low = np.flatnonzero(bit), self.zeros[level] + ones, k * FRAME - ones
+                out[np.flatnonzero(~bit)] = x[low : low + len(out) - len(at)]
+                out[at] = x[high : high + len(at)] | one
             x = y
         return x
 
