@@ -14,8 +14,9 @@ from supplylens.sources.standin import AS_OF, day
 OVERSTOCK_DAYS, OVERSTOCK_KEEP, DEAD_UNITS = 90, 30, 24
 
 
-def inventory_anomalies(core: Core, end: str = AS_OF, window: int = 365) -> DataFrame:
-    """stockout, stockout_risk, overstock and dead_stock of active SKUs, with their value."""
+def inventory_anomalies(core: Core, end: str = AS_OF, window: int = 28) -> DataFrame:
+    """stockout, stockout_risk, overstock and dead_stock of active SKUs, with their value; a day's
+    sales are the units of `window` days by the days on which the store was open."""
     units = last_days(core.fact_sales_daily, end, window).groupBy("store", "sku").agg(F.sum("units").alias("u"))
     days = last_days(core.store_day_status, end, window).where("status = 'open'").groupBy("store").agg(F.count("*").alias("open_days"))
     price = latest(core.fact_price_weekly, ["store", "dept"], "week", ["price"]).drop("week")
@@ -79,8 +80,8 @@ def sku_anomalies(core: Core, end: str = AS_OF, scale: int = 1, stopped: float =
     return x.where(gone | up).select("store", F.col("sku").alias("subject"), F.lit("sku").alias("level"), kind.alias("anomaly"), now.alias("this_week"), rounded(base, 4).alias("base_mean"), rounded((now - base) / base, 4).alias("pct_change"), F.lit(None).cast("double").alias("z"))
 
 
-def sales_anomalies(core: Core, end: str = AS_OF) -> DataFrame:
-    return week_anomalies(core, end).unionByName(sku_anomalies(core, end, scale=8, stopped=0.05), allowMissingColumns=True)
+def sales_anomalies(core: Core, end: str = AS_OF, scale: int = 1, stopped: float = 1.5) -> DataFrame:
+    return week_anomalies(core, end).unionByName(sku_anomalies(core, end, scale, stopped), allowMissingColumns=True)
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -66,27 +66,13 @@ STEPS = {
         FROM fact f JOIN dim_sku k USING (sku) LEFT JOIN price_clean p ON p.store = f.store AND p.dept = k.dept AND p.week = CAST((f.date - DATE '{s.EPOCH}') // 7 AS INTEGER)""",
     "inventory": "SELECT i.store, a.sku, CAST(sum(on_hand) AS BIGINT) AS on_hand, CAST(sum(on_order) AS BIGINT) AS on_order FROM inventory_raw i JOIN sku_alias a ON a.raw_code = i.sku_code JOIN dim_sku k ON k.sku = a.sku GROUP BY 1, 2",
     # Tools.
-    "stock_open": f"SELECT store, count(*) AS open_days FROM day_status WHERE status = 'open' AND date > DATE '{s.AS_OF}' - 365 AND date <= DATE '{s.AS_OF}' GROUP BY store",
-    "stock_units": f"SELECT store, sku, CAST(sum(units) AS DOUBLE) AS u FROM fact WHERE date > DATE '{s.AS_OF}' - 365 AND date <= DATE '{s.AS_OF}' GROUP BY 1, 2",
     "price_last": "SELECT store, dept, price FROM price_clean QUALIFY row_number() OVER (PARTITION BY store, dept ORDER BY week DESC) = 1",
-    "stock_rates": """SELECT i.*, k.dept, k.unit_cost, p.lead_time_days, coalesce(u.u, 0.0) / nullif(CAST(o.open_days AS DOUBLE), 0) AS a, l.price
-        FROM inventory i JOIN dim_sku k ON k.sku = i.sku AND k.status = 'ACTIVE' JOIN suppliers p ON p.supplier_id = k.supplier_id
-        LEFT JOIN stock_units u ON u.store = i.store AND u.sku = i.sku LEFT JOIN stock_open o ON o.store = i.store LEFT JOIN price_last l ON l.store = i.store AND l.dept = k.dept""",
-    "stock_kinds": """SELECT *, CASE WHEN on_hand = 0 AND a > 0 THEN 'stockout' WHEN (on_hand + on_order) / nullif(a, 0) < lead_time_days THEN 'stockout_risk'
-        WHEN on_hand / nullif(a, 0) > 90 THEN 'overstock' WHEN a = 0 AND on_hand >= 24 THEN 'dead_stock' END AS anomaly FROM stock_rates""",
-    "stock_found": """SELECT store, sku, dept, anomaly, on_hand, on_order, floor(a * 10000 + 0.5) / 10000 AS avg_daily, floor(on_hand / nullif(a, 0) * 10000 + 0.5) / 10000 AS days_of_cover, lead_time_days,
-        floor(CASE anomaly WHEN 'stockout' THEN a * lead_time_days * price WHEN 'stockout_risk' THEN (a * lead_time_days - on_hand - on_order) * price WHEN 'overstock' THEN (on_hand - 30 * a) * unit_cost ELSE on_hand * unit_cost END * 100 + 0.5) / 100 AS value
-        FROM stock_kinds WHERE anomaly IS NOT NULL""",
     "week_sums": f"""SELECT store, dept, CAST((DATE '{s.AS_OF}' - date) // 7 AS INTEGER) AS block, CAST(sum(units) AS DOUBLE) AS u FROM enriched WHERE date > DATE '{s.AS_OF}' - 63 GROUP BY 1, 2, 3""",
     "week_lost": f"SELECT DISTINCT store, CAST((DATE '{s.AS_OF}' - date) // 7 AS INTEGER) AS block FROM day_status WHERE status = 'missing_data' AND date > DATE '{s.AS_OF}' - 63",
     "week_base": "SELECT store, dept, CAST(sum(u) FILTER (WHERE block = 0) AS BIGINT) AS this_week, avg(u) FILTER (WHERE block > 0) AS m, stddev_samp(u) FILTER (WHERE block > 0) AS sd, count(u) FILTER (WHERE block > 0) AS n FROM week_sums ANTI JOIN week_lost USING (store, block) GROUP BY 1, 2",
     "week_found": """SELECT store, dept AS subject, 'dept' AS level, CASE WHEN this_week > m THEN 'sales_spike' ELSE 'sales_drop' END AS anomaly, this_week, floor(m * 10000 + 0.5) / 10000 AS base_mean,
         floor((this_week - m) / nullif(m, 0) * 10000 + 0.5) / 10000 AS pct_change, floor((this_week - m) / nullif(sd, 0) * 10000 + 0.5) / 10000 AS z
         FROM week_base WHERE n >= 3 AND abs((this_week - m) / nullif(m, 0)) > 0.25 AND abs((this_week - m) / nullif(sd, 0)) > 2""",
-    "sku_base": f"""SELECT store, sku, coalesce(sum(units) FILTER (WHERE date > DATE '{s.AS_OF}' - 112), 0) AS l14, CAST(sum(units) FILTER (WHERE date <= DATE '{s.AS_OF}' - 112) AS DOUBLE) / 224.0 AS b,
-        CAST(coalesce(sum(units) FILTER (WHERE date > DATE '{s.AS_OF}' - 56), 0) AS BIGINT) AS l7 FROM fact WHERE date > DATE '{s.AS_OF}' - 336 AND date <= DATE '{s.AS_OF}' GROUP BY 1, 2""",
-    "sku_found": """SELECT store, sku AS subject, 'sku' AS level, CASE WHEN l14 = 0 THEN 'sales_stopped' ELSE 'sku_spike' END AS anomaly, l7 AS this_week, floor(b * 56.0 * 10000 + 0.5) / 10000 AS base_mean,
-        floor((l7 - b * 56.0) / (b * 56.0) * 10000 + 0.5) / 10000 AS pct_change, CAST(NULL AS DOUBLE) AS z FROM sku_base WHERE (l14 = 0 AND b >= 0.05) OR (l7 >= 20 AND l7 > 4 * b * 56.0)""",
     # Variance of 2000 against 1999.
     "shelf_mean": """SELECT p.store, p.dept, avg(price) FILTER (WHERE year(date) = 1999) AS shelf_a, avg(price) FILTER (WHERE year(date) = 2000) AS shelf_b FROM calendar c JOIN price_clean p ON p.week = c.week GROUP BY 1, 2""",
     "sku_periods": """SELECT store, sku, dept, category, coalesce(sum(units) FILTER (WHERE year(date) = 1999), 0) AS q_a, coalesce(sum(revenue) FILTER (WHERE year(date) = 1999), 0.0) AS r_a,
@@ -126,6 +112,38 @@ STEPS = {
 }
 
 
+def stock_steps(prefix: str, days: int) -> dict[str, str]:
+    """Stock anomalies by the sales of so many days."""
+    last = f"date > DATE '{s.AS_OF}' - {days} AND date <= DATE '{s.AS_OF}'"
+    return {
+        f"{prefix}_open": f"SELECT store, count(*) AS open_days FROM day_status WHERE status = 'open' AND {last} GROUP BY store",
+        f"{prefix}_units": f"SELECT store, sku, CAST(sum(units) AS DOUBLE) AS u FROM fact WHERE {last} GROUP BY 1, 2",
+        f"{prefix}_rates": f"""SELECT i.*, k.dept, k.unit_cost, p.lead_time_days, coalesce(u.u, 0.0) / nullif(CAST(o.open_days AS DOUBLE), 0) AS a, l.price
+        FROM inventory i JOIN dim_sku k ON k.sku = i.sku AND k.status = 'ACTIVE' JOIN suppliers p ON p.supplier_id = k.supplier_id
+        LEFT JOIN {prefix}_units u ON u.store = i.store AND u.sku = i.sku LEFT JOIN {prefix}_open o ON o.store = i.store LEFT JOIN price_last l ON l.store = i.store AND l.dept = k.dept""",
+        f"{prefix}_kinds": f"""SELECT *, CASE WHEN on_hand = 0 AND a > 0 THEN 'stockout' WHEN (on_hand + on_order) / nullif(a, 0) < lead_time_days THEN 'stockout_risk'
+        WHEN on_hand / nullif(a, 0) > 90 THEN 'overstock' WHEN a = 0 AND on_hand >= 24 THEN 'dead_stock' END AS anomaly FROM {prefix}_rates""",
+        f"{prefix}_found": f"""SELECT store, sku, dept, anomaly, on_hand, on_order, floor(a * 10000 + 0.5) / 10000 AS avg_daily, floor(on_hand / nullif(a, 0) * 10000 + 0.5) / 10000 AS days_of_cover, lead_time_days,
+        floor(CASE anomaly WHEN 'stockout' THEN a * lead_time_days * price WHEN 'stockout_risk' THEN (a * lead_time_days - on_hand - on_order) * price WHEN 'overstock' THEN (on_hand - 30 * a) * unit_cost ELSE on_hand * unit_cost END * 100 + 0.5) / 100 AS value
+        FROM {prefix}_kinds WHERE anomaly IS NOT NULL""",
+    }
+
+
+def sku_steps(prefix: str, scale: int, stopped: float) -> dict[str, str]:
+    """SKUs that stopped or spiked, by windows of 7, 14 and 42 days times the scale."""
+    ago, week = lambda n: f"DATE '{s.AS_OF}' - {n * scale}", 7.0 * scale
+    return {
+        f"{prefix}_base": f"""SELECT store, sku, coalesce(sum(units) FILTER (WHERE date > {ago(14)}), 0) AS l14, CAST(sum(units) FILTER (WHERE date <= {ago(14)}) AS DOUBLE) / {28.0 * scale} AS b,
+        CAST(coalesce(sum(units) FILTER (WHERE date > {ago(7)}), 0) AS BIGINT) AS l7 FROM fact WHERE date > {ago(42)} AND date <= DATE '{s.AS_OF}' GROUP BY 1, 2""",
+        f"{prefix}_found": f"""SELECT store, sku AS subject, 'sku' AS level, CASE WHEN l14 = 0 THEN 'sales_stopped' ELSE 'sku_spike' END AS anomaly, l7 AS this_week, floor(b * {week} * 10000 + 0.5) / 10000 AS base_mean,
+        floor((l7 - b * {week}) / (b * {week}) * 10000 + 0.5) / 10000 AS pct_change, CAST(NULL AS DOUBLE) AS z FROM {prefix}_base WHERE (l14 = 0 AND b >= {stopped}) OR (l7 >= 20 AND l7 > 4 * b * {week})""",
+    }
+
+
+# A month is the rule; a year and windows of eight times the length also find something in sparse sales.
+STEPS |= stock_steps("stock", 365) | stock_steps("month_stock", 28) | sku_steps("sku", 8, 0.05) | sku_steps("week_sku", 1, 1.5)
+
+
 def sql(final: str) -> str:
     """The query with the steps it refers to, and those they refer to, in order."""
     needed: list[str] = []

@@ -39,8 +39,8 @@ def selling(c, days=365):
     return c.inventory.join(u, ["store", "sku"]).withColumn("per_day", F.col("u").cast("double") / float(days))
 
 
-def risk(c):
-    x = selling(c).join(c.dim_sku.select("sku", "supplier_id"), "sku").join(c.raw.suppliers().select("supplier_id", "lead_time_days"), "supplier_id")
+def risk(c, days=365):
+    x = selling(c, days).join(c.dim_sku.select("sku", "supplier_id"), "sku").join(c.raw.suppliers().select("supplier_id", "lead_time_days"), "supplier_id")
     x = x.where((F.col("on_hand") > 0) & ((F.col("on_hand") + F.col("on_order")) / F.nullif(F.col("per_day"), F.lit(0.0)) < F.col("lead_time_days")))
     return x.select("store", "sku", "on_hand", "on_order", "lead_time_days", rounded(F.col("per_day"), 6).alias("per_day"))
 
@@ -74,6 +74,8 @@ QUERIES = {
     "wow_change_pct": lambda s, d: lookups.change(core(s, d).sales_enriched.where("week between 280 and 300"), ["store"], "week", "units"),
     "stockouts_selling": lambda s, d: selling(core(s, d)).where("on_hand = 0").select("store", "sku", rounded(F.col("per_day"), 6).alias("per_day")),
     "stockout_risk": lambda s, d: risk(core(s, d)),
+    "stockouts_selling_month": lambda s, d: selling(core(s, d), 28).where("on_hand = 0").select("store", "sku", rounded(F.col("per_day"), 6).alias("per_day")),
+    "stockout_risk_month": lambda s, d: risk(core(s, d), 28),
     "total_over_missing": lambda s, d: over_missing(core(s, d)),
     "describe_tables": lambda s, d: describe(core(s, d)),
     "limit_truncation": lambda s, d: lookups.truncated(Raw(s, d).parts(), 50),
@@ -81,11 +83,14 @@ QUERIES = {
     "sku_close_matches": lambda s, d: close_codes(core(s, d).dim_sku, "sku", "PROM_47", 5),
     "sku_spellings": lambda s, d: lookups.spelled(spellings(core(s, d)), core(s, d).dim_sku),
     "describe_raw": lambda s, d: describe(core(s, d), "raw"),
-    "inventory_anomalies": lambda s, d: anomalies.inventory_anomalies(core(s, d)),
-    "inventory_anomaly_summary": lambda s, d: anomalies.inventory_anomalies(core(s, d)).groupBy("anomaly").agg(F.count("*").alias("n"), rounded(F.sum("value"), 0).alias("value")),
+    "inventory_anomalies": lambda s, d: anomalies.inventory_anomalies(core(s, d), window=365),
+    "inventory_anomalies_month": lambda s, d: anomalies.inventory_anomalies(core(s, d)),
+    "inventory_anomaly_summary": lambda s, d: anomalies.inventory_anomalies(core(s, d), window=365).groupBy("anomaly").agg(F.count("*").alias("n"), rounded(F.sum("value"), 0).alias("value")),
     "sales_anomaly_weeks": lambda s, d: anomalies.week_anomalies(core(s, d)),
     "sku_stop_spike": lambda s, d: anomalies.sku_anomalies(core(s, d), scale=8, stopped=0.05),
-    "sales_anomalies": lambda s, d: anomalies.sales_anomalies(core(s, d)),
+    "sku_stop_spike_week": lambda s, d: anomalies.sku_anomalies(core(s, d)),
+    "sales_anomalies": lambda s, d: anomalies.sales_anomalies(core(s, d), scale=8, stopped=0.05),
+    "sales_anomalies_week": lambda s, d: anomalies.sales_anomalies(core(s, d)),
     "variance_dept": lambda s, d: variance.variance(core(s, d), "dept"),
     "variance_category": lambda s, d: variance.variance(core(s, d), "category"),
     "variance_store": lambda s, d: variance.explain(variance.by_sku(core(s, d), "dept"), ["store"]),
@@ -116,6 +121,7 @@ BY_DEPT = f"SELECT dept AS grp, {EFFECTS} FROM sku_prices GROUP BY dept"
 SALES = "store, subject, level, anomaly, this_week, base_mean, pct_change, z"
 YEAR_SQL, LAST = "date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'", f"date > DATE '{AS_OF}' - 365 AND date <= DATE '{AS_OF}'"
 SELLING = f"SELECT i.*, u / 365.0 AS per_day FROM inventory i JOIN (SELECT store, sku, CAST(sum(units) AS DOUBLE) AS u FROM fact WHERE {LAST} GROUP BY 1, 2) x USING (store, sku)"
+SELLING_MONTH = SELLING.replace("- 365 AND", "- 28 AND").replace("365.0", "28.0")
 WINDOW = "floor(m * 10000 + 0.5) / 10000 AS mean, floor(greatest(m - 1.2816 * sd, 0.0) * 10000 + 0.5) / 10000 AS low, floor((m + 1.2816 * sd) * 10000 + 0.5) / 10000 AS high"
 SPAN = "sum(mean) AS m, sqrt(sum(pow((p90 - p10) / 2.5632, 2))) AS sd FROM predicted WHERE date <= DATE '2001-06-02' + 14"
 BACK = "PARTITION BY store, dept ORDER BY date ROWS BETWEEN {} PRECEDING AND {} PRECEDING"
@@ -137,6 +143,8 @@ ORACLES = {
     "wow_change_pct": sql("SELECT a.store, a.week, a.u AS now, b.u AS prior, floor(100 * (a.u - b.u) / nullif(CAST(b.u AS DOUBLE), 0) * 10000 + 0.5) / 10000 AS change_pct FROM (SELECT store, week, CAST(sum(units) AS BIGINT) AS u FROM enriched WHERE week BETWEEN 280 AND 300 GROUP BY 1, 2) a LEFT JOIN (SELECT store, week, CAST(sum(units) AS BIGINT) AS u FROM enriched WHERE week BETWEEN 280 AND 300 GROUP BY 1, 2) b ON b.store = a.store AND b.week = a.week - 1"),
     "stockouts_selling": sql(f"SELECT store, sku, {SIX.format('per_day')} AS per_day FROM ({SELLING}) WHERE on_hand = 0"),
     "stockout_risk": sql(f"SELECT x.store, x.sku, x.on_hand, x.on_order, p.lead_time_days, {SIX.format('x.per_day')} AS per_day FROM ({SELLING}) x JOIN dim_sku k ON k.sku = x.sku JOIN suppliers p ON p.supplier_id = k.supplier_id WHERE x.on_hand > 0 AND (x.on_hand + x.on_order) / nullif(x.per_day, 0) < p.lead_time_days"),
+    "stockouts_selling_month": sql(f"SELECT store, sku, {SIX.format('per_day')} AS per_day FROM ({SELLING_MONTH}) WHERE on_hand = 0"),
+    "stockout_risk_month": sql(f"SELECT x.store, x.sku, x.on_hand, x.on_order, p.lead_time_days, {SIX.format('x.per_day')} AS per_day FROM ({SELLING_MONTH}) x JOIN dim_sku k ON k.sku = x.sku JOIN suppliers p ON p.supplier_id = k.supplier_id WHERE x.on_hand > 0 AND (x.on_hand + x.on_order) / nullif(x.per_day, 0) < p.lead_time_days"),
     "total_over_missing": sql("SELECT store, CAST(sum(units) AS BIGINT) AS known_units, count(*) FILTER (WHERE status = 'missing_data') AS missing_days FROM day_status WHERE date BETWEEN DATE '2000-05-01' AND DATE '2000-05-31' GROUP BY 1"),
     "limit_truncation": sql("SELECT CAST(least(count(*), 50) AS BIGINT) AS n_rows, count(*) > 50 AS truncated FROM (SELECT 1 FROM parts LIMIT 51)"),
     "filter_hint_case": sql("SELECT DISTINCT status AS value, 'differs in case' AS hint FROM dim_sku WHERE lower(status) = 'active' AND status <> 'active'"),
@@ -144,9 +152,12 @@ ORACLES = {
     "sku_spellings": sql("""SELECT code, sku, sku IS NOT NULL AND code <> sku AS interpreted FROM (SELECT DISTINCT sku_code AS code FROM sales_lines UNION SELECT lower(dept) || ' ' || part_no FROM parts UNION SELECT dept || part_no FROM parts)
         LEFT JOIN dim_sku ON sku = translate(upper(trim(code)), '- ', '__')"""),
     "inventory_anomalies": sql("SELECT * FROM stock_found"),
+    "inventory_anomalies_month": sql("SELECT * FROM month_stock_found"),
     "inventory_anomaly_summary": sql("SELECT anomaly, count(*) AS n, floor(sum(value) + 0.5) AS value FROM stock_found GROUP BY 1"),
     "sales_anomaly_weeks": sql(f"SELECT {SALES} FROM week_found"),
     "sku_stop_spike": sql(f"SELECT {SALES} FROM sku_found"),
+    "sku_stop_spike_week": sql(f"SELECT {SALES} FROM week_sku_found"),
+    "sales_anomalies_week": sql(f"SELECT {SALES} FROM week_found UNION ALL SELECT {SALES} FROM week_sku_found"),
     "sales_anomalies": sql(f"SELECT {SALES} FROM week_found UNION ALL SELECT {SALES} FROM sku_found"),
     "variance_dept": sql(BY_DEPT),
     "variance_category": sql(f"SELECT category AS grp, {EFFECTS} FROM sku_prices GROUP BY category"),
