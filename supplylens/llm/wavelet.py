@@ -61,7 +61,7 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         kind, n = np.uint16 if bits <= 16 else np.uint32, len(ids)
-        x, pack = ids.astype(kind), zstandard.ZstdCompressor(level=1).compress
+        x, pack = ids.astype(kind, copy=False), zstandard.ZstdCompressor(level=1).compress
         zeros, ones, parts = [], [], []
         for level in range(bits - 1, -1, -1):
             low, high, before = [], [], [0]
@@ -221,10 +221,11 @@ def _writer(path: str, end: int, shard_tokens: int, id_type: pa.DataType):
         enc, part, seq = encoder(path), TaskContext.get().partitionId(), 0
         bits = max(int(enc.size - 1).bit_length(), int(end).bit_length())
         last = np.array([end], "<u4").tobytes()
+        kind = np.uint16 if bits <= 16 else np.uint32
         ids, lengths, docs, held = [], [], [], 0
 
         def flush():
-            payload = dump_shard(np.concatenate(ids), lengths, bits)
+            payload = dump_shard(np.frombuffer(b"".join(ids), "<u4").astype(kind), lengths, bits)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([held], pa.int64()), pa.array([docs], pa.list_(id_type)), pa.array([payload], pa.binary())],
                 ["part", "seq", "n_tokens", "docs", "payload"],
@@ -232,11 +233,10 @@ def _writer(path: str, end: int, shard_tokens: int, id_type: pa.DataType):
 
         for batch in batches:
             for doc, data in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist()), strict=True):
-                x = np.frombuffer(data + last, "<u4")
-                ids.append(x.astype(np.uint16) if bits <= 16 else x)
-                lengths.append(len(x))
+                ids += (data, last)
+                lengths.append(len(data) // 4 + 1)
                 docs.append(doc)
-                held += len(x)
+                held += lengths[-1]
                 if held >= shard_tokens:
                     yield flush()
                     ids, lengths, docs, held, seq = [], [], [], 0, seq + 1
@@ -271,7 +271,7 @@ def _reader(with_ids: bool):
                 for a in range(0, len(lengths), 500):
                     b = min(a + 500, len(lengths))
                     first = int(ends[a] - lengths[a])
-                    raw = memoryview(ids[first : int(ends[b - 1])].astype("<u4").tobytes())
+                    raw = memoryview(ids[first : int(ends[b - 1])].astype("<u4")).cast("B")
                     cuts = ((np.concatenate([[first], ends[a:b]]) - first) * 4).astype(np.int64)
                     sums = [zlib.crc32(raw[x:y]) for x, y in pairwise(cuts.tolist())]
                     names = ["part", "seq", "id", "at", "n_tokens", "ids_crc32"]
