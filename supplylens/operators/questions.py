@@ -51,8 +51,7 @@ def true_facts(raw: Raw) -> Facts:
 
 
 def clean_facts(core: Core) -> Facts:
-    kinds = core.dim_sku.select("sku", "dept", "category")
-    sales = core.fact_sales_daily.join(kinds, "sku").withColumn("units", F.col("units").cast("double"))
+    sales = core.sales_enriched.select("date", "store", "sku", "dept", "category", F.col("units").cast("double").alias("units"))
     return Facts(sales, core.fact_price_weekly.select("store", "dept", "week", "price"), core.inventory, core.dim_sku, core.raw.suppliers())
 
 
@@ -60,8 +59,9 @@ def raw_facts(core: Core) -> Facts:
     """The exports read as if nothing were wrong with them: codes as they are, quantities as units, every load counted."""
     raw = core.raw
     items = raw.sku_master().select(F.col("sku_code").alias("sku"), "dept", "category", F.lit("ACTIVE").alias("status"), "supplier_id")
-    sales = raw.sales_lines().groupBy(F.col("txn_date").alias("date"), F.col("store_code").alias("store"), F.col("sku_code").alias("sku")).agg(F.sum("qty").alias("units"))
-    return Facts(sales.join(items.select("sku", "dept", "category"), "sku", "left"), raw.price_book(), raw.inventory().withColumnRenamed("sku_code", "sku"), items, raw.suppliers())
+    sums = lambda: raw.sales_lines().groupBy(F.col("txn_date").alias("date"), F.col("store_code").alias("store"), F.col("sku_code").alias("sku")).agg(F.sum("qty").alias("units"))
+    sales = raw.store.table("plain_daily", lambda: sums().join(items.select("sku", "dept", "category"), "sku", "left"), "date")
+    return Facts(sales, raw.price_book(), raw.inventory().withColumnRenamed("sku_code", "sku"), items, raw.suppliers())
 
 
 def key(*columns: str) -> Column:
@@ -275,17 +275,20 @@ def _day_number(text: str) -> int:
 def questions(core: Core) -> DataFrame:
     """kind, tier, key, question, number, label, scorer, tolerance: all questions, answered from the true facts."""
 
-    def build() -> DataFrame:
+    def build(tier: str) -> DataFrame:
         found = []
         for name, x in chosen(core, true_facts(core.raw)).items():
             kind, text = KINDS[name], F.lit(KINDS[name].text)
+            if kind.tier != tier:
+                continue
             for n in range(4):
                 text = F.replace(text, F.lit(f"{{{n}}}"), F.coalesce(F.get(F.split("key", "\\|"), F.lit(n)), F.lit("")))
             label = F.col("label") if "label" in x.columns else F.lit(None).cast("string").alias("label")
             found.append(x.select(F.lit(name).alias("kind"), F.lit(kind.tier).alias("tier"), "key", text.alias("question"), F.col("number").cast("double").alias("number"), label, F.lit(kind.scorer).alias("scorer"), F.lit(float(kind.tolerance)).alias("tolerance")))
         return reduce(DataFrame.unionByName, found)
 
-    return core.raw.store.table("questions", build)
+    # A table for each tier, so that no plan holds all kinds at once.
+    return reduce(DataFrame.unionByName, [core.raw.store.table(f"questions_{t}", lambda t=t: build(t)) for t in sorted({k.tier for k in KINDS.values()})])
 
 
 def answers(f: Facts) -> DataFrame:
@@ -298,8 +301,10 @@ def scored(core: Core, f: Facts, name: str) -> DataFrame:
     a number is zero."""
     forms = core.raw.spark.createDataFrame([(k, v.form) for k, v in KINDS.items() if v.form], "kind string, form string")
     asked = questions(core).join(F.broadcast(forms), "kind").withColumn("short", F.when(F.col("kind") == "legacy_code", F.regexp_replace("key", "\\|[^|]*$", "")).otherwise(F.col("key")))
-    given = answers(f).select("form", F.col("key").alias("short"), F.col("number").alias("got"), F.col("label").alias("said"))
-    x, off = asked.join(given, ["form", "short"], "left"), F.abs(F.coalesce("got", F.lit(0.0)) - F.col("number"))
+    # Stored, so that no plan holds the forms of two sets of facts at once.
+    given = core.raw.store.table(f"answers_{name}", lambda: answers(f)).select("form", F.col("key").alias("short"), F.col("number").alias("got"), F.col("label").alias("said"))
+    # Files of answers and questions are far smaller than their rows.
+    x, off = asked.join(given.hint("merge"), ["form", "short"], "left"), F.abs(F.coalesce("got", F.lit(0.0)) - F.col("number"))
     right = (
         F.when(F.col("number").isNull(), F.col("said").eqNullSafe(F.col("label")))
         .when(F.col("scorer") == "num", off <= F.greatest(F.col("tolerance") * F.abs("number"), F.lit(0.005)))
@@ -311,6 +316,6 @@ def scored(core: Core, f: Facts, name: str) -> DataFrame:
 
 def ablation(core: Core) -> DataFrame:
     """By kind: how many questions cleaned tables and plain exports answer rightly, and how they differ."""
-    x = scored(core, clean_facts(core), "clean").join(scored(core, raw_facts(core), "plain").drop("tier"), ["kind", "key"])
+    x = scored(core, clean_facts(core), "clean").join(scored(core, raw_facts(core), "plain").drop("tier").hint("merge"), ["kind", "key"])
     n = lambda c: F.count(F.when(c, 1))
     return x.groupBy("tier", "kind").agg(F.count("*").alias("n"), n(F.col("clean")).alias("clean"), n(F.col("plain")).alias("plain"), n(F.col("clean") & ~F.col("plain")).alias("only_clean"), n(~F.col("clean") & F.col("plain")).alias("only_plain"))
