@@ -31,6 +31,15 @@ def week_of(date: Column) -> Column:
     return F.floor(F.datediff(date, day(EPOCH)) / 7).cast("int")
 
 
+def sku_of(dept: str, part_no: str) -> Column:
+    return F.concat(F.upper(dept), F.lit("_"), F.col(part_no).cast("string"))
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt to as many tasks as a shuffle has, where few tasks read what makes many rows; AQE leaves a stated number as it is."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def with_calendar(days: DataFrame) -> DataFrame:
     """Dates with their week, event and whether benefits are paid out."""
     event = F.when((F.month("date") == 12) & (F.dayofmonth("date") == 25), "National").when((F.month("date") == 5) & (F.dayofmonth("date") == 1), "Cultural")
@@ -53,20 +62,20 @@ class Raw:
         return joined.select("s_suppkey", F.col("r_name").alias("store"), F.col("r_regionkey").alias("store_no"))
 
     def parts(self) -> DataFrame:
-        sku = F.concat(F.upper("p_type"), F.lit("_"), F.col("p_partkey").cast("string"))
         return self.table("part").select(
-            F.col("p_partkey").alias("part_no"), sku.alias("sku"), F.col("p_name").alias("description"), F.col("p_type").alias("dept"), F.col("p_brand").alias("category"), F.col("p_size").alias("pack"), F.col("p_retailprice").alias("shelf")
+            F.col("p_partkey").alias("part_no"), sku_of("p_type", "p_partkey").alias("sku"), F.col("p_name").alias("description"), F.col("p_type").alias("dept"), F.col("p_brand").alias("category"), F.col("p_size").alias("pack"), F.col("p_retailprice").alias("shelf")
         )
 
     def lines(self) -> DataFrame:
-        """True sales lines up to the as-of date."""
-        return self.store.table("lines", self._lines, "date")
+        """True sales lines up to the as-of date. SKU and week follow from other columns and aren't stored; lines aren't sorted
+        either: nearly all that reads them reads all of them."""
+        return self.store.table("lines", self._lines).select("*", sku_of("dept", "part_no").alias("sku"), week_of(F.col("date")).alias("week"))
 
     def _lines(self) -> DataFrame:
-        x = self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_shipdate").cast("date").alias("date"), F.col("l_quantity").alias("units"), F.col("l_extendedprice").alias("amount"))
+        x = self.table("lineitem").select("l_orderkey", F.col("l_partkey").alias("part_no"), "l_suppkey", F.col("l_shipdate").cast("date").alias("date"), F.col("l_quantity").alias("units"), F.col("l_extendedprice").alias("amount"))
         x = x.where(F.col("date") <= day(AS_OF))
-        x = x.join(self.places(), x.l_suppkey == F.col("s_suppkey")).join(self.parts(), x.l_partkey == F.col("part_no"))
-        return x.withColumn("week", week_of(F.col("date")))
+        x = x.join(self.places(), x.l_suppkey == F.col("s_suppkey")).drop("l_suppkey", "s_suppkey")
+        return x.join(self.parts().select("part_no", "dept", "category", "pack"), "part_no")
 
     def wide_units(self) -> DataFrame:
         """Units by department with a column for each day of the calendar up to the as-of date."""
@@ -141,7 +150,7 @@ class Raw:
 
     def inventory(self) -> DataFrame:
         stores = self.table("region").select(F.col("r_name").alias("store"), F.col("r_regionkey").alias("store_no"))
-        x = self.parts().crossJoin(F.broadcast(stores))  # a snapshot: every store keeps every part
+        x = dealt(self.parts().select("part_no", "sku", "pack"), "part_no").crossJoin(F.broadcast(stores))  # a snapshot: every store keeps every part
         hand = F.when(F.col("part_no") % 25 == 0, 0).otherwise((F.col("part_no") * 7 + F.col("store_no") * 13) % 60)
         x = x.select("store", "sku", "part_no", hand.cast("long").alias("on_hand"), ((F.col("part_no") % 4) * F.col("pack")).cast("long").alias("on_order"))
         split = F.col("part_no") % 40 == 0
