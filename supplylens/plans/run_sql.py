@@ -64,15 +64,14 @@ _lock = threading.Lock()
 def _analysed(core: Core, text: str, schema: str, used: set[str]) -> DataFrame:
     """The query over external tables of the session's catalog that stand for the stored ones; they go with the session."""
     spark, root = core.raw.spark, core.raw.store.root
-    for name in used:  # built before the time runs
-        getattr(core, name) if schema == "core" else _raw(core, name)
+    built = {name: getattr(core, name) if schema == "core" else _raw(core, name) for name in used}  # before the time runs
     with _lock:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema} LOCATION '{root}/{schema}.db'")
         for name in used:
             path = core.raw.store.paths[name if schema == "core" else f"raw_{name}"]
             if _published.get((f"{spark.sparkContext.applicationId}.{schema}", name)) != path:
                 spark.sql(f"DROP TABLE IF EXISTS {schema}.{name}")
-                spark.catalog.createTable(f"{schema}.{name}", path=path, source="parquet")
+                spark.catalog.createTable(f"{schema}.{name}", path=path, source="parquet", schema=built[name].schema)
                 _published[f"{spark.sparkContext.applicationId}.{schema}", name] = path
         return spark.sql(text)
 

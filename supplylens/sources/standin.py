@@ -21,6 +21,7 @@ CASE_STORE, CASE_FROM, CASE_TO = "EUROPE", "2000-02-01", "2000-03-31"
 OUTAGE_STORE, OUTAGE_DAYS = "AFRICA", ("2000-05-10", "2000-05-11")
 CLOSURE = "1999-12-25"
 TWICE_STORE, TWICE_WEEK, TWICE_STEP = "ASIA", 300, 1_000_000
+TASK_ROWS = 250_000
 
 
 def day(text: str) -> Column:
@@ -40,6 +41,13 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def dealt_by_rows(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Dealt to tasks of about TASK_ROWS rows, so that what a task holds doesn't grow with the table; AQE would join small ones again."""
+    spark = df.sparkSession
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(max(least, -(-rows // TASK_ROWS)), *keys)
+
+
 def with_calendar(days: DataFrame) -> DataFrame:
     """Dates with their week, event and whether benefits are paid out."""
     event = F.when((F.month("date") == 12) & (F.dayofmonth("date") == 25), "National").when((F.month("date") == 5) & (F.dayofmonth("date") == 1), "Cultural")
@@ -71,6 +79,10 @@ class Raw:
         either: nearly all that reads them reads all of them."""
         return self.store.table("lines", self._lines).select("*", sku_of("dept", "part_no").alias("sku"), week_of(F.col("date")).alias("week"))
 
+    def line_count(self) -> int:
+        self.store.table("lines", self._lines)
+        return self.store.rows("lines")
+
     def _lines(self) -> DataFrame:
         x = self.table("lineitem").select("l_orderkey", F.col("l_partkey").alias("part_no"), "l_suppkey", F.col("l_shipdate").cast("date").alias("date"), F.col("l_quantity").alias("units"), F.col("l_extendedprice").alias("amount"))
         x = x.where(F.col("date") <= day(AS_OF))

@@ -24,7 +24,7 @@ class Store:
     """The tables built from one directory in one session; they go when the driver's JVM ends."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths, self.schemas = spark, {}, {}
+        self.spark, self.paths, self.schemas, self.counts = spark, {}, {}, {}
         self.root = f"{_folder(spark)}/core-{uuid.uuid4().hex}"
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
@@ -37,6 +37,12 @@ class Store:
             self.schemas[name], self.paths[name] = df.schema, path
         return self.spark.read.schema(self.schemas[name]).parquet(self.paths[name])
 
+    def rows(self, name: str) -> int:
+        """The rows of a built table, from the footers of its files."""
+        if name not in self.counts:
+            self.counts[name] = self.spark.read.schema(self.schemas[name]).parquet(self.paths[name]).count()
+        return self.counts[name]
+
     def file(self, name: str, write: Callable[[str], None]) -> str:
         """The path of a file of the outside world, written if it isn't there."""
         if name not in self.paths:
