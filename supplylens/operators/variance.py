@@ -65,6 +65,6 @@ def driver(core: Core) -> DataFrame:
 
 def pivoted(core: Core) -> DataFrame:
     """Units by department with a column for each period."""
-    x = between(core.fact_sales_daily, A[0], B[1]).join(core.dim_sku.select("sku", "dept"), "sku")
+    x = between(core.facts(), A[0], B[1])
     period = F.when(F.col("date") <= day(A[1]), "a").otherwise("b")
     return x.withColumn("period", period).groupBy("dept").pivot("period", ["a", "b"]).agg(F.sum("units").cast("long"))

@@ -1,6 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
+from supplylens.operators import forecast
 from supplylens.operators.clean import Core
+from supplylens.plans.run_sql import run_sql
 from supplylens.sources import standin
 from supplylens.sources.standin import Raw
 from supplylens.sources.store import Store
@@ -21,3 +24,15 @@ def test_facts_are_dealt_by_rows(core, monkeypatch):
     n = core.raw.line_count()
     assert n == core.raw.lines().count()
     assert core._facts().rdd.getNumPartitions() == -(-n // 500) > int(core.raw.spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_facts_know_their_department(core):
+    """Days of a department are summed without a look-up by SKU; the table itself has its five columns, in SQL too."""
+    looked_up = core.fact_sales_daily.join(core.dim_sku.select("sku", "dept", "category"), "sku")
+    columns = ["date", "store", "sku", "units", "n_lines", "dept", "category"]
+    assert core.facts().select(columns).exceptAll(looked_up.select(columns)).count() == 0
+    assert core.facts().count() == looked_up.count() > 1000
+    days = looked_up.groupBy("date", "store", "dept").agg(F.sum("units").cast("long").alias("units"))
+    assert forecast.daily(core).select(days.columns).exceptAll(days).count() == 0
+    assert core.fact_sales_daily.columns == columns[:5]
+    assert list(run_sql(core, "SELECT * FROM core.fact_sales_daily LIMIT 1", seconds=60).data[0]) == columns[:5]
