@@ -47,7 +47,7 @@ def true_facts(raw: Raw) -> Facts:
     status = F.when(F.col("last_date") >= F.date_sub(day(AS_OF), STALE_DAYS), "ACTIVE").otherwise("DISCONTINUED")
     items = raw.parts().crossJoin(F.broadcast(n)).join(last, "sku", "left")  # one row
     items = items.select("sku", "dept", "category", status.alias("status"), (F.col("part_no") % F.col("n")).alias("supplier_id"), "part_no")
-    return Facts(daily, raw.store.table("true_prices", raw.true_prices), raw.true_inventory(), items, raw.suppliers())
+    return Facts(daily, raw.true_prices(), raw.true_inventory(), items, raw.suppliers())
 
 
 def clean_facts(core: Core) -> Facts:

@@ -146,9 +146,9 @@ class Raw:
         return self.table("supplier").select(F.col("s_suppkey").alias("supplier_id"), F.col("s_name").alias("supplier_name"), (3 + F.col("s_suppkey") % 12).cast("int").alias("lead_time_days"), (1 + F.col("s_suppkey") % 10).cast("int").alias("min_order_cases"))
 
     def true_prices(self) -> DataFrame:
-        """Weekly shelf prices by store and department."""
-        base = self.lines().groupBy("store", "dept", "week").agg(F.median(F.col("amount") / F.col("units")).alias("price"))
-        return base.withColumn("price", rounded(F.col("price")))
+        """Weekly shelf prices by store and department: a row for every week with a line, stored, as medians over all lines are dear."""
+        base = lambda: self.lines().groupBy("store", "dept", "week").agg(F.median(F.col("amount") / F.col("units")).alias("price"))
+        return self.store.table("true_prices", lambda: base().withColumn("price", rounded(F.col("price"))))
 
     def price_book(self) -> DataFrame:
         """The prices with mis-keyed and missing weeks."""

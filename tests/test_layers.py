@@ -36,3 +36,21 @@ def test_facts_know_their_department(core):
     assert forecast.daily(core).select(days.columns).exceptAll(days).count() == 0
     assert core.fact_sales_daily.columns == columns[:5]
     assert list(run_sql(core, "SELECT * FROM core.fact_sales_daily LIMIT 1", seconds=60).data[0]) == columns[:5]
+
+
+def test_medians_are_made_once_and_prices_need_no_shuffle_of_facts(core):
+    prices = core.fact_price_weekly
+    assert "true_prices" in core.raw.store.paths
+    keys = ["store", "dept", "week"]
+    sold = core.raw.lines().select(keys).distinct()
+    assert core.raw.true_prices().select(keys).exceptAll(sold).count() == 0 == sold.exceptAll(core.raw.true_prices().select(keys)).count()
+    built, seen = {}, Core(Raw(core.raw.spark, SF))
+    seen.raw.store = Store(core.raw.spark)
+    seen.raw.store.paths, seen.raw.store.schemas = dict(core.raw.store.paths), dict(core.raw.store.schemas)
+    seen.raw.store.paths.pop("sales_enriched", None)
+    table = seen.raw.store.table
+    seen.raw.store.table = lambda name, build, by=None: table(name, lambda: built.setdefault(name, build()), by)
+    assert seen.sales_enriched.count() == core.fact_sales_daily.count()
+    plan = built["sales_enriched"]._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(sku" not in plan and "Sort [date" not in plan
+    assert prices.count() >= core.raw.true_prices().count()
