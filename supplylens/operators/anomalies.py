@@ -21,7 +21,7 @@ def inventory_anomalies(core: Core, end: str = AS_OF, window: int = 28) -> DataF
     days = last_days(core.store_day_status, end, window).where("status = 'open'").groupBy("store").agg(F.count("*").alias("open_days"))
     price = latest(core.fact_price_weekly, ["store", "dept"], "week", ["price"]).drop("week")
     sku = core.dim_sku.where("status = 'ACTIVE'").select("sku", "dept", "unit_cost", "supplier_id")
-    x = core.inventory.join(sku, "sku").join(core.raw.suppliers().select("supplier_id", "lead_time_days"), "supplier_id")
+    x = core.inventory.join(sku.join(core.raw.suppliers().select("supplier_id", "lead_time_days"), "supplier_id"), "sku")  # by SKU: stock is shuffled once less
     x = x.join(units, ["store", "sku"], "left").join(days, "store", "left").join(price, ["store", "dept"], "left")
     avg = F.coalesce(F.col("u"), F.lit(0)).cast("double") / F.nullif(F.col("open_days").cast("double"), F.lit(0.0))
     x = x.withColumn("avg_daily", avg)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from supplylens.operators import forecast
+from supplylens.operators import anomalies, forecast
 from supplylens.operators.clean import Core
 from supplylens.plans.run_sql import run_sql
 from supplylens.sources import standin
@@ -54,3 +54,9 @@ def test_medians_are_made_once_and_prices_need_no_shuffle_of_facts(core):
     plan = built["sales_enriched"]._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(sku" not in plan and "Sort [date" not in plan
     assert prices.count() >= core.raw.true_prices().count()
+
+
+def test_suppliers_meet_skus_before_the_stock(core):
+    plan = anomalies.inventory_anomalies(core)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    deep = {k: [len(x) - len(x.lstrip(" :+-")) for x in plan if "Join Inner" in x and f"({k}#" in x] for k in ("supplier_id", "sku")}
+    assert min(deep["supplier_id"]) > min(deep["sku"])
