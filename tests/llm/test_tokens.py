@@ -65,6 +65,25 @@ def test_small_tables_give_the_same(monkeypatch, texts):
         assert byte.encode(text) == raw(lib_b.encode(text, add_special_tokens=False).ids)
 
 
+def test_the_library_sees_a_word_once_whatever_sign_follows(monkeypatch):
+    rng, byte, lib, seen = random.Random(4), encoder.__wrapped__(BYTES), Tokenizer.from_file(BYTES), []
+    whole = byte._whole
+    monkeypatch.setattr(byte, "_whole", lambda text: seen.append(len(text)) or whole(text))
+    words = ["".join(rng.choice("aeilmnorst") for _ in range(9)) for _ in range(200)]
+    texts = [" ".join(w + sign for w in words) for sign in ("", ",", ".", ";", ":", "!", "?", ")", "%%%", "###", "'", "'s", "'x,", ".com", '."', "--", "=1")]
+    assert list(byte.encode_all(texts)) == [raw(x.ids) for x in lib.encode_batch(texts, add_special_tokens=False)]
+    assert sum(seen) < 2 * len(texts[0])
+
+
+def test_letters_signs_and_line_ends_match_the_library():
+    rng = random.Random(12)
+    pool = [*"aZsétdm,.'\"-_;1½ \n\t", "'s", "'ll", "'re", " '", "  ", "\u0301", "ª", "×", "－", "🙂", "\n\n", ""]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
+    got, want = encoder.__wrapped__(BYTES).encode_all(texts), Tokenizer.from_file(BYTES).encode_batch(texts, add_special_tokens=False)
+    for text, ids, x in zip(texts, got, want, strict=True):
+        assert ids == raw(x.ids), ascii(text)
+
+
 def test_trie_query(spark, sf, docs):
     got = [tuple(r) for r in trie.query(spark, sf).collect()]
     lib, want = Tokenizer.from_file(WORDS), []
