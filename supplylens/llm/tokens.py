@@ -23,9 +23,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Chunks in a generation, and the longest chunk worth keeping.
-KEPT_WORDS, KEPT_CHARS = 400_000, 48
+KEPT_WORDS, KEPT_CHARS = 200_000, 48
 #: Characters of texts that are encoded together, and of new chunks in one text for the library.
-AT_ONCE, IN_CALL = 4_000_000, 1_000
+AT_ONCE, IN_CALL = 1_000_000, 1_000
 BLANK = "\t\n\x0b\x0c\r "
 OTHER_BLANK = re.compile(rf"[^\S{BLANK}]")
 #: What a byte of UTF-8 is: 1 for white space, 2 for a letter and 4 for a sign of ASCII.
