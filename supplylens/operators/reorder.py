@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 from statistics import NormalDist
 
 from pyspark.errors import AnalysisException
@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from supplylens.functions.numbers import rounded
 from supplylens.operators.clean import Core
-from supplylens.operators.forecast import ORIGIN, Z90, forecast
+from supplylens.operators.forecast import HORIZON, ORIGIN, Z90, order_repair, profiles
 from supplylens.sources.checked import Constraints, Staged
-from supplylens.sources.standin import Raw, day
+from supplylens.sources.standin import Raw
 
 SERVICE, REVIEW_DAYS = 0.95, 7
 
@@ -36,12 +36,17 @@ def lines(core: Core, store: str | None = None, dept: str | None = None, service
     stock = core.inventory.join(items.where(F.col("dept") == dept) if dept else items, "sku")
     stock = stock.where(F.col("store") == store) if store else stock
     stock = stock.where(F.col("sku").isin(skus)) if skus else stock
-    last = F.date_add(day(ORIGIN), F.col("lead_time_days") + review)
-    f = forecast(core, "sku").join(stock.select("store", "sku", "lead_time_days"), ["store", "sku"]).where(F.col("date") <= last)
-    sigma = F.greatest(F.col("p90") - F.col("mean"), F.lit(0.0)) / Z90
+    # Days ahead differ by weekday only: the first day of each is one of the first seven, and the others come every week.
+    n = F.least(F.col("lead_time_days") + review, F.lit(HORIZON))
+    p, demand, variance = profiles(core), F.lit(0.0), F.lit(0.0)
+    for k in range(7):
+        first = (k - date.fromisoformat(ORIGIN).weekday() - 1) % 7 + 1
+        days = F.floor((n - first + 7) / 7)
+        _, mean, p90 = order_repair(F.col("q10"), F.col(f"m{k}"), F.col("q90"))
+        sigma = F.greatest(rounded(p90, 6) - mean, F.lit(0.0)) / Z90
+        demand, variance = demand + days * mean, variance + days * sigma * sigma
     z = NormalDist().inv_cdf(service)
-    d = f.groupBy("store", "sku").agg(F.sum("mean").alias("demand"), (F.lit(z) * F.sqrt(F.sum(sigma * sigma))).alias("safety"))
-    x = stock.join(d, ["store", "sku"])
+    x = stock.join(p.drop("sales", "ahead", "flat").hint("merge"), ["store", "sku"]).withColumns({"demand": demand, "safety": F.lit(z) * F.sqrt(variance)})
     need = F.col("demand") + F.col("safety") - F.col("on_hand") - F.col("on_order")
     x = x.withColumn("cases", cases(need, F.col("case_pack").cast("double")))
     return x.select(
